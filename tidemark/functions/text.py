@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The token and sentence patterns that decide results.
 TOKEN_PATTERN = "([a-zA-Z0-9_]+|[\\u3400-\\u9fff])"
@@ -68,7 +69,7 @@ def ordered_distinct(values: Column) -> Column:
     return F.array_distinct(values)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_compat(text: pd.Series) -> pd.Series:
     """NFKC, then white space collapsed."""
     return text.map(
@@ -76,7 +77,7 @@ def normalize_compat(text: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda value: None if value is None else html.unescape(value))
 
@@ -95,6 +96,6 @@ def text_ratio(first: str, second: str) -> float:
     return SequenceMatcher(None, first.casefold(), second.casefold()).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series([text_ratio(a, b) for a, b in zip(first, second)], dtype="float64")

@@ -32,6 +32,8 @@ class ScanPolicy:
     max_group_rows: int = 2_000_000
     shard_rows: int = 500_000
     max_shards: int = 20_000
+    # Inputs smaller than this in total cannot overload a task: no counting job.
+    small_input_bytes: int = 128 * 1024 * 1024
 
 
 DEFAULT_POLICY = ScanPolicy()
@@ -66,11 +68,13 @@ def ordered(
 ) -> OrderedFrame:
     """Prepare ``df`` for :func:`running`.
 
-    One cheap job reads the key columns and counts rows per key (combined
-    map-side); its result is two numbers.
+    For inputs that are not small, one job reads the key columns and counts rows
+    per key (combined map-side); its result is two numbers.
     """
     policy = policy or DEFAULT_POLICY
     keys, order = tuple(keys), tuple(order)
+    if input_bytes(df) <= policy.small_input_bytes:
+        return OrderedFrame(df, keys, order, False)
     sizes = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
@@ -84,6 +88,12 @@ def ordered(
     return OrderedFrame(cut.checkpoint(eager=True), keys, order, True)
 
 
+def input_bytes(df: DataFrame) -> float:
+    """Total size of the relations a plan reads, from file and table statistics."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(float(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def running(
     scan: OrderedFrame,
     specs: dict[str, tuple[str, Column]],
