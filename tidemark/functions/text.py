@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 # The token and sentence patterns that decide results.
 TOKEN_PATTERN = "([a-zA-Z0-9_]+|[\\u3400-\\u9fff])"
-CJK_PATTERN = "^[\\u3400-\\u9fff]$"
+BIGRAM_PATTERN = "(?=([\\u3400-\\u9fff]{2}))"
 SENTENCE_END_PATTERN = "[.!?。！？；;][\"'”’）)]?$"
 MARKUP_PATTERN = "<[^>]+>"
 
@@ -29,12 +29,8 @@ def tokenize(text: Column) -> Column:
     sequence of CJK characters, ignoring words in between.
     """
     units = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(1)), F.lower)
-    cjk = F.filter(units, lambda unit: unit.rlike(CJK_PATTERN))
-    bigrams = F.zip_with(
-        F.slice(cjk, 1, F.greatest(F.size(cjk) - 1, F.lit(0))),
-        F.slice(cjk, 2, F.greatest(F.size(cjk) - 1, F.lit(0))),
-        lambda first, second: F.concat(first, second),
-    )
+    characters = F.regexp_replace(text, "[^\\u3400-\\u9fff]", "")
+    bigrams = F.regexp_extract_all(characters, F.lit(BIGRAM_PATTERN), F.lit(1))
     has_cjk = text.rlike("[\\u3400-\\u9fff]")
     return F.when(has_cjk, F.concat(units, bigrams)).otherwise(units)
 

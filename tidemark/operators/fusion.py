@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.folds import fold_groups
 from tidemark.plans.ordered import ScanPolicy, ordered, running
 from tidemark.plans.overlap import overlap_join
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -145,10 +146,11 @@ def candidate_windows(
 
     Clusters are ranked on scalars first; lists are collected only for the
     ``top_k`` windows that survive, and each window is at most ``max_window_ms``
-    long.
+    long.  The fused evidence, the clusters and the winners each have several
+    readers and are stored once.
     """
-    evidence = fuse_evidence(hits, params)
-    clustered = cluster_evidence(evidence, chunks, params, policy)
+    evidence = cut_lineage(fuse_evidence(hits, params))
+    clustered = cut_lineage(cluster_evidence(evidence, chunks, params, policy))
     scalars = clustered.groupBy("video_id", "_run", "cluster_no").agg(
         F.sum("score").alias("fusion_rrf"),
         F.min("start_ms").alias("raw_start_ms"),
@@ -158,7 +160,9 @@ def candidate_windows(
     ranking = Window.partitionBy("video_id").orderBy(
         F.col("fusion_rrf").desc(), "raw_start_ms", "raw_end_ms"
     )
-    top = scalars.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= params.top_k)
+    top = cut_lineage(
+        scalars.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= params.top_k)
+    )
     spans = chunks.select(
         "video_id",
         "chunk_id",

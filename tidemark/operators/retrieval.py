@@ -89,55 +89,44 @@ def bm25_search(
     scope, keep = list(scope), list(keep)
     columns = [*scope, "item_id", "start_ms", "end_ms", *keep]
     kept = where.apply(documents)
+    term_list = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     if "token_counts" in documents.columns:
-        frequencies = F.array(
-            *[F.coalesce(F.try_element_at("token_counts", F.lit(t)), F.lit(0)).cast("bigint") for t in terms]
-        ) if terms else F.array().cast("array<bigint>")
-        length = F.col("doc_length").cast("bigint")
-        prepared = kept.select(*columns, length.alias("_length"), frequencies.alias("_tf"))
+        counted = kept.select(
+            *columns, F.col("doc_length").cast("bigint").alias("_length"), "token_counts", term_list.alias("_terms")
+        )
+        frequency = "transform(_terms, t -> cast(coalesce(try_element_at(token_counts, t), 0) AS bigint))"
     else:
-        wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-        tokens = kept.select(*columns, tokenize(F.col("text")).alias("_tokens"))
-        prepared = tokens.select(
-            *columns,
-            F.size("_tokens").cast("bigint").alias("_length"),
-            F.filter("_tokens", lambda token: F.array_contains(wanted, token)).alias("_matched"),
-        ).select(
-            *columns,
-            "_length",
-            (
-                F.array(
-                    *[
-                        F.size(F.filter("_matched", lambda token, t=t: token == t)).cast("bigint")
-                        for t in terms
-                    ]
-                )
-                if terms
-                else F.array().cast("array<bigint>")
-            ).alias("_tf"),
+        # explode(array(x)) keeps x from being computed again wherever it is used:
+        # the optimizer neither merges projections nor pushes filters through it
+        tokens = kept.select(*columns, F.explode(F.array(tokenize(F.col("text")))).alias("_tokens"))
+        matched = F.filter("_tokens", lambda token: token.isin(*terms))
+        counted = tokens.select(
+            *columns, F.size("_tokens").cast("bigint").alias("_length"), F.explode(F.array(matched)).alias("_matched"),
+            term_list.alias("_terms"),
         )
+        frequency = "transform(_terms, t -> cast(size(filter(_matched, m -> m = t)) AS bigint))"
+    prepared = counted.select(*columns, "_length", F.expr(frequency).alias("_tf"))
+    held = ", ".join(f"count_if(_tf[{i}] > 0)" for i in range(len(terms)))
     stats = prepared.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("_length").alias("avgdl"),
-        F.array(
-            *[F.sum((F.col("_tf")[i] > 0).cast("bigint")) for i in range(len(terms))]
-            or [F.lit(0).cast("bigint")]
-        ).alias("df"),
+        F.expr(f"array({held})" if terms else "array(0L)").alias("df"),
     )
-    matching = prepared.where(F.exists("_tf", lambda tf: tf > 0))
+    matching = prepared.where("exists(_tf, f -> f > 0)")
     if scope:
         joined = matching.join(stats.select(*scope, F.struct("n", "avgdl", "df").alias("_stats")), scope)
     else:
         joined = matching.withColumn("_stats", stats.select(F.struct("n", "avgdl", "df")).scalar())
-    average = F.when(F.col("_stats.avgdl") == 0, F.lit(1.0)).otherwise(F.col("_stats.avgdl"))
-    score: Column = F.lit(0.0)
-    for position, query_frequency in enumerate(terms.values()):
-        frequency = F.col("_tf")[position]
-        in_documents = F.col("_stats.df")[position]
-        idf = F.log(1.0 + (F.col("_stats.n") - in_documents + 0.5) / (in_documents + 0.5))
-        denominator = frequency + K1 * (1.0 - B + B * F.col("_length") / average)
-        part = query_frequency * idf * frequency * (K1 + 1.0) / denominator
-        score = score + F.when(frequency > 0, part).otherwise(0.0)
+    average = "CASE WHEN _stats.avgdl = 0 THEN 1D ELSE _stats.avgdl END"
+    # one summand per query term, added in query order
+    score = F.expr(
+        " + ".join(
+            f"{weight} * ln(1D + (_stats.n - _stats.df[{i}] + 0.5D) / (_stats.df[{i}] + 0.5D))"
+            f" * _tf[{i}] * ({K1}D + 1D) / (_tf[{i}] + {K1}D * (1D - {B}D + {B}D * _length / ({average})))"
+            for i, weight in enumerate(terms.values())
+        )
+        or "0D"
+    )
     scored = joined.select(*columns, score.alias("score")).where(
         (F.col("score") > 0) & (F.col("score") >= min_score)
     )
@@ -207,7 +196,12 @@ def hybrid_search(
                 F.min_by(payload, place),
             ).alias("item"),
             # one entry per list the item appears in
-            F.array_sort(F.collect_list(F.struct("list_no", "rank", "source_ids", "scores"))).alias("related"),
+            F.array_sort(
+                F.collect_list(F.struct("list_no", "rank", "source_ids", "scores")),
+                lambda a, b: F.when(a["list_no"] != b["list_no"], a["list_no"] - b["list_no"]).otherwise(
+                    a["rank"] - b["rank"]
+                ).cast("int"),
+            ).alias("related"),
         )
     )
     part_sparse = F.lit(float(sparse_weight)) / (F.lit(rrf_k) + F.col("sparse_rank"))

@@ -91,7 +91,7 @@ def ordered(
 def input_bytes(df: DataFrame) -> float:
     """Total size of the relations a plan reads, from file and table statistics."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(float(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(float(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def running(

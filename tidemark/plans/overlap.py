@@ -40,30 +40,17 @@ def point_in_interval_join(
     point: str,
     start: str,
     end: str,
-    strict_start: bool = False,
 ) -> DataFrame:
-    """Pairs with ``start <= point < end``; ``strict_start`` drops ``start == point``.
+    """Pairs with ``start <= point < end``.
 
     Apart from ``keys`` the two sides must not share column names.
     """
     keys = list(keys)
-    leveled = intervals.withColumn("_level", _level(F.col(start), F.col(end)))
-    grids = leveled.agg(F.array_sort(F.collect_set("_level")).alias("grids")).scalar()
-    celled = leveled.withColumn(
-        "_cell",
-        F.explode(
-            F.sequence(
-                _cell(F.col(start), F.col("_level")),
-                _cell(F.col(end) - 1, F.col("_level")),
-            )
-        ),
-    )
-    looked_up = points.withColumn("_level", F.explode(grids)).withColumn(
-        "_cell", _cell(F.col(point), F.col("_level"))
-    )
-    lower = F.col(start) < F.col(point) if strict_start else F.col(start) <= F.col(point)
-    joined = looked_up.join(celled, [*keys, "_level", "_cell"], "inner")
-    return joined.where(lower & (F.col(point) < F.col(end))).drop("_level", "_cell")
+    gridded = points.withColumn("_grids", _grids(intervals, start, end))
+    looked_up = gridded.withColumn("_place", F.explode(_as_point(point, 0))).drop("_grids")
+    celled = intervals.withColumn("_place", F.explode(_as_interval(start, end, 0)))
+    joined = looked_up.join(celled, [*keys, "_place"], "inner")
+    return joined.where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_place")
 
 
 def overlap_join(
@@ -73,12 +60,44 @@ def overlap_join(
     left_range: tuple[str, str] = ("start_ms", "end_ms"),
     right_range: tuple[str, str] = ("r_start_ms", "r_end_ms"),
 ) -> DataFrame:
-    """Every overlapping pair once; columns of both sides."""
+    """Every overlapping pair once; columns of both sides.
+
+    Both halves run as one equi-join: each row carries its look-ups for half 0
+    (left start in a right interval) and half 1 (right start in a left interval).
+    """
+    keys = list(keys)
     ls, le = left_range
     rs, re = right_range
-    left_starts_inside = point_in_interval_join(left, right, keys, ls, rs, re)
-    right_starts_inside = point_in_interval_join(right, left, keys, rs, ls, le, strict_start=True)
-    return left_starts_inside.unionByName(right_starts_inside)
+    left_places = F.concat(_as_point(ls, 0), _as_interval(ls, le, 1))
+    right_places = F.concat(_as_interval(rs, re, 0), _as_point(rs, 1))
+    placed_left = left.withColumn("_grids", _grids(right, rs, re)).withColumn("_place", F.explode(left_places))
+    placed_right = right.withColumn("_grids", _grids(left, ls, le)).withColumn("_place", F.explode(right_places))
+    joined = placed_left.drop("_grids").join(placed_right.drop("_grids"), [*keys, "_place"], "inner")
+    inside = F.when(
+        F.col("_place.half") == 0, (F.col(rs) <= F.col(ls)) & (F.col(ls) < F.col(re))
+    ).otherwise((F.col(ls) < F.col(rs)) & (F.col(rs) < F.col(le)))
+    return joined.where(inside).drop("_place")
+
+
+def _grids(intervals: DataFrame, start: str, end: str) -> Column:
+    levels = intervals.select(_level(F.col(start), F.col(end)).alias("_level"))
+    return F.coalesce(
+        levels.agg(F.array_sort(F.collect_set("_level"))).scalar(), F.array().cast("array<int>")
+    )
+
+
+def _place(half: int, level: Column, cell: Column) -> Column:
+    return F.struct(F.lit(half).alias("half"), level.alias("level"), cell.alias("cell"))
+
+
+def _as_point(point: str, half: int) -> Column:
+    return F.transform("_grids", lambda level: _place(half, level, _cell(F.col(point), level)))
+
+
+def _as_interval(start: str, end: str, half: int) -> Column:
+    level = _level(F.col(start), F.col(end))
+    cells = F.sequence(_cell(F.col(start), level), _cell(F.col(end) - 1, level))
+    return F.transform(cells, lambda cell: _place(half, level, cell))
 
 
 def overlap_semi(

@@ -17,8 +17,8 @@ TABLES = (
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; extra ``conf`` wins.
 
-    Only semantic settings are fixed here (UTC, ANSI off is *not* assumed, AQE
-    with skew joins on).  Sizing is left to the cluster.
+    Only settings the operators rely on are fixed here (UTC, AQE with skew
+    joins).  Sizing is left to the cluster.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -29,6 +29,8 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call sites are captured for every column expression otherwise
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for name, value in settings.items():
@@ -58,5 +60,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store an intermediate result reliably, so that its many readers do not recompute it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
