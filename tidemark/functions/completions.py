@@ -23,7 +23,7 @@ def parse_completion(content: Column) -> Column:
     parsed = F.from_json(strip_code_fence(content), COMPLETION_SCHEMA)
     description = F.trim(parsed["description"])
     tags = F.array_distinct(
-        F.filter(F.transform(parsed["tags"], F.trim), lambda tag: tag.isNotNull() & (tag != ""))
+        F.filter(F.transform(parsed["tags"], lambda tag: F.trim(tag)), lambda tag: tag.isNotNull() & (tag != ""))
     )
     confidence = parsed["confidence"].try_cast("double")
     return F.when(

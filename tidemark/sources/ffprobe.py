@@ -121,7 +121,7 @@ def map_probes(payloads: DataFrame) -> DataFrame:
     fmt = F.col("p.format")
     container = F.struct(
         F.coalesce(
-            F.filter(F.transform(F.split(fmt["format_name"], ","), F.trim), lambda n: n != ""),
+            F.filter(F.transform(F.split(fmt["format_name"], ","), lambda n: F.trim(n)), lambda n: n != ""),
             F.array().cast("array<string>"),
         ).alias("format_names"),
         _text(fmt["format_long_name"]).alias("format_long_name"),

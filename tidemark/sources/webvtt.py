@@ -33,7 +33,7 @@ def parse_vtt(files: DataFrame, language: str | None = None, stream_index: int |
     cues = files.select("video_id", F.posexplode(blocks).alias("block_no", "block")).where(
         F.col("block").rlike(CUE_PATTERN)
     )
-    body_lines = F.transform(F.split(F.regexp_extract("block", CUE_PATTERN, 3), "\n"), F.trim)
+    body_lines = F.transform(F.split(F.regexp_extract("block", CUE_PATTERN, 3), "\n"), lambda line: F.trim(line))
     timed = cues.select(
         "video_id",
         "block_no",
