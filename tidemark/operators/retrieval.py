@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.intervals import overlaps
 from tidemark.functions.text import query_terms, tokenize
 from tidemark.functions.vectors import dot, unit_query
+from tidemark.session import cut_lineage
 
 K1 = 1.5
 B = 0.75
@@ -82,12 +83,13 @@ def bm25_search(
     columns that separate indexes (``("video_id",)`` = one index per video);
     empty means one corpus.  Only the query's terms are counted, inside the scan
     stage: per document a length and one small array leave it, nothing is
-    exploded or shuffled but the statistics.
+    exploded or shuffled but the statistics.  ``keep`` columns are fetched for
+    the hits alone.
     """
     _check(query, top_k)
     terms = Counter(query_terms(query))
     scope, keep = list(scope), list(keep)
-    columns = [*scope, "item_id", "start_ms", "end_ms", *keep]
+    columns = [*scope, "item_id", "start_ms", "end_ms"]
     kept = where.apply(documents)
     term_list = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     if "token_counts" in documents.columns:
@@ -106,6 +108,9 @@ def bm25_search(
         )
         frequency = "transform(_terms, t -> cast(size(filter(_matched, m -> m = t)) AS bigint))"
     prepared = counted.select(*columns, "_length", F.expr(frequency).alias("_tf"))
+    if "token_counts" not in documents.columns:
+        # texts are parsed once: statistics and scores both read the stored counts
+        prepared = cut_lineage(prepared)
     held = ", ".join(f"count_if(_tf[{i}] > 0)" for i in range(len(terms)))
     stats = prepared.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("n"),
@@ -130,7 +135,13 @@ def bm25_search(
     scored = joined.select(*columns, score.alias("score")).where(
         (F.col("score") > 0) & (F.col("score") >= min_score)
     )
-    return _rank(scored, scope, top_k)
+    hits = _rank(scored, scope, top_k)
+    if not keep:
+        return hits
+    payload = documents.select(*scope, "item_id", *keep)
+    # without a scope there are at most top_k hits, so they can go to the documents
+    few = hits if scope else F.broadcast(hits)
+    return payload.join(few, [*scope, "item_id"])
 
 
 def dense_search(

@@ -6,10 +6,10 @@ lies strictly inside the left interval.  Both halves are point-in-interval
 joins, and they cannot match the same pair twice.
 
 A point-in-interval join is made an equi-join with nested grids: an interval of
-length d uses the grid whose cells are the smallest power of four >= d, so it
+length d uses the grid whose cells are the smallest power of sixteen >= d, so it
 touches at most two cells however long it is; a point looks up its cell in each
 grid that holds intervals.  The list of grids in use is a scalar subquery of at
-most 32 integers.  Hot cells are left to AQE's skew join, which may split them
+most 16 integers.  Hot cells are left to AQE's skew join, which may split them
 because the join is a plain inner equi-join.
 """
 
@@ -21,16 +21,19 @@ from pyspark.sql import functions as F
 from tidemark.plans.ordered import ScanPolicy, ordered, running
 
 
+_PLACE = ("_half", "_level", "_cell")
+
+
 def _level(start: Column, end: Column) -> Column:
-    """Smallest k with 4**k >= length."""
+    """Smallest k with 16**k >= length."""
     length = (end - start).cast("bigint")
     bits = F.length(F.bin(F.greatest(length - 1, F.lit(0))))
     bits = F.when(length <= 1, F.lit(0)).otherwise(bits)
-    return F.ceil(bits / F.lit(2)).cast("int")
+    return F.ceil(bits / F.lit(4)).cast("int")
 
 
 def _cell(value: Column, level: Column) -> Column:
-    return F.call_function("shiftright", value.cast("bigint"), level * 2)
+    return F.call_function("shiftright", value.cast("bigint"), level * 4)
 
 
 def point_in_interval_join(
@@ -47,10 +50,10 @@ def point_in_interval_join(
     """
     keys = list(keys)
     gridded = points.withColumn("_grids", _grids(intervals, start, end))
-    looked_up = gridded.withColumn("_place", F.explode(_as_point(point, 0))).drop("_grids")
-    celled = intervals.withColumn("_place", F.explode(_as_interval(start, end, 0)))
-    joined = looked_up.join(celled, [*keys, "_place"], "inner")
-    return joined.where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("_place")
+    looked_up = gridded.select(*points.columns, F.inline(_as_point(point, 0)))
+    celled = intervals.select(*intervals.columns, F.inline(_as_interval(start, end, 0)))
+    joined = looked_up.join(celled, [*keys, *_PLACE], "inner")
+    return joined.where((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop(*_PLACE)
 
 
 def overlap_join(
@@ -70,13 +73,13 @@ def overlap_join(
     rs, re = right_range
     left_places = F.concat(_as_point(ls, 0), _as_interval(ls, le, 1))
     right_places = F.concat(_as_interval(rs, re, 0), _as_point(rs, 1))
-    placed_left = left.withColumn("_grids", _grids(right, rs, re)).withColumn("_place", F.explode(left_places))
-    placed_right = right.withColumn("_grids", _grids(left, ls, le)).withColumn("_place", F.explode(right_places))
-    joined = placed_left.drop("_grids").join(placed_right.drop("_grids"), [*keys, "_place"], "inner")
+    placed_left = left.withColumn("_grids", _grids(right, rs, re)).select(*left.columns, F.inline(left_places))
+    placed_right = right.withColumn("_grids", _grids(left, ls, le)).select(*right.columns, F.inline(right_places))
+    joined = placed_left.join(placed_right, [*keys, *_PLACE], "inner")
     inside = F.when(
-        F.col("_place.half") == 0, (F.col(rs) <= F.col(ls)) & (F.col(ls) < F.col(re))
+        F.col("_half") == 0, (F.col(rs) <= F.col(ls)) & (F.col(ls) < F.col(re))
     ).otherwise((F.col(ls) < F.col(rs)) & (F.col(rs) < F.col(le)))
-    return joined.where(inside).drop("_place")
+    return joined.where(inside).drop(*_PLACE)
 
 
 def _grids(intervals: DataFrame, start: str, end: str) -> Column:
@@ -87,7 +90,7 @@ def _grids(intervals: DataFrame, start: str, end: str) -> Column:
 
 
 def _place(half: int, level: Column, cell: Column) -> Column:
-    return F.struct(F.lit(half).alias("half"), level.alias("level"), cell.alias("cell"))
+    return F.struct(F.lit(half).alias("_half"), level.alias("_level"), cell.alias("_cell"))
 
 
 def _as_point(point: str, half: int) -> Column:

@@ -25,8 +25,7 @@ SELECT video_id, chunk_no, min_by(start_ms, ord) AS start_ms, max_by(end_ms, ord
        count(*) AS n_segments, CAST(sum(length(seg_text)) AS BIGINT) AS n_chars
 FROM labelled GROUP BY video_id, chunk_no""")
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = chunking.assign_chunks(conversation_segments(spark, sf_dir), TURN_CHUNKS)
-    return _chunk_sizes(labelled)
+    return _chunk_sizes(conversation_segments(spark, sf_dir), TURN_CHUNKS)
 
 
 @query(f"""WITH RECURSIVE {LINES}, {_LINE_SQL}
@@ -35,10 +34,12 @@ SELECT video_id, chunk_no, min_by(start_ms, ord) AS start_ms, max_by(end_ms, ord
 FROM labelled GROUP BY video_id, chunk_no""")
 def greedy_chunks_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a subtitle track, default limits."""
-    return _chunk_sizes(chunking.assign_chunks(document_lines(spark, sf_dir)))
+    return _chunk_sizes(document_lines(spark, sf_dir), chunking.ChunkParams())
 
 
-def _chunk_sizes(labelled: DataFrame) -> DataFrame:
+def _chunk_sizes(segments: DataFrame, params: chunking.ChunkParams) -> DataFrame:
+    needed = segments.select("video_id", "ord", "start_ms", "end_ms", "normalized_text")
+    labelled = chunking.assign_chunks(needed, params)
     return labelled.groupBy("video_id", "chunk_no").agg(
         F.min_by("start_ms", "ord").alias("start_ms"),
         F.max_by("end_ms", "ord").alias("end_ms"),
