@@ -18,7 +18,7 @@ USAGE_COUNTERS = (
 BUDGET_THRESHOLDS = (0.5, 0.75, 0.9)
 
 
-def split_new_and_reused(hits: DataFrame, top_k: int) -> DataFrame:
+def split_new_and_reused(hits: DataFrame, top_k: int, policy: ScanPolicy | None = None) -> DataFrame:
     """Label hits ``new`` or ``reused`` and keep at most ``top_k`` of each per call.
 
     ``hits``: ``run_id, call_no, rank, candidate_id``.  A candidate is new in the
@@ -29,13 +29,12 @@ def split_new_and_reused(hits: DataFrame, top_k: int) -> DataFrame:
     place = F.struct("call_no", "rank")
     first = hits.groupBy("run_id", "candidate_id").agg(F.min(place).alias("_first"))
     marked = hits.join(first, ["run_id", "candidate_id"]).withColumn("_fresh", F.col("_first") == place)
-    call = Window.partitionBy("run_id", "call_no")
-    by_rank = call.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    fresh_so_far = F.sum(F.col("_fresh").cast("int")).over(by_rank)
-    labelled = marked.withColumn("_new", F.col("_fresh") & (fresh_so_far <= top_k))
-    rest_so_far = F.sum((~F.col("_new")).cast("int")).over(by_rank)
+    keys, order = ["run_id", "call_no"], ["rank", "candidate_id"]
+    scan = running(ordered(marked, keys, order, policy), {"_n": ("sum", F.col("_fresh").cast("bigint"))})
+    new = F.col("_fresh") & (F.col("_n") <= top_k)
+    scan = running(scan.with_frame(scan.frame.withColumn("_new", new)), {"_rest": ("sum", (~F.col("_new")).cast("bigint"))})
     return (
-        labelled.withColumn("_rest", rest_so_far)
+        scan.done()
         .where(F.col("_new") | (F.col("_rest") <= top_k))
         .select(
             "run_id",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import fusion, verification
+from tidemark.plans.ordered import numbered, ordered
 from tidemark.queries import query
 from tidemark.queries.sql import IV
 from tidemark.session import read_table
@@ -53,14 +54,15 @@ ids AS (SELECT a.video_id, a.rank, string_agg(CAST(ch.ord AS VARCHAR), ',' ORDER
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_value = Window.partitionBy("video_id", "modality").orderBy(F.col("value").desc(), "event_id")
     lists = F.when(F.col("modality") == "ocr", 1).when(F.col("modality") == "transcript", 2).otherwise(3)
     source = F.concat("event_type", F.lit("_"), F.floor(F.col("value") / 10).cast("bigint"))
-    return event_intervals(spark, sf_dir).select(
+    falling = event_intervals(spark, sf_dir).withColumn("falling", -F.col("value"))
+    ranked = numbered(ordered(falling, ["video_id", "modality"], ["falling", "event_id"]), "rank").done()
+    return ranked.select(
         "video_id",
         "modality",
         lists.alias("list_no"),
-        F.row_number().over(by_value).alias("rank"),
+        (F.col("rank") + 1).alias("rank"),
         F.array(source).alias("source_ids"),
         "start_ms",
         "end_ms",

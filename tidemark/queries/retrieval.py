@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import tokenize
 from tidemark.functions.vectors import normalize_vector
 from tidemark.operators import chunking, indexing, retrieval
+from tidemark.operators.ranges import merge_ranges
 from tidemark.queries import query
 from tidemark.queries.segments import TURN_CHUNKS, _TURN_SQL
-from tidemark.queries.sql import CHUNKS, IV, SEGS, grid_shots
+from tidemark.queries.sql import CHUNKS, IV, SEGS, grid_shots, merged
 from tidemark.session import read_table
 from tidemark.sources.workload import (
     conversation_index,
@@ -213,9 +214,9 @@ def _documents(documents: DataFrame) -> DataFrame:
 
 
 _DESCRIBED = f"""{IV}, v AS (SELECT * FROM iv WHERE event_type = 'view'),
-p AS (SELECT * FROM iv WHERE event_type = 'purchase'), e AS (SELECT * FROM iv WHERE event_type = 'error'),
-ci AS (SELECT v.event_id, string_agg('c' || p.event_id, ',' ORDER BY p.start_ms, p.event_id) AS ids FROM v JOIN p ON p.video_id = v.video_id AND p.start_ms < v.end_ms AND v.start_ms < p.end_ms GROUP BY v.event_id),
-si AS (SELECT v.event_id, string_agg('s' || e.event_id, ',' ORDER BY e.start_ms, e.event_id) AS ids FROM v JOIN e ON e.video_id = v.video_id AND e.start_ms < v.end_ms AND v.start_ms < e.end_ms GROUP BY v.event_id)"""
+pu AS (SELECT * FROM iv WHERE event_type = 'purchase'), er AS (SELECT * FROM iv WHERE event_type = 'error'), {merged('pu', 'p')}, {merged('er', 'e')},
+ci AS (SELECT v.event_id, string_agg('c' || p.start_ms, ',' ORDER BY p.start_ms) AS ids FROM v JOIN p ON p.video_id = v.video_id AND p.start_ms < v.end_ms AND v.start_ms < p.end_ms GROUP BY v.event_id),
+si AS (SELECT v.event_id, string_agg('s' || e.start_ms, ',' ORDER BY e.start_ms) AS ids FROM v JOIN e ON e.video_id = v.video_id AND e.start_ms < v.end_ms AND v.start_ms < e.end_ms GROUP BY v.event_id)"""
 
 
 @query(f"""WITH {_DESCRIBED}
@@ -236,10 +237,10 @@ def visual_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def spans(kind: str, id_column: str, letter: str) -> DataFrame:
-        return iv.where(F.col("event_type") == kind).select(
+        return merge_ranges(iv.where(F.col("event_type") == kind)).select(
             "video_id",
-            F.concat(F.lit(letter), F.col("event_id")).alias(id_column),
-            F.struct("start_ms", "event_id").alias("ord"),
+            F.concat(F.lit(letter), F.col("start_ms")).alias(id_column),
+            F.col("start_ms").alias("ord"),
             "start_ms",
             "end_ms",
         )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
+from tidemark.plans.ordered import numbered, ordered
 from tidemark.queries import query
 from tidemark.queries.sql import IV, merged
 from tidemark.session import read_table
@@ -21,11 +22,11 @@ _HITS = """hits AS (
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
-    by_value = Window.partitionBy("run_id", "call_no").orderBy(F.col("value").desc(), "event_id")
     events = read_table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run_id"), day.alias("call_no"), "event_id", "value", F.col("props").alias("candidate_id")
+        F.col("user_id").alias("run_id"), day.alias("call_no"), "event_id", (-F.col("value")).alias("falling"), F.col("props").alias("candidate_id")
     )
-    return events.withColumn("rank", F.row_number().over(by_value).cast("bigint")).drop("value")
+    ranked = numbered(ordered(events, ["run_id", "call_no"], ["falling", "event_id"]), "rank").done()
+    return ranked.withColumn("rank", F.col("rank") + 1).drop("falling")
 
 
 @query(f"""WITH {_HITS}, m AS (

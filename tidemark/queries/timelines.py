@@ -19,6 +19,11 @@ def _typed(iv: DataFrame, kind: str) -> DataFrame:
     return iv.where(F.col("event_type") == kind)
 
 
+def _islands(iv: DataFrame, kind: str) -> DataFrame:
+    """Merged ranges of one event type: disjoint, like the chunks or shots of a video."""
+    return ranges.merge_ranges(_typed(iv, kind)).drop("n_ranges")
+
+
 def _hull(iv: DataFrame) -> DataFrame:
     return iv.groupBy("video_id").agg(
         (F.min("start_ms") - 1_000).alias("total_start_ms"), (F.max("end_ms") + 1_000).alias("total_end_ms")
@@ -86,22 +91,21 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {IV}
-SELECT i.video_id, i.event_id, string_agg(CAST(k.event_id AS VARCHAR), ',' ORDER BY k.start_ms, k.event_id) AS chunk_ids, count(*) AS n_chunks
-FROM iv i JOIN iv k ON k.video_id = i.video_id AND k.event_type = 'purchase'
- AND i.start_ms < k.end_ms AND k.start_ms < i.end_ms
+_PURCHASES = f"""{IV}, pu AS (SELECT * FROM iv WHERE event_type = 'purchase'), {merged('pu', 'k')}"""
+_VIEWS = f"""{IV}, vi AS (SELECT * FROM iv WHERE event_type = 'view'), {merged('vi', 'k')}"""
+
+
+@query(f"""WITH {_PURCHASES}
+SELECT i.video_id, i.event_id, string_agg(CAST(k.start_ms AS VARCHAR), ',' ORDER BY k.start_ms) AS chunk_ids, count(*) AS n_chunks
+FROM iv i JOIN k ON k.video_id = i.video_id AND i.start_ms < k.end_ms AND k.start_ms < i.end_ms
 WHERE i.event_type <> 'purchase' GROUP BY i.video_id, i.event_id""")
 def overlap_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.indexing import overlapping_ids
 
     iv = event_intervals(spark, sf_dir)
     items = iv.where("event_type <> 'purchase'").withColumnRenamed("event_id", "item_id")
-    spans = _typed(iv, "purchase").select(
-        "video_id",
-        F.col("event_id").cast("string").alias("chunk_id"),
-        F.struct("start_ms", "event_id").alias("ord"),
-        "start_ms",
-        "end_ms",
+    spans = _islands(iv, "purchase").select(
+        "video_id", F.col("start_ms").cast("string").alias("chunk_id"), F.col("start_ms").alias("ord"), "start_ms", "end_ms"
     )
     linked = overlapping_ids(items, spans, "chunk_id", "ids")
     return linked.select(
@@ -112,23 +116,20 @@ def overlap_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {IV}
-SELECT i.video_id, i.event_id, k.event_id AS other_id,
-       greatest(i.start_ms, k.start_ms) AS start_ms, least(i.end_ms, k.end_ms) AS end_ms
-FROM iv i JOIN iv k ON k.video_id = i.video_id AND i.start_ms < k.end_ms AND k.start_ms < i.end_ms
-WHERE i.event_type = 'click' AND k.event_type = 'view'""")
+@query(f"""WITH {_VIEWS}
+SELECT i.video_id, i.event_id, greatest(i.start_ms, k.start_ms) AS start_ms, least(i.end_ms, k.end_ms) AS end_ms
+FROM iv i JOIN k ON k.video_id = i.video_id AND i.start_ms < k.end_ms AND k.start_ms < i.end_ms
+WHERE i.event_type = 'click'""")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each click interval that lie in viewed time."""
     iv = event_intervals(spark, sf_dir)
-    right = _typed(iv, "view").select(
-        "video_id",
-        F.col("event_id").alias("other_id"),
-        F.col("start_ms").alias("r_start_ms"),
-        F.col("end_ms").alias("r_end_ms"),
+    right = _islands(iv, "view").select(
+        "video_id", F.col("start_ms").alias("r_start_ms"), F.col("end_ms").alias("r_end_ms")
     )
     pairs = overlap_join(_typed(iv, "click").select("video_id", "event_id", "start_ms", "end_ms"), right)
     shared = intersection("start_ms", "end_ms", "r_start_ms", "r_end_ms")
     return pairs.withColumn("_x", shared).select(
-        "video_id", "event_id", "other_id", F.col("_x.start_ms").alias("start_ms"), F.col("_x.end_ms").alias("end_ms")
+        "video_id", "event_id", F.col("_x.start_ms").alias("start_ms"), F.col("_x.end_ms").alias("end_ms")
     )
 
 
@@ -143,17 +144,17 @@ def overlap_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_semi(left, _typed(iv, "error"))
 
 
-@query(f"""WITH {IV}
-SELECT i.video_id, i.event_id, i.start_ms AS timestamp_ms, k.event_id AS holder_id
-FROM iv i JOIN iv k ON k.video_id = i.video_id AND k.start_ms <= i.start_ms AND i.start_ms < k.end_ms
-WHERE i.event_type = 'click' AND k.event_type = 'purchase'""")
+@query(f"""WITH {_PURCHASES}
+SELECT i.video_id, i.event_id, i.start_ms AS timestamp_ms, k.start_ms AS holder_start_ms
+FROM iv i JOIN k ON k.video_id = i.video_id AND k.start_ms <= i.start_ms AND i.start_ms < k.end_ms
+WHERE i.event_type = 'click'""")
 def point_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     iv = event_intervals(spark, sf_dir)
     points = _typed(iv, "click").select("video_id", "event_id", F.col("start_ms").alias("timestamp_ms"))
-    holders = _typed(iv, "purchase").select("video_id", F.col("event_id").alias("holder_id"), "start_ms", "end_ms")
-    return point_in_interval_join(points, holders, ["video_id"], "timestamp_ms", "start_ms", "end_ms").drop(
-        "start_ms", "end_ms"
-    )
+    holders = _islands(iv, "purchase").select("video_id", F.col("start_ms").alias("holder_start_ms"), "end_ms")
+    return point_in_interval_join(
+        points, holders, ["video_id"], "timestamp_ms", "holder_start_ms", "end_ms"
+    ).drop("end_ms")
 
 
 @query(f"""WITH {IV}, p AS (
@@ -272,15 +273,14 @@ def fixed_fps_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {IV}, s AS (SELECT video_id, start_ms, end_ms FROM iv WHERE event_type = 'view'),
-m AS (SELECT video_id, start_ms, end_ms FROM iv WHERE event_type = 'purchase'),
+@query(f"""WITH {_VIEWS}, pu AS (SELECT * FROM iv WHERE event_type = 'purchase'), {merged('pu', 'm')},
 p AS (SELECT DISTINCT m.video_id, (greatest(m.start_ms, s.start_ms) + least(m.end_ms, s.end_ms)) // 2 AS timestamp_ms
-      FROM m JOIN s ON s.video_id = m.video_id AND s.start_ms < m.end_ms AND m.start_ms < s.end_ms)
+      FROM m JOIN k s ON s.video_id = m.video_id AND s.start_ms < m.end_ms AND m.start_ms < s.end_ms)
 SELECT video_id, timestamp_ms FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_ms) AS n FROM p) WHERE n <= 24""")
 def keyframe_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     iv = event_intervals(spark, sf_dir)
-    return frames.keyframe_timestamps(_typed(iv, "purchase"), _typed(iv, "view"), max_frames=24)
+    return frames.keyframe_timestamps(_islands(iv, "purchase"), _islands(iv, "view"), max_frames=24)
 
 
 @query(f"""WITH {IV}, o AS (

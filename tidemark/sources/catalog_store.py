@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import catalog
+from tidemark.session import cut_lineage
 
 
 class RevisionConflict(RuntimeError):
@@ -39,30 +40,28 @@ class CatalogStore:
         return self.spark.read.schema(catalog.SELECTION_SCHEMA).parquet(self.selections_path)
 
     def create_videos(self, assets: DataFrame) -> DataFrame:
-        decided = catalog.create_videos(assets, self.selections, self.entries).persist()
+        decided = cut_lineage(catalog.create_videos(assets, self.selections, self.entries))
         fresh = decided.where("outcome = 'created'").drop("outcome")
         self._append(fresh, fresh.select("video_id", "revision", "key", "entry_id"))
         return decided.select("video_id", "entry_id", "outcome")
 
     def register(self, batch: DataFrame, expected_revisions: DataFrame | None = None) -> DataFrame:
         planned = catalog.register(batch, self.entries, self.selections, expected_revisions)
-        decided = planned["decided"].persist()
+        decided = cut_lineage(planned["decided"])
         if decided.where("outcome = 'revision_conflict'").limit(1).count():
             raise RevisionConflict("expected revision does not match the catalog")
         self._append(planned["entries"], planned["selections"])
         return decided
 
     def activate(self, choices: DataFrame) -> None:
-        rows = catalog.activate(choices, self.entries, self.selections)
+        rows = cut_lineage(catalog.activate(choices, self.entries, self.selections))
         rows.write.mode("append").parquet(self.selections_path)
 
     def states(self, files: DataFrame | None = None, allowed_roots: tuple[str, ...] = ()) -> DataFrame:
         return catalog.entry_states(self.entries, self.selections, files, allowed_roots)
 
     def _append(self, entries: DataFrame, selections: DataFrame) -> None:
-        # both results are settled before either table changes under their plans
-        entries, selections = entries.persist(), selections.persist()
-        entries.count(), selections.count()
+        # both results are stored before either table changes under their plans
+        entries, selections = cut_lineage(entries), cut_lineage(selections)
         entries.write.mode("append").parquet(self.entries_path)
         selections.write.mode("append").parquet(self.selections_path)
-        entries.unpersist(), selections.unpersist()

@@ -112,7 +112,9 @@ def map_probes(payloads: DataFrame) -> DataFrame:
     ``mapping_error`` names the first unusable required field; such rows keep
     their other columns so a caller can route them.
     """
-    parsed = payloads.select("video_id", F.from_json("payload", PAYLOAD_SCHEMA).alias("p"))
+    # the parser turns broken text into empty structs, so readability is asked separately
+    readable = F.json_object_keys("payload").isNotNull()
+    parsed = payloads.select("video_id", readable.alias("_readable"), F.from_json("payload", PAYLOAD_SCHEMA).alias("p"))
     streams = F.coalesce(F.col("p.streams"), F.from_json(F.lit("[]"), PAYLOAD_SCHEMA.split("streams ", 1)[1]))
 
     def of_type(kind: str, build) -> Column:
@@ -134,7 +136,7 @@ def map_probes(payloads: DataFrame) -> DataFrame:
     )
     mapped = parsed.select(
         "video_id",
-        F.col("p").isNull().alias("_unreadable"),
+        "_readable",
         container.alias("container"),
         of_type("video", _video).alias("video_streams"),
         of_type("audio", _audio).alias("audio_streams"),
@@ -144,10 +146,10 @@ def map_probes(payloads: DataFrame) -> DataFrame:
         *[F.transform(c, lambda s: s["stream_index"]) for c in ("video_streams", "audio_streams", "subtitle_streams")]
     )
     error = (
-        F.when(F.col("_unreadable"), "FFprobe payload is not a JSON object.")
+        F.when(~F.col("_readable"), "FFprobe payload is not a JSON object.")
         .when(F.exists(indexes, lambda i: i.isNull()), "Missing or invalid stream index.")
         .when(F.exists("video_streams", lambda s: s["width"].isNull()), "Missing or invalid video width.")
         .when(F.exists("video_streams", lambda s: s["height"].isNull()), "Missing or invalid video height.")
         .when(F.size(F.array_distinct(indexes)) < F.size(indexes), "stream indexes must be unique")
     )
-    return mapped.withColumn("mapping_error", error).drop("_unreadable")
+    return mapped.withColumn("mapping_error", error).drop("_readable")
