@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The token and sentence patterns that decide results.
-TOKEN_PATTERN = "([a-zA-Z0-9_]+|[\\u3400-\\u9fff])"
+TOKEN_PATTERN = "[a-zA-Z0-9_]++|[\\u3400-\\u9fff]"
 BIGRAM_PATTERN = "(?=([\\u3400-\\u9fff]{2}))"
 SENTENCE_END_PATTERN = "[.!?。！？；;][\"'”’）)]?$"
 MARKUP_PATTERN = "<[^>]+>"
@@ -28,10 +28,11 @@ def tokenize(text: Column) -> Column:
     Non-ASCII Latin letters separate words.  Bigrams pair neighbours in the
     sequence of CJK characters, ignoring words in between.
     """
-    units = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(1)), F.lower)
+    units = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), F.lower)
     characters = F.regexp_replace(text, "[^\\u3400-\\u9fff]", "")
     bigrams = F.regexp_extract_all(characters, F.lit(BIGRAM_PATTERN), F.lit(1))
-    has_cjk = text.rlike("[\\u3400-\\u9fff]")
+    # byte and character counts agree for ASCII texts, which need no further look
+    has_cjk = (F.octet_length(text) != F.length(text)) & text.rlike("[\\u3400-\\u9fff]")
     return F.when(has_cjk, F.concat(units, bigrams)).otherwise(units)
 
 

@@ -121,21 +121,37 @@ def covering_manifests(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """Newest frame manifest holding every wanted frame of a request (division).
 
     ``frames``: ``video_id, manifest_no, frame_id``; ``wanted``: ``request_id,
-    video_id, frame_id``.  Counting distinct matches replaces set containment.
+    video_id, frame_id``.  Manifests with the same frames, and requests for the
+    same frames, are first reduced to one row each (a manifest holds a bounded
+    number of frames).  A request then meets only the manifests that hold its
+    rarest frame.
     """
-    asked = wanted.select("request_id", "video_id", "frame_id").distinct()
-    sizes = asked.groupBy("request_id", "video_id").agg(F.count(F.lit(1)).alias("n_wanted"))
-    matched = (
-        asked.join(frames.select("video_id", "manifest_no", "frame_id").distinct(), ["video_id", "frame_id"])
-        .groupBy("request_id", "video_id", "manifest_no")
-        .agg(F.count(F.lit(1)).alias("n_found"))
+    def frame_set(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.array_sort(F.collect_set("frame_id")).alias("frames"))
+
+    manifests = (
+        frame_set(frames, "video_id", "manifest_no")
+        .groupBy("video_id", "frames")
+        .agg(F.max("manifest_no").alias("manifest_no"))
+        .withColumnRenamed("frames", "held")
     )
-    return (
-        matched.join(sizes, ["request_id", "video_id"])
-        .where("n_found = n_wanted")
-        .groupBy("request_id", "video_id")
+    asked = frame_set(wanted, "request_id", "video_id")
+    asks = asked.select("video_id", "frames").distinct()
+    holders = manifests.withColumn("frame_id", F.explode("held"))
+    spread = holders.groupBy("video_id", "frame_id").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        asks.withColumn("frame_id", F.explode("frames"))
+        .join(spread, ["video_id", "frame_id"])
+        .groupBy("video_id", "frames")
+        .agg(F.min_by("frame_id", F.struct("n", "frame_id")).alias("frame_id"))
+    )
+    answers = (
+        rarest.join(holders, ["video_id", "frame_id"])
+        .where(F.size(F.array_except("frames", "held")) == 0)
+        .groupBy("video_id", "frames")
         .agg(F.max("manifest_no").alias("manifest_no"))
     )
+    return asked.join(answers, ["video_id", "frames"]).select("request_id", "video_id", "manifest_no")
 
 
 def resolve_targets(parts: Sequence[DataFrame]) -> DataFrame:

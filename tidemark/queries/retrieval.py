@@ -12,7 +12,7 @@ from tidemark.operators.ranges import merge_ranges
 from tidemark.queries import query
 from tidemark.queries.segments import TURN_CHUNKS, _TURN_SQL
 from tidemark.queries.sql import CHUNKS, IV, SEGS, grid_shots, merged
-from tidemark.session import read_table
+from tidemark.session import cut_lineage, read_table
 from tidemark.sources.workload import (
     conversation_index,
     conversation_segments,
@@ -63,7 +63,7 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(bm25_sql(_DOCS))
 def bm25_search_prepared_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search over an index that carries term counts."""
-    index = indexing.text_index(document_index(spark, sf_dir), ["item_id"])
+    index = cut_lineage(indexing.text_index(document_index(spark, sf_dir), ["item_id"]).drop("text"))
     return _hits(retrieval.bm25_search(index, SEARCH, top_k=20))
 
 
