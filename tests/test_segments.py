@@ -105,7 +105,7 @@ def test_clusters_against_brute_force(spark, cut_policy, cut):
     labelled = fusion.cluster_evidence(evidence, spark.createDataFrame(spans, SPANS), params, cut_policy if cut else None).collect()
     got = {}
     for r in labelled:
-        got.setdefault((r.video_id, r._run, r.cluster_no), set()).add(r.source_id)
+        got.setdefault((r.video_id, r.cluster_no), set()).add(r.source_id)
     expected = []
     for video in ("a", "b"):
         clusters = []
@@ -121,6 +121,15 @@ def test_clusters_against_brute_force(spark, cut_policy, cut):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected))
 
 
+def test_clusters_out_of_phase_are_handed_over(spark, cut_policy):
+    """Evenly spaced items never fall into step, so every shard needs its predecessor's state."""
+    items = [("a", "ocr", f"i{n}", n * 10, n * 10 + 10, 1.0, 0, n) for n in range(70)]
+    evidence = spark.createDataFrame(items, "video_id string, modality string, source_id string, start_ms long, end_ms long, score double, first_list int, first_rank int")
+    none = spark.createDataFrame([], SPANS)
+    got = fusion.cluster_evidence(evidence, none, fusion.FusionParams(max_gap_ms=0, max_window_ms=110), cut_policy).collect()
+    assert {r.source_id: r.cluster_no for r in got} == {f"i{n}": n // 11 for n in range(70)}
+
+
 def test_frame_timestamps(spark):
     def spans(*pairs):
         return spark.createDataFrame([("v", s, e) for s, e in pairs], "video_id string, start_ms long, end_ms long")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.folds import fold_groups
-from tidemark.plans.ordered import ScanPolicy, ordered, running
+from tidemark.plans.ordered import ScanPolicy, ordered
 from tidemark.plans.overlap import overlap_join
 from tidemark.session import cut_lineage
 
@@ -72,6 +72,14 @@ class _ClusterRule:
         self.max_gap_ms, self.max_window_ms = max_gap_ms, max_window_ms
         self.low = self.high = 0
 
+    @property
+    def state(self) -> tuple:
+        return self.low, self.high
+
+    @state.setter
+    def state(self, values: tuple) -> None:
+        self.low, self.high = values
+
     def __call__(self, row: tuple, fresh: bool) -> bool:
         start, end, chunk_start = row
         if not fresh:
@@ -91,7 +99,7 @@ def cluster_evidence(
     params: FusionParams = FusionParams(),
     policy: ScanPolicy | None = None,
 ) -> DataFrame:
-    """Add ``_run, cluster_no`` to evidence rows.
+    """Add ``cluster_no`` (0-based per video) to evidence rows.
 
     Evidence is walked in (range, -score) order and joins the latest cluster when
     it is near it or shares a chunk with it, and the hull stays within the
@@ -113,25 +121,9 @@ def cluster_evidence(
     )
     order = ["start_ms", "end_ms", "_falling", "first_list", "first_rank", "modality", "source_id"]
     scan = ordered(rows, ["video_id"], order, policy)
-    if scan.sharded:
-        scan = running(scan, {"_reach": ("max", F.col("end_ms"))}, inclusive=False)
-        detached = (F.col("start_ms") > F.col("_reach") + params.max_gap_ms) & (
-            F.coalesce(F.col("_chunk_start") >= F.col("_reach"), F.lit(True))
-        )
-        scan = running(scan, {"_run": ("sum", detached.cast("bigint"))})
-        rows = scan.done().withColumn("_run", F.coalesce("_run", F.lit(0))).drop("_reach")
-        cluster = ["video_id", "_run"]
-    else:
-        rows = rows.withColumn("_run", F.lit(0).cast("bigint"))
-        cluster = ["video_id"]
     max_gap, max_window = params.max_gap_ms, params.max_window_ms
     return fold_groups(
-        rows,
-        cluster,
-        order,
-        ["start_ms", "end_ms", "_chunk_start"],
-        lambda: _ClusterRule(max_gap, max_window),
-        "cluster_no",
+        scan, ["start_ms", "end_ms", "_chunk_start"], lambda: _ClusterRule(max_gap, max_window), "cluster_no"
     ).drop("_chunk_start", "_falling")
 
 
@@ -151,7 +143,7 @@ def candidate_windows(
     """
     evidence = cut_lineage(fuse_evidence(hits, params))
     clustered = cut_lineage(cluster_evidence(evidence, chunks, params, policy))
-    scalars = clustered.groupBy("video_id", "_run", "cluster_no").agg(
+    scalars = clustered.groupBy("video_id", "cluster_no").agg(
         F.sum("score").alias("fusion_rrf"),
         F.min("start_ms").alias("raw_start_ms"),
         F.max("end_ms").alias("raw_end_ms"),
@@ -189,7 +181,7 @@ def candidate_windows(
         .drop("_lo", "_hi")
     )
     members = (
-        clustered.join(top.select("video_id", "_run", "cluster_no", "rank"), ["video_id", "_run", "cluster_no"])
+        clustered.join(top.select("video_id", "cluster_no", "rank"), ["video_id", "cluster_no"])
         .groupBy("video_id", "rank")
         .agg(
             F.array_sort(

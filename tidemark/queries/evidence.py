@@ -99,12 +99,12 @@ SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n
 def evidence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fusion.fuse_evidence(_hits(spark, sf_dir), FUSION)
     clustered = fusion.cluster_evidence(fused, _quarter_days(spark, sf_dir), FUSION)
-    return clustered.groupBy("video_id", "_run", "cluster_no").agg(
+    return clustered.groupBy("video_id", "cluster_no").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
         F.count(F.lit(1)).alias("n_items"),
         F.round(F.sum("score"), 9).alias("score"),
-    ).drop("_run", "cluster_no")
+    ).drop("cluster_no")
 
 
 @query(f"""WITH RECURSIVE {_CLUSTERED}
