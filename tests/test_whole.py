@@ -14,7 +14,7 @@ from tidemark.functions.text import text_ratio
 from tidemark.operators.chunking import ChunkParams
 from tidemark.operators.preprocessing import PreprocessingParams, StageStore, preprocess
 from tidemark.tools import doctor
-from tidemark.tools.agent import Decision, Draft, Limits, VideoAgent
+from tidemark.tools.agent import Decision, Draft, Limits, QuestionLoop
 from tidemark.tools.suite import ToolSuite
 from tidemark.tools.workspace import Session, Workspace
 from tidemark.udfs.backends import HashingEmbedder
@@ -79,13 +79,13 @@ def test_question_loop(spark, inputs, tmp_path):
     def writer(question, evidence):
         return Draft("The door opens.", [("The door opens.", tuple(e["evidence_id"] for e in evidence), 0.9)])
 
-    answer = VideoAgent(spark, suite, planner, writer).ask("door opens", Session("sub"))
+    answer = QuestionLoop(spark, suite, planner, writer).ask("door opens", Session("sub"))
     assert answer.status == "completed" and answer.citations[0]["excerpt"] == "The door opens slowly."
 
-    stubborn = VideoAgent(spark, suite, lambda *_: Decision("visual", evidence_ids=("ghost",)), writer, Limits(max_remediations=1))
+    stubborn = QuestionLoop(spark, suite, lambda *_: Decision("visual", evidence_ids=("ghost",)), writer, Limits(max_remediations=1))
     refused = stubborn.ask("who?", Session("sub"))
     assert refused.status == "abstained" and "Visual evidence is required" in refused.reason
-    repeating = VideoAgent(spark, suite, lambda *_: Decision("local_event", "search_video_transcript", {"query": "x"}), writer, Limits(max_replans=0))
+    repeating = QuestionLoop(spark, suite, lambda *_: Decision("local_event", "search_video_transcript", {"query": "x"}), writer, Limits(max_replans=0))
     assert "made before" in repeating.ask("x", Session("sub")).reason
 
 

@@ -88,9 +88,9 @@ _PARTS = """pr AS (
 @query(f"""WITH {_PARTS}
 SELECT video_id, CASE WHEN s < 48 THEN ms ELSE -1 END AS duration_ms, CASE WHEN s < 45 THEN 'mov|mp4|m4a' ELSE '' END AS format_names,
   (CASE WHEN has_video THEN 1 ELSE 0 END + CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE 0 END) AS n_video, CASE WHEN has_audio THEN 1 ELSE 0 END AS n_audio,
-  CASE WHEN has_video THEN s * 64 ELSE -1 END AS width, CASE WHEN has_video THEN codec ELSE '' END AS codec_name,
-  CASE WHEN has_video AND s <= 40 THEN s * 1000 ELSE -1 END AS average_numerator,
-  CASE WHEN has_video THEN ((s * 45 - 900) % 360 + 360) % 360 ELSE -1 END AS rotation_degrees,
+  CAST(CASE WHEN has_video THEN s * 64 ELSE -1 END AS BIGINT) AS width, CASE WHEN has_video THEN codec ELSE '' END AS codec_name,
+  CAST(CASE WHEN has_video AND s <= 40 THEN s * 1000 ELSE -1 END AS BIGINT) AS average_numerator,
+  CAST(CASE WHEN has_video THEN ((s * 45 - 900) % 360 + 360) % 360 ELSE -1 END AS BIGINT) AS rotation_degrees,
   CASE WHEN s < 48 THEN ms WHEN has_video THEN ms ELSE -1 END AS source_end_ms
 FROM pr""")
 def ffprobe_map(spark: SparkSession, sf_dir: str) -> DataFrame:
