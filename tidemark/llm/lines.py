@@ -201,12 +201,13 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
     (``n_lines`` 0 for null texts); rows repeated under one id count as one
     document.  Other columns come through unchanged.
     """
-    numbers = repeated_lines(docs, rule).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(numbers, docs["doc_id"] == numbers["_of"], "left")
-    parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    numbers = repeated_lines(docs.select("doc_id", "text"), rule).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("line_no").alias("numbers"))
+    joined = docs.join(numbers, docs["doc_id"] == numbers["of"], "left")
+    whole, gone = docs["text"], numbers["numbers"]
+    parts = F.split(whole, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     clean = F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(clean)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("bigint")
-    dropped = F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")
+    text = F.when(gone.isNull() | whole.isNull(), whole).otherwise(clean)
+    n_lines = F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("bigint")
+    dropped = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("bigint")
     return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns), n_lines.alias("n_lines"), dropped.alias("n_dropped"))
