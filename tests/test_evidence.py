@@ -175,12 +175,15 @@ def test_register_batch(spark):
     def ask(name, sha, deps, activate=True, video="v"):
         return (name, video, "transcript", sha, "/x", 1, deps, "k", "p", "1", activate)
 
-    batch = spark.createDataFrame(
-        [ask("same", "bb", ["src"]), ask("older", "aa", ["src"]), ask("new", "cc", ["src"]), ask("orphan", "dd", ["nope"]), ask("lost", "ee", [], True, "w")],
+    columns = (
         "request_id string, video_id string, key string, content_sha256 string, uri string, size_bytes long, dependency_entry_ids array<string>, "
-        "derivation_key string, producer_name string, producer_version string, activate boolean",
+        "derivation_key string, producer_name string, producer_version string, activate boolean"
     )
+    asked = [ask("same", "bb", ["src"]), ask("older", "aa", ["src"]), ask("new", "cc", ["src"]), ask("orphan", "dd", ["nope"]), ask("lost", "ee", [], True, "w")]
+    batch = spark.createDataFrame([(*r, k) for k, r in enumerate(asked)], columns + ", request_no long")
     planned = catalog.register(batch, entries, selections)
+    assert {r.request_id: r.revision for r in planned["decided"].collect()} == {"same": 3, "older": 4, "new": 5, "orphan": 5, "lost": None}
+    assert [(r.revision, r.entry_id) for r in planned["selections"].orderBy("revision").collect()][0] == (4, "t1")
     assert {r.request_id: r.outcome for r in planned["decided"].collect()} == {
         "same": "unchanged", "older": "reactivated", "new": "registered", "orphan": "dependency_not_found", "lost": "video_not_found"}
     assert [r.content_sha256 for r in planned["entries"].collect()] == ["cc"]
@@ -189,6 +192,45 @@ def test_register_batch(spark):
     assert {r.outcome for r in conflicted.collect()} == {"revision_conflict"}
 
 
+def test_requests_of_one_video_take_effect_in_order(spark):
+    plain = entry(1, "src", "source")
+    unknown = (*entry(2, "t1", "transcript", ["src"], "aa")[:8], None, *entry(2, "t1", "transcript", ["src"], "aa")[9:])
+    entries = spark.createDataFrame([plain, unknown], ENTRIES)
+    selections = entries.select("video_id", "revision", "key", "entry_id")
+    columns = (
+        "request_id string, video_id string, key string, content_sha256 string, uri string, size_bytes long, dependency_entry_ids array<string>, "
+        "derivation_key string, producer_name string, producer_version string, activate boolean"
+    )
+    row = entries.where("entry_id = 't1'").first()
+
+    def ask(name, sha, activate=True, uri="/x"):
+        return (name, "v", "transcript", sha, uri, 1, ["src"], None, row.producer_name, row.producer_version, activate)
+
+    asked = [
+        ask("a", "aa"), ask("b", "new"), ask("c", "new"), ask("d", "aa"), ask("e", "later", False), ask("f", "later"), ask("g", "later"), ask("h", "bad", uri="/y"),
+    ]
+    files = spark.createDataFrame([("/y", "else")], "uri string, sha256 string")
+    planned = catalog.register(spark.createDataFrame(asked, columns), entries, selections, files=files)
+    rows = {r.request_id: r for r in planned["decided"].collect()}
+    assert [rows[k].outcome for k in "abcdefgh"] == ["unchanged", "registered", "unchanged", "reactivated", "registered", "reactivated", "unchanged", "hash_mismatch"]
+    assert [rows[k].revision for k in "abcdefg"] == [2, 3, 3, 4, 5, 6, 6]
+    assert rows["b"].entry_id == rows["c"].entry_id and rows["e"].entry_id == rows["f"].entry_id and rows["d"].entry_id == "t1"
+    assert sorted(r.revision for r in planned["entries"].collect()) == [3, 5]
+    assert [r.revision for r in planned["selections"].orderBy("revision").collect()] == [3, 4, 6]
+    reusable = catalog.find_reusable(
+        catalog.entry_states(entries, selections), entries.select(F.col("entry_id").alias("request_id"), "video_id", "key", "derivation_key", "dependency_entry_ids")
+    )
+    assert {(r.request_id, r.entry_id) for r in reusable.collect()} == {("src", "src"), ("t1", "t1")}
+
+
+def test_activations_raise_the_revision_one_by_one(spark):
+    entries = spark.createDataFrame([entry(1, "a1", "a"), entry(2, "a2", "a"), entry(3, "b1", "b"), entry(4, "b2", "b")], ENTRIES)
+    selections = entries.select("video_id", "revision", "key", "entry_id")
+    choices = spark.createDataFrame([("v", "b", "b1", 0), ("v", "a", "a1", 1), ("v", "a", "a2", 2), ("v", "a", "a2", 3), ("v", "a", "b1", 4)], "video_id string, key string, entry_id string, choice_no int")
+    rows = catalog.activate(choices, entries, selections).orderBy("revision").collect()
+    assert [(r.revision, r.entry_id) for r in rows] == [(5, "b1"), (6, "a1"), (7, "a2")]
+
+
 def test_catalog_store_round_trip(spark, tmp_path):
     from tidemark.sources.catalog_store import CatalogStore, RevisionConflict
 

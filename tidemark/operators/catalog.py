@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTRY_SCHEMA = (
@@ -119,13 +119,24 @@ def find_reusable(states: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests``: ``request_id, video_id, key, derivation_key,
     dependency_entry_ids``; requests without a match are absent.
     """
-    on = ["video_id", "key", "derivation_key", "dependency_entry_ids"]
     usable = states.where((F.col("state") == "available") & (F.col("file_sha256") == F.col("content_sha256")))
+    on = ["video_id", "key", "derivation_key", "dependency_entry_ids"]
     newest = usable.groupBy(*on).agg(
         F.max_by("entry_id", F.struct("revision", "entry_id")).alias("entry_id"),
         F.max("revision").alias("revision"),
     )
-    return requests.join(newest, on).select("request_id", "video_id", "key", "entry_id", "revision")
+    # a derivation key may be unknown on both sides, which is then the same key
+    return requests.join(newest, _same(requests, newest, on)).select(
+        requests["request_id"], requests["video_id"], requests["key"], newest["entry_id"], newest["revision"]
+    )
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equality on all of ``names``, where nulls equal each other."""
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & left[name].eqNullSafe(right[name])
+    return condition
 
 
 def audit(states: DataFrame, deep: bool = False) -> DataFrame:
@@ -187,18 +198,30 @@ def create_videos(assets: DataFrame, selections: DataFrame, entries: DataFrame)
     )
 
 
+IDENTITY = (
+    "video_id", "key", "content_sha256", "dependency_entry_ids", "derivation_key", "producer_name", "producer_version",
+)
+
+
 def register(
     batch: DataFrame,
     entries: DataFrame,
     selections: DataFrame,
     expected_revisions: DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Plan one registration per video for a whole batch.
+    """Plan the registrations of a whole batch, any number per video.
 
     ``batch``: an entry without ``revision``/``entry_id`` plus ``request_id`` and
-    ``activate``.  Returns ``decided`` (one ``outcome`` per request), and the
-    ``entries`` and ``selections`` rows to append.  An identical entry is not
-    stored again; it is only re-selected when asked to and not active.
+    ``activate``, and ``request_no`` where the requests of a video have another order
+    than that of ``request_id``.  They take effect one after the other: each that
+    changes the catalog raises its video's revision by one, and a later request sees
+    what an earlier one stored or selected.  Returns ``decided`` (one ``outcome`` per
+    request), and the ``entries`` and ``selections`` rows to append.  An identical
+    entry is not stored again; it is only re-selected when asked to and not active.
+
+    ``files`` (``uri, sha256``): what the storage holds; a request whose declared
+    hash differs from it is refused.
     """
     head = (
         entries.select("video_id", "revision")
@@ -206,66 +229,87 @@ def register(
         .groupBy("video_id")
         .agg(F.max("revision").alias("head"))
     )
-    identity = ["video_id", "key", "content_sha256", "dependency_entry_ids", "derivation_key",
-                "producer_name", "producer_version"]
-    twins = entries.groupBy(*identity).agg(F.min_by("entry_id", "revision").alias("twin"))
+    twins = entries.groupBy(*IDENTITY).agg(F.min_by("entry_id", "revision").alias("twin"))
     active = active_selections(selections).select("video_id", "key", F.col("entry_id").alias("active_entry"))
     missing = (
         missing_dependencies(batch, entries).groupBy("video_id", "request_id").agg(F.count(F.lit(1)).alias("n_missing"))
     )
+    numbered = batch if "request_no" in batch.columns else batch.withColumn("request_no", F.col("request_id"))
     joined = (
-        batch.join(head, "video_id", "left")
-        .join(twins, identity, "left")
+        numbered.join(twins, _same(numbered, twins, IDENTITY), "left")
+        .select(*[numbered[c] for c in numbered.columns], twins["twin"])
+        .join(head, "video_id", "left")
         .join(active, ["video_id", "key"], "left")
         .join(missing, ["video_id", "request_id"], "left")
     )
-    conflict = F.lit(False)
+    conflict, mismatch = F.lit(False), F.lit(False)
     if expected_revisions is not None:
         joined = joined.join(expected_revisions.select("video_id", "expected_revision"), "video_id", "left")
         conflict = F.coalesce(F.col("expected_revision") != F.col("head"), F.lit(False))
-    outcome = (
+    if files is not None:
+        joined = joined.join(files.select("uri", F.lower("sha256").alias("file_sha256")), "uri", "left")
+        mismatch = F.coalesce(F.col("file_sha256") != F.lower("content_sha256"), F.lit(False))
+    refused = (
         F.when(F.col("head").isNull(), "video_not_found")
         .when(conflict, "revision_conflict")
         .when(F.col("n_missing") > 0, "dependency_not_found")
-        .when(F.col("twin").isNull(), "registered")
-        .when(F.col("activate") & ~F.col("twin").eqNullSafe(F.col("active_entry")), "reactivated")
-        .otherwise("unchanged")
+        .when(mismatch, "hash_mismatch")
     )
     fresh_id = F.concat(
         F.lit("entry_"), F.substring(F.sha2(F.concat_ws("|", "video_id", "request_id", "content_sha256"), 256), 1, 24)
     )
-    decided = joined.withColumn("outcome", outcome).withColumns(
+    joined = joined.withColumn("refused", refused).withColumn("valid", F.col("refused").isNull())
+    # the first valid request for content that is not stored yet stores it
+    alike = Window.partitionBy(*IDENTITY, "valid").orderBy("request_no", "request_id")
+    joined = joined.withColumn("stored_by", F.first("request_id").over(alike)).withColumn("stored_id", F.first(fresh_id).over(alike))
+    joined = joined.withColumns(
         {
-            "entry_id": F.when(F.col("outcome") == "registered", fresh_id).otherwise(F.col("twin")),
-            "revision": F.col("head") + F.col("outcome").isin("registered", "reactivated").cast("bigint"),
+            "stores": F.col("valid") & F.col("twin").isNull() & (F.col("stored_by") == F.col("request_id")),
+            "entry_id": F.when(F.col("valid"), F.coalesce("twin", "stored_id")),
         }
     )
+    # after a request that selects, its entry is the active one, whatever was before
+    earlier = Window.partitionBy("video_id", "key").orderBy("request_no", "request_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = F.when(F.col("valid") & F.col("activate"), F.col("entry_id"))
+    joined = joined.withColumn("active_entry", F.coalesce(F.last(chosen, ignorenulls=True).over(earlier), F.col("active_entry")))
+    outcome = (
+        F.when(~F.col("valid"), F.col("refused"))
+        .when(F.col("stores"), "registered")
+        .when(F.col("activate") & ~F.col("entry_id").eqNullSafe(F.col("active_entry")), "reactivated")
+        .otherwise("unchanged")
+    )
+    joined = joined.withColumn("outcome", outcome).withColumn("changes", F.col("outcome").isin("registered", "reactivated"))
+    sofar = Window.partitionBy("video_id").orderBy("request_no", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    decided = joined.withColumn("revision", F.col("head") + F.sum(F.col("changes").cast("bigint")).over(sofar))
     stored = decided.where(F.col("outcome") == "registered")
-    chosen = decided.where(
+    selected = decided.where(
         (F.col("outcome") == "reactivated") | ((F.col("outcome") == "registered") & F.col("activate"))
     )
     return {
         "decided": decided.select("request_id", "video_id", "key", "entry_id", "revision", "outcome"),
         "entries": stored.select(*[c for c in entries.columns]),
-        "selections": chosen.select("video_id", "revision", "key", "entry_id"),
+        "selections": selected.select("video_id", "revision", "key", "entry_id"),
     }
 
 
 def activate(choices: DataFrame, entries: DataFrame, selections: DataFrame) -> DataFrame:
     """Selection rows for ``choices`` (``video_id, key, entry_id``) that are not active yet.
 
-    Choices naming an unknown entry or one of another key are left out.
+    Choices naming an unknown entry or one of another key are left out.  They take
+    effect one after the other, in the order of ``choice_no`` where given, else of key
+    and entry: each change raises its video's revision by one.
     """
     head = selections.groupBy("video_id").agg(F.max("revision").alias("s")).join(
         entries.groupBy("video_id").agg(F.max("revision").alias("e")), "video_id", "full_outer"
     ).select("video_id", F.greatest("s", "e").alias("head"))
     valid = choices.join(entries.select("video_id", "key", "entry_id"), ["video_id", "key", "entry_id"], "left_semi")
-    changed = valid.join(
-        active_selections(selections).select("video_id", "key", "entry_id"), ["video_id", "key", "entry_id"], "left_anti"
-    )
-    return changed.join(head, "video_id").select(
-        "video_id", (F.col("head") + 1).alias("revision"), "key", "entry_id"
-    )
+    order = [*(["choice_no"] if "choice_no" in choices.columns else []), "key", "entry_id"]
+    active = active_selections(selections).select("video_id", "key", F.col("entry_id").alias("active_entry"))
+    before = F.coalesce(F.lag("entry_id").over(Window.partitionBy("video_id", "key").orderBy(*order)), F.col("active_entry"))
+    changed = valid.join(active, ["video_id", "key"], "left").withColumn("before", before)
+    changed = changed.where(~F.col("entry_id").eqNullSafe(F.col("before"))).join(head, "video_id")
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy(*order))
+    return changed.select("video_id", (F.col("head") + number).cast("bigint").alias("revision"), "key", "entry_id")
 
 
 def readiness(states: DataFrame, videos: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import catalog_key_name
@@ -103,7 +103,8 @@ def catalog_missing_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_CAT}, head AS (SELECT video_id, max(revision) AS head FROM entries GROUP BY video_id),
 c AS (SELECT video_id, key, min_by(entry_id, revision) AS entry_id FROM entries GROUP BY video_id, key)
-SELECT c.video_id, head + 1 AS revision, c.key, c.entry_id FROM c JOIN head USING (video_id) JOIN active a ON a.video_id = c.video_id AND a.key = c.key
+SELECT c.video_id, head + row_number() OVER (PARTITION BY c.video_id ORDER BY c.key) AS revision, c.key, c.entry_id
+FROM c JOIN head USING (video_id) JOIN active a ON a.video_id = c.video_id AND a.key = c.key
 WHERE a.entry_id <> c.entry_id""")
 def catalog_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-select the oldest entry of every key."""
@@ -113,31 +114,43 @@ def catalog_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH cur AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back FROM orders),
-held AS (SELECT * FROM cur WHERE back > 1), req AS (SELECT * FROM cur WHERE back <= 2),
+held AS (SELECT * FROM cur WHERE back > 1),
+req AS (SELECT cur.*, copy, 2 * o_orderkey + copy AS no, copy = 0 OR back = 3 AS activate FROM cur, (VALUES (0), (1)) c(copy) WHERE back <= 3),
 head AS (SELECT o_custkey, max(o_orderkey) AS head FROM held GROUP BY o_custkey),
 act AS (SELECT o_custkey, o_orderpriority, max(o_orderkey) AS k FROM held GROUP BY o_custkey, o_orderpriority),
-root AS (SELECT o_custkey, min(o_orderkey) AS root FROM orders GROUP BY o_custkey)
-SELECT CAST(r.o_orderkey AS VARCHAR) AS request_id, CASE
-  WHEN head IS NULL THEN 'video_not_found'
-  WHEN r.back = 1 THEN 'registered'
-  WHEN act.k <> r.o_orderkey THEN 'reactivated' ELSE 'unchanged' END AS outcome
-FROM req r LEFT JOIN head USING (o_custkey) LEFT JOIN act ON act.o_custkey = r.o_custkey AND act.o_orderpriority = r.o_orderpriority""")
+seen AS (SELECT r.*, head, coalesce(last_value(CASE WHEN activate AND NOT bad THEN o_orderkey END IGNORE NULLS)
+    OVER (PARTITION BY r.o_custkey, r.o_orderpriority ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), act.k) AS active
+  FROM (SELECT *, copy = 1 AND o_orderkey % 5 = 0 AS bad FROM req) r LEFT JOIN head USING (o_custkey)
+  LEFT JOIN act ON act.o_custkey = r.o_custkey AND act.o_orderpriority = r.o_orderpriority),
+told AS (SELECT *, CASE WHEN head IS NULL THEN 'video_not_found' WHEN bad THEN 'hash_mismatch' WHEN back = 1 AND copy = 0 THEN 'registered'
+  WHEN activate AND active IS DISTINCT FROM o_orderkey THEN 'reactivated' ELSE 'unchanged' END AS outcome FROM seen)
+SELECT o_orderkey || '-' || copy AS request_id, outcome,
+  coalesce(head + sum(CASE WHEN outcome IN ('registered', 'reactivated') THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY no), -1)::BIGINT AS revision
+FROM told""")
 def catalog_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Register each customer's two latest orders into a catalog lacking only the latest."""
+    """Register each customer's three latest orders twice into a catalog lacking only the latest.
+
+    Open orders have no derivation key, and some repeated requests name a file of other content.
+    """
     entries, selections, _ = order_catalog(spark, sf_dir)
+    entries = entries.withColumn("derivation_key", F.when(F.col("derivation_key") != "O", F.col("derivation_key")))
     newest = entries.groupBy("video_id").agg(F.max("revision").alias("newest"))
     held = entries.join(newest, "video_id").where("revision < newest").drop("newest")
     chosen = selections.join(newest, "video_id").where("revision < newest").drop("newest")
-    second = held.groupBy("video_id").agg(F.max("revision").alias("second"))
-    batch = (
-        entries.join(newest, "video_id")
-        .join(second, "video_id", "left")
-        .where("revision = newest OR revision = second")
-        .withColumn("request_id", F.col("revision").cast("string"))
-        .withColumn("activate", F.lit(True))
-        .drop("revision", "entry_id", "newest", "second")
+    latest = Window.partitionBy("video_id").orderBy(F.desc("revision"))
+    asked = entries.withColumn("back", F.row_number().over(latest)).where("back <= 3")
+    copies = asked.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns(
+        {
+            "request_id": F.concat_ws("-", "revision", "copy"),
+            "request_no": F.col("revision") * 2 + F.col("copy"),
+            "activate": (F.col("copy") == 0) | (F.col("back") == 3),
+            "uri": F.when((F.col("copy") == 1) & (F.col("revision") % 5 == 0), F.concat("uri", F.lit(".bad"))).otherwise(F.col("uri")),
+        }
     )
-    return catalog.register(batch, held, chosen)["decided"].select("request_id", "outcome")
+    files = entries.select(F.concat("uri", F.lit(".bad")).alias("uri"), F.lit("other").alias("sha256"))
+    batch = copies.drop("revision", "entry_id", "back", "copy")
+    decided = catalog.register(batch, held, chosen, files=files)["decided"]
+    return decided.select("request_id", "outcome", F.coalesce("revision", F.lit(-1)).cast("bigint").alias("revision"))
 
 
 @query(f"""WITH {_CAT}, f AS (
