@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ class ChatTemplate:
     closing: str = "</turn>\n"
     learn: tuple[str, ...] = ("assistant",)
 
-    @property
+    @cached_property
     def controls(self) -> list[str]:
         return [*(self.opening.format(r.capitalize()) for r in self.roles), self.other, self.role_end, self.closing]
 
@@ -48,10 +49,18 @@ class ChatTemplate:
 
     def escape(self, text: str) -> str:
         """A backslash before every backslash and every control string."""
-        return re.sub("|".join([r"\\", *map(re.escape, self.guarded())]), lambda m: "\\" + m.group(), text)
+        return self._special.sub(lambda m: "\\" + m.group(), text)
 
     def unescape(self, text: str) -> str:
-        return re.sub(r"\\(" + "|".join([r"\\", *map(re.escape, self.guarded())]) + ")", lambda m: m.group(1), text)
+        return self._escaped.sub(lambda m: m.group(1), text) if "\\" in text else text
+
+    @cached_property
+    def _special(self) -> re.Pattern:
+        return re.compile("|".join([r"\\", *map(re.escape, self.guarded())]))
+
+    @cached_property
+    def _escaped(self) -> re.Pattern:
+        return re.compile(r"\\(" + self._special.pattern + ")")
 
 
 @dataclass
@@ -77,7 +86,7 @@ class Vocabulary:
             self._encoding = tiktoken.Encoding("chat", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens={})
         return self._encoding
 
-    @property
+    @cached_property
     def size(self) -> int:
         return max(self.ranks.values()) + 1
 
