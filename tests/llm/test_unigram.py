@@ -21,6 +21,11 @@ def encoder(model):
     return unigram.Encoder(model)
 
 
+@pytest.fixture(scope="module")
+def decoder(model):
+    return unigram.Decoder(model.pieces)
+
+
 def toy():
     names = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), "▁", "▁▁", "▁a", "a", "b", "ab", "▁ab", "ba", "bab", "é", "aé", "▁▁b", "<s>"]
     rng = random.Random(2)
@@ -60,14 +65,14 @@ def test_viterbi_finds_the_best_split(text):
     if text:
         whole = b" " + text.encode()
         assert abs(scored(model, ids, whole) - best_score(model, whole)) < 1e-9
-    assert unigram.decode_ids(model.pieces, ids) == text.encode()
+    assert unigram.Decoder(model.pieces).decode(ids) == text.encode()
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
-def test_every_text_is_given_back(model, encoder, text):
+def test_every_text_is_given_back(model, encoder, decoder, text):
     ids = encoder.encode(text.encode())
-    assert unigram.decode_ids(model.pieces, ids).decode() == text
+    assert decoder.decode(ids).decode() == text
     assert all(0 <= k < len(model.pieces) for k in ids)
 
 
@@ -105,7 +110,7 @@ def test_pieces_are_those_of_the_library(spark, model, encoder):
     library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     same = n = 0
     for r in read_table(spark, SF, "documents").collect():
-        own, other = encoder.encode(r.text.encode()), library.encode(r.text)
+        own, other = encoder.encode(r.text.encode()).tolist(), library.encode(r.text)
         total = lambda ids: sum(model.scores[k] for k in ids)
         assert abs(total(own) - total(other)) < 1e-2
         same, n = same + (own == other), n + 1
@@ -132,6 +137,33 @@ def test_hard_rows(spark, model):
     assert {r.doc_id: r.decoded for r in unigram.decode(bad, model).collect()} == {1: "", 2: "\ufffd"}
 
 
+def test_parts_are_cut_where_no_piece_reaches_over(model):
+    apart = unigram.cut_table([model.pieces[k] for k in model.piece_ids])
+    assert all(not apart[a << 8 | b] for k in model.piece_ids for a, b in zip(model.pieces[k], model.pieces[k][1:]))
+    assert apart[ord("e") << 8 | ord(" ")] and not apart[0xC3 << 8 | 0xA9]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="abé  ▁日☃", min_size=1, max_size=20), min_size=1, max_size=8, unique=True))
+def test_parts_together_are_as_parts_alone(texts):
+    encoder = unigram.Encoder(toy())
+    parts = [t.encode() for t in texts]
+    assert encoder.best_of_many(parts) == {p: encoder_array(encoder.best(p)) for p in parts}
+
+
+def encoder_array(ids):
+    from array import array
+
+    return array("i", ids)
+
+
+def test_memory_forgets_the_older_generation(model):
+    encoder = unigram.Encoder(toy(), memory=3)
+    for k in range(20):
+        assert encoder.encode(b"ab a" * (k % 7)) == encoder.encode(b"ab a" * (k % 7))
+    assert len(encoder.memory.young) <= 3 and len(encoder.memory.old) <= 3
+
+
 def test_models_that_do_not_fit_are_refused():
     with pytest.raises(ValueError):
-        unigram.UnigramModel.build([("a▁b", 0.0)], {b: b for b in range(255)})
+        unigram.UnigramModel.build([("ab", 0.0)], {b: b for b in range(255)})

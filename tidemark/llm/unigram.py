@@ -1,8 +1,8 @@
 """SentencePiece-style unigram encoding and decoding with any piece list.
 
-A text is split before each run of spaces (no piece reaches over such a place),
-and each part takes the best-scored sequence of pieces, found by Viterbi over a
-double-array trie.  Characters without a piece become byte pieces.  White-space
+A text is cut wherever no piece can reach over: between two bytes that follow
+each other in no piece.  Each part takes the best-scored sequence of pieces, found
+by Viterbi over a double-array trie; parts seen before are remembered.  Characters without a piece become byte pieces.  White-space
 markers are undone in decoding; a literal marker character is encoded as bytes,
 so that decoding gives back every text exactly.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,8 @@ from tidemark.llm import bytetext
 MARKER = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-_PARTS = re.compile(rb" *[^ ]+| +")
+#: Parts of up to so many bytes are encoded together and remembered, longer ones one by one.
+LONG_PART = 48
 
 
 class DoubleArrayTrie:
@@ -101,8 +102,6 @@ class UnigramModel:
             raw[k] = bytes([byte])
         special = set(byte_ids.values()) | set(skipped)
         normal = [k for k in range(len(raw)) if k not in special and raw[k]]
-        if any(b" " in raw[k].lstrip(b" ") for k in normal):
-            raise ValueError("a piece holds a marker after another character")
         for k in skipped:
             raw[k] = b""
         return cls(raw, [s for _, s in pieces], [byte_ids[b] for b in range(256)], DoubleArrayTrie([raw[k] for k in normal]), normal)
@@ -132,24 +131,38 @@ def load_model(path: str = MODEL_PATH) -> UnigramModel:
     return UnigramModel.build(list(zip(names, rank_scores(n) if ranked else given)), byte_ids, skipped)
 
 
-#: Parts encoded before by this worker process, by model; it outlives the tasks of a reused worker.
-_REMEMBERED: dict[bytes, dict[bytes, list[int]]] = {}
+class Memory:
+    """Encoded parts, in two generations: when the younger is full it replaces the older."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def add(self, part: bytes, ids: array) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[part] = ids
+
+
+#: What this worker process remembers, by model; it outlives the tasks of a reused worker.
+_REMEMBERED: dict[bytes, Memory] = {}
 
 
 class Encoder:
-    """Encodes byte texts; remembers the pieces of up to ``memory`` short parts."""
+    """Encodes byte texts; remembers the pieces of up to twice ``memory`` short parts."""
 
-    def __init__(self, model: UnigramModel, memory: int = 150_000) -> None:
+    def __init__(self, model: UnigramModel, memory: int = 100_000) -> None:
         self.base, self.check, self.value = (a.tolist() for a in (model.trie.base, model.trie.check, model.trie.value))
         self.scores = [model.scores[k] for k in model.piece_ids]
+        self.arrays = (*(a.astype(np.int64) for a in (model.trie.base, model.trie.check, model.trie.value)), np.array(self.scores))
         self.ids = model.piece_ids
         self.byte_ids = model.byte_ids
         self.unknown = min(self.scores, default=0.0) - UNKNOWN_PENALTY
+        self.apart = cut_table([model.pieces[k] for k in model.piece_ids])
         mark = hashlib.sha256(model.trie.value.tobytes() + repr((self.ids, self.byte_ids, self.scores)).encode()).digest()
         if mark not in _REMEMBERED:
             _REMEMBERED.clear()
-            _REMEMBERED[mark] = {}
-        self.memory, self.known = memory, _REMEMBERED[mark]
+            _REMEMBERED[mark] = Memory(memory)
+        self.memory = _REMEMBERED[mark]
 
     def best(self, part: bytes) -> list[int]:
         """The best-scored pieces of a part; on a tie the piece that begins earlier stays."""
@@ -187,27 +200,119 @@ class Encoder:
         out.reverse()
         return out
 
-    def encode(self, text: bytes) -> list[int]:
-        """Ids of a text with a marker put before it; an empty text has none."""
+    def best_of_many(self, parts: list[bytes]) -> dict[bytes, array]:
+        """What ``best`` gives for each part, with all parts taken one position further at a time."""
+        if not parts:
+            return {}
+        parts = sorted(parts, key=len, reverse=True)
+        sizes = np.array([len(p) for p in parts])
+        width = int(sizes[0])
+        table = np.zeros((len(parts), width + 1), np.uint8)
+        table[np.arange(width + 1)[None] < sizes[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
+        reach = np.full((len(parts), width + 1), -np.inf)
+        reach[:, 0] = 0
+        begin, piece = np.zeros((len(parts), width + 1), np.int64), np.full((len(parts), width + 1), -1)
+        base, check, value, scores = self.arrays
+
+        def offer(rows: np.ndarray, to: np.ndarray | int, score: np.ndarray, at: int, k: np.ndarray | int) -> None:
+            if not len(rows):
+                return
+            better = score > reach[rows, to]
+            rows, score = rows[better], score[better]
+            to, k = (x[better] if isinstance(x, np.ndarray) else x for x in (to, k))
+            reach[rows, to], begin[rows, to], piece[rows, to] = score, at, k
+
+        for at in range(width):
+            active = int(np.searchsorted(-sizes, -at, "left"))
+            every = np.flatnonzero((table[:active, at] & 0xC0) != 0x80)
+            lead = table[every, at]
+            after = at + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            here, single = reach[every, at], np.zeros(len(every), bool)
+            left, node, to = np.arange(len(every)), np.zeros(len(every), np.int64), at
+            while len(left):
+                slot = base[node] + table[every[left], to] + 1
+                ok = (check[slot] == node) & (to < sizes[every[left]])
+                left, node, to = left[ok], slot[ok], to + 1
+                k = value[node]
+                ends = np.flatnonzero(k >= 0)
+                found, k = left[ends], k[ends]
+                single[found[after[found] == to]] = True
+                offer(every[found], to, here[found] + scores[k], at, k)
+            rest = np.flatnonzero(~single)
+            offer(every[rest], after[rest], here[rest] + self.unknown, at, -1)
+        # all best paths at once, from their ends
+        place, steps, rows = sizes.copy(), [], np.arange(len(parts))
+        while (place > 0).any():
+            steps.append((place, piece[rows, place]))
+            place = np.where(place > 0, begin[rows, place], 0)
+        taken = np.stack([np.where(at > 0, k, -2) for at, k in reversed(steps)], axis=1)
+        ids = np.array([*self.ids, -2, -1])[taken]
+        known = dict(zip(parts, (array("i", row[row >= 0].astype(np.int32).tobytes()) for row in ids)))
+        for r in np.flatnonzero((taken == -1).any(1)).tolist():
+            known[parts[r]] = array("i", self.best(parts[r]))
+        return known
+
+    def parts(self, text: bytes) -> list[bytes]:
+        """``text`` with a marker before it, cut wherever no piece reaches over."""
         if not text:
             return []
-        known, out = self.known, []
-        for part in _PARTS.findall(b" " + text):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.best(part)
-                if len(part) <= 48:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    known[part] = ids
-            out += ids
+        whole = b" " + text
+        data = np.frombuffer(whole, np.uint8).astype(np.int32)
+        cuts = (np.flatnonzero(self.apart[(data[:-1] << 8) | data[1:]]) + 1).tolist()
+        return [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)])]
+
+    def encode_all(self, texts: list[bytes]) -> list[array]:
+        """Ids of each text; an empty text has none.  New short parts of all texts are encoded together."""
+        cut, new, memory = [self.parts(t) for t in texts], {}, self.memory
+        for parts in cut:
+            for part in parts:
+                if part not in memory.young and part not in new:
+                    new[part] = memory.old.get(part)
+        unseen = [p for p, ids in new.items() if ids is None]
+        new.update(self.best_of_many([p for p in unseen if len(p) <= LONG_PART]))
+        new.update((p, array("i", self.best(p))) for p in unseen if len(p) > LONG_PART)
+        young, out = memory.young, []
+        for parts in cut:
+            ids = array("i")
+            for part in parts:
+                found = young.get(part)
+                ids += new[part] if found is None else found
+            out.append(ids)
+        for part, ids in new.items():
+            if len(part) <= LONG_PART:
+                memory.add(part, ids)
         return out
 
+    def encode(self, text: bytes) -> array:
+        return self.encode_all([text])[0]
+
+
+def cut_table(pieces: list[bytes]) -> np.ndarray:
+    """For each pair of bytes, first times 256 plus second: whether no piece and no character holds it."""
+    table = np.ones(1 << 16, bool)
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:]):
+            table[a << 8 | b] = False
+    pairs = np.arange(1 << 16)
+    table[(pairs & 0xC0) == 0x80] = False
+    return table
+
+
+class Decoder:
+    """Bytes of ids, by copying pieces from one flat array."""
+
+    def __init__(self, pieces: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-def decode_ids(pieces: list[bytes], ids: list[int]) -> bytes:
-    """Bytes of the text of ``ids``, without the marker put before it."""
-    raw = b"".join([pieces[k] for k in ids])
-    return raw[1:] if raw[:1] == b" " else raw
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the text of ``ids``, without the marker put before it."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        shift = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes)
+        raw = self.flat[shift + np.arange(len(shift))].tobytes()
+        return raw[1:] if raw[:1] == b" " else raw
 
 
 def encode(docs: DataFrame, model: UnigramModel) -> DataFrame:
@@ -223,7 +328,7 @@ def encode(docs: DataFrame, model: UnigramModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for part in bytetext.slices(batches):
-            lists = [np.array(encoder.encode(t), np.int32) for t in bytetext.as_bytes(part.column("text"))]
+            lists = [np.frombuffer(ids, np.int32) for ids in encoder.encode_all(bytetext.as_bytes(part.column("text")))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), int_lists(lists)], ["doc_id", "ids"])
 
     return texts.mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -245,12 +350,13 @@ def decode(encoded: DataFrame, model: UnigramModel, keep_ids: bool = False) -> D
     pieces = model.pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = [ids or [] for ids in part.column("ids").to_pylist()]
-                texts = [decode_ids(pieces, ids).decode("utf-8", "replace") for ids in lists]
-                marks = [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for ids in lists]
+                lists = [np.array([], np.int32) if ids is None else ids for ids in part.column("ids").to_numpy(zero_copy_only=False)]
+                texts = [decoder.decode(ids).decode("utf-8", "replace") for ids in lists]
+                marks = [hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() for ids in lists]
                 counts = pa.array([len(ids) for ids in lists], pa.int64())
                 columns = [part.column("doc_id"), counts, pa.array(marks, pa.string()), pa.array(texts, pa.string())]
                 names = ["doc_id", "n_ids", "ids_sha256", "decoded"]
