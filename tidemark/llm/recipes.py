@@ -151,7 +151,8 @@ def exact_duplicates(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFram
     """
     rows = cut_lineage(verified_recipes(docs, rule))
     best = F.min_by("doc_id", F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id")))
-    groups = rows.groupBy("recipe").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # stored, so that the join below is dealt by itself and a large group can be split there
+    groups = cut_lineage(rows.groupBy("recipe").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return rows.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
