@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -24,6 +24,21 @@ def id_and_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def bounded_sample(rows: DataFrame, key: str, group: str, per_group: int, groups: int) -> DataFrame:
+    """``(key, group)`` of at most ``per_group`` rows of each of the ``groups`` most frequent groups.
+
+    Rows are taken in the order of a hash of their key.  Group sizes tell how far
+    down that order the sample can reach, so that only a small multiple of it is sorted.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).limit(groups).collect()
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = F.lit(False)
+    for r in counts:
+        chosen = chosen | ((F.col(group) == r[group]) & (place <= min(1.0, 4 * (per_group + 16) / r["n"])))
+    order = Window.partitionBy(group).orderBy(place, key)
+    return rows.where(chosen).select(key, group).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_group).drop("_place")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with at most ``limit`` text bytes; a longer text comes alone."""
     for batch in batches:

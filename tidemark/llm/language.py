@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytetext
@@ -189,10 +189,7 @@ def train(docs: DataFrame, rule: LanguageRule = LanguageRule(), learnable=None)
     known = known.where(F.length("text") >= rule.train_window)
     if learnable is not None:
         known = known.where(learnable)
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rule.sample_langs).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = known.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("place", F.row_number().over(order))
-    ids = ids.where(F.col("place") <= rule.sample_rows).select("doc_id", "lang")
+    ids = bytetext.bounded_sample(known, "doc_id", "lang", rule.sample_rows, rule.sample_langs)
     place = F.pmod(F.xxhash64("doc_id", "k"), F.length("text") - rule.train_window + 1).cast("int") + 1
     cut = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(1), F.lit(rule.sample_windows))).alias("k"))
     rows = cut.select("doc_id", "k", "lang", F.encode(F.substring(F.col("text"), place, F.lit(rule.train_window)), "utf-8").alias("raw")).collect()

@@ -181,11 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: QualityRule = QualityRule(),
     if learnable is not None:
         known = known.where(learnable)
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("quality") == label).orderBy(*order).limit(rule.sample_rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = bytetext.bounded_sample(known, "doc_id", "quality", rule.sample_rows, 2)
     texts = bytetext.id_and_text(docs).where(F.length("text") <= rule.sample_chars)
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.encode("text", "utf-8").alias("raw"), "quality").collect()
     rows.sort(key=lambda r: r.doc_id)
