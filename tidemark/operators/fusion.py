@@ -72,14 +72,6 @@ class _ClusterRule:
         self.max_gap_ms, self.max_window_ms = max_gap_ms, max_window_ms
         self.low = self.high = 0
 
-    @property
-    def state(self) -> tuple:
-        return self.low, self.high
-
-    @state.setter
-    def state(self, values: tuple) -> None:
-        self.low, self.high = values
-
     def __call__(self, row: tuple, fresh: bool) -> bool:
         start, end, chunk_start = row
         if not fresh:
@@ -122,8 +114,17 @@ def cluster_evidence(
     order = ["start_ms", "end_ms", "_falling", "first_list", "first_rank", "modality", "source_id"]
     scan = ordered(rows, ["video_id"], order, policy)
     max_gap, max_window = params.max_gap_ms, params.max_window_ms
+    # beyond everything before it, and in no chunk that reaches back there
+    apart = (F.col("start_ms") > F.col("_reach") + max_gap) & (
+        F.col("_chunk_start").isNull() | (F.col("_chunk_start") >= F.col("_reach"))
+    )
     return fold_groups(
-        scan, ["start_ms", "end_ms", "_chunk_start"], lambda: _ClusterRule(max_gap, max_window), "cluster_no"
+        scan,
+        {"_reach": ("max", F.col("end_ms"))},
+        apart,
+        ["start_ms", "end_ms", "_chunk_start"],
+        lambda: _ClusterRule(max_gap, max_window),
+        "cluster_no",
     ).drop("_chunk_start", "_falling")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.geometry import normalized_bbox
 from tidemark.functions.text import normalize_compat
-from tidemark.plans.folds import fold_rows
-from tidemark.plans.ordered import ScanPolicy, ordered, running
+from tidemark.plans.folds import RUN, cut_at_pauses, fold_rows
+from tidemark.plans.ordered import ScanPolicy, ordered
 
 
 @dataclass(frozen=True)
@@ -113,21 +113,14 @@ def assign_tracks(
     observed: DataFrame, params: OcrParams = OcrParams(), policy: ScanPolicy | None = None
 ) -> DataFrame:
     """Add ``_run, track_no``.  No track outlives a pause longer than the merge gap,
-    so a huge video is cut there."""
+    so every video is cut there."""
     order = ["timestamp_ms", "observation_id"]
     scan = ordered(observed, ["video_id"], order, policy)
-    if scan.sharded:
-        scan = running(scan, {"_before": ("last", F.col("timestamp_ms"))}, inclusive=False)
-        paused = F.col("timestamp_ms") - F.col("_before") > params.max_merge_gap_ms
-        scan = running(scan, {"_run": ("sum", paused.cast("bigint"))})
-        rows = scan.done().withColumn("_run", F.coalesce("_run", F.lit(0))).drop("_before")
-        cluster = ["video_id", "_run"]
-    else:
-        rows = observed.withColumn("_run", F.lit(0).cast("bigint"))
-        cluster = ["video_id"]
+    paused = F.col("timestamp_ms") - F.col("_before") > params.max_merge_gap_ms
+    rows = cut_at_pauses(scan, {"_before": ("last", F.col("timestamp_ms"))}, paused).done()
     return fold_rows(
         rows,
-        cluster,
+        ["video_id", RUN],
         order,
         ["timestamp_ms", "normalized_text", "bbox"],
         lambda: _TrackRule(params),

@@ -1,36 +1,34 @@
 """Sequential decisions along a timeline: break points that depend on earlier breaks.
 
-Such folds are not window functions.  Timelines are hash partitioned, sorted and
-streamed through an Arrow iterator; a task holds the open group's few scalars and
-one Arrow batch, never a timeline.
-
-A timeline too big for one task arrives cut into shards (see ``plans.ordered``).
-Its shards are folded in parallel from a fresh state.  Only the state at the end
-of each shard is kept, and handed to the next shard, which is folded again from
-it.  Once both folds have opened a group at the same row they agree from there
-on, so almost always the end state is already right; where it changed, the
-change is passed on until nothing changes.  The result is the sequential one.
+Such folds are not window functions.  Rows are hash partitioned, sorted and streamed
+through an Arrow iterator; a task holds the open group's few scalars and one Arrow
+batch, never a timeline.
+
+Every rule of this kind starts anew after a long enough pause, whatever it has seen
+before.  Timelines are therefore cut at such pauses first (a running aggregate,
+parallel for any size), and the stretches between them are folded independently.
+A stretch without such a pause is read by one task, in order and in constant memory.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any, Protocol
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.plans.ordered import SHARD, OrderedFrame, running
-from tidemark.session import cut_lineage
+from tidemark.plans.ordered import OrderedFrame, running
 
 # A rule keeps the open state.  ``rule(values, fresh)`` is called row by row and
 # returns the row's output; ``fresh`` marks the first row of a run.
 Rule = Callable[[tuple[Any, ...], bool], Any]
 
+RUN = "_run"
+
 
 def fold_rows(
     df: DataFrame,
@@ -63,147 +61,32 @@ def fold_rows(
     return arranged.mapInArrow(apply, schema)
 
 
+def cut_at_pauses(scan: OrderedFrame, specs: dict[str, tuple[str, Column]], pause: Column) -> OrderedFrame:
+    """Add ``_run``, the number of the row's stretch in its timeline.
+
+    ``specs`` are running aggregates over the rows before (see ``running``);
+    ``pause`` says from them whether a row starts a stretch.
+    """
+    before = running(scan, specs, inclusive=False)
+    numbered = running(before, {RUN: ("sum", F.coalesce(pause, F.lit(False)).cast("bigint"))})
+    return numbered.with_frame(numbered.frame.drop(*specs))
+
+
 def fold_groups(
     scan: OrderedFrame,
+    specs: dict[str, tuple[str, Column]],
+    pause: Column,
     inputs: Sequence[str],
-    make_rule: Callable[[], "GroupRule"],
+    make_rule: Callable[[], Rule],
     output: str = "group_no",
 ) -> DataFrame:
     """Add ``output``: the number of the row's group inside its timeline, from 0.
 
-    The rule returns True where a row starts a new group, and its ``state`` (a
-    tuple) holds everything later decisions depend on.
+    The rule returns True where a row starts a new group; ``pause`` must imply that.
     """
-    if scan.sharded:
-        return _fold_shards(scan, inputs, make_rule, output)
-
-    def numbering() -> Rule:
-        starts = make_rule()
-        group = 0
-
-        def number(row: tuple[Any, ...], fresh: bool) -> int:
-            nonlocal group
-            opened = starts(row, fresh)
-            group = 0 if fresh else group + bool(opened)
-            return group
-
-        return number
-
-    return fold_rows(scan.frame, scan.keys, scan.order, inputs, numbering, output, T.LongType())
-
-
-class GroupRule(Protocol):
-    state: tuple[Any, ...]
-
-    def __call__(self, row: tuple[Any, ...], fresh: bool) -> bool: ...
-
-
-def _continuing(make_rule: Callable[[], GroupRule]) -> Callable[[], Rule]:
-    """A rule whose first input is the state to continue from (NULL: fresh)."""
-
-    def make() -> Rule:
-        rule = make_rule()
-
-        def step(row: tuple[Any, ...], fresh: bool) -> tuple[bool, str]:
-            if fresh and row[0] is not None:
-                rule.state, fresh = tuple(json.loads(row[0])), False
-            return bool(rule(row[1:], fresh)), json.dumps(rule.state)
-
-        return step
-
-    return make
-
-
-def _fold_shards(
-    scan: OrderedFrame, inputs: Sequence[str], make_rule: Callable[[], GroupRule], output: str
-) -> DataFrame:
-    spark = scan.frame.sparkSession
-    place = [*scan.keys, SHARD]
-    # pieces of timelines that span shards: at most two per shard
-    pieces = (
-        scan.frame.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*scan.keys)))
-        .where("_parts > 1")
-        .select(*place)
-    )
-    chains: dict[tuple, list[tuple]] = {}
-    for piece in sorted(map(tuple, pieces.collect()), key=lambda p: p[-1]):
-        chains.setdefault(piece[:-1], []).append(piece)
-    piece_schema = T.StructType([*pieces.schema.fields, T.StructField("_incoming", T.StringType())])
-
-    def handed_over(states: dict[tuple, str | None]) -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(*p, s) for p, s in states.items()], piece_schema))
-
-    cut_rows = cut_lineage(
-        scan.frame.select(*dict.fromkeys([*place, *scan.order, *inputs])).join(F.broadcast(pieces), place, "left_semi")
-    )
-
-    def end_states(states: dict[tuple, str | None]) -> dict[tuple, str]:
-        rows = cut_rows.join(handed_over(states), place)
-        return {tuple(r)[:-1]: r["_state"] for r in _last_states(rows, place, scan.order, inputs, make_rule).collect()}
-
-    incoming: dict[tuple, str | None] = {piece: None for chain in chains.values() for piece in chain}
-    ends = end_states(incoming) if incoming else {}
-    while True:
-        changed = {
-            piece: ends[before]
-            for chain in chains.values()
-            for before, piece in zip(chain, chain[1:])
-            if incoming[piece] != ends[before]
-        }
-        if not changed:
-            break
-        incoming.update(changed)
-        ends.update(end_states(changed))
-
-    continued = scan.frame.join(handed_over(incoming), place, "left") if incoming else scan.frame.withColumn(
-        "_incoming", F.lit(None).cast("string")
-    )
-
-    def starts_only() -> Rule:
-        step = _continuing(make_rule)()
-        return lambda row, fresh: step(row, fresh)[0]
-
+    stretches = cut_at_pauses(scan, specs, pause)
     flagged = fold_rows(
-        continued, place, scan.order, ["_incoming", *inputs], starts_only, "_starts", T.BooleanType()
-    ).drop("_incoming")
-    # read by the shard totals and by the rows themselves
-    stored = scan.with_frame(cut_lineage(flagged))
-    numbered_groups = running(stored, {output: ("sum", F.col("_starts").cast("bigint"))})
-    return numbered_groups.done().withColumn(output, F.col(output) - 1).drop("_starts")
-
-
-def _last_states(
-    rows: DataFrame, place: Sequence[str], order: Sequence[str], inputs: Sequence[str], make_rule: Callable[[], GroupRule]
-) -> DataFrame:
-    """The rule's state after the last row of each piece."""
-    place = list(place)
-    arranged = rows.repartition(*place).sortWithinPartitions(*place, *order)
-    schema = T.StructType([*rows.select(*place).schema.fields, T.StructField("_state", T.StringType())])
-    arrow_schema = to_arrow_schema(schema)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = _continuing(make_rule)()
-        current: tuple[Any, ...] | None = None
-        state = None
-        for batch in batches:
-            finished = []
-            keys = zip(*[batch.column(name).to_pylist() for name in place])
-            values = zip(*[batch.column(name).to_pylist() for name in ("_incoming", *inputs)])
-            for key, row in zip(keys, values):
-                if key != current and current is not None:
-                    finished.append((*current, state))
-                state = step(row, key != current)[1]
-                current = key
-            yield _batch(finished, arrow_schema)
-        if current is not None:
-            yield _batch([(*current, state)], arrow_schema)
-
-    return arranged.mapInArrow(apply, schema)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(column), type=field.type) for column, field in zip(columns, schema)], schema=schema
-    )
+        stretches.frame, [*scan.keys, RUN], scan.order, inputs, make_rule, "_starts", T.BooleanType()
+    ).drop(RUN)
+    counted = running(scan.with_frame(flagged), {output: ("sum", F.col("_starts").cast("bigint"))})
+    return counted.done().withColumn(output, F.col(output) - 1).drop("_starts")

@@ -1,39 +1,35 @@
-"""Running aggregates along a timeline that stay parallel when one timeline is huge.
-
-A plain ``Window.partitionBy(video_id)`` puts a whole timeline into one task.
-That is the right plan while timelines are small, and it is used then.  When a
-timeline holds more than ``ScanPolicy.max_group_rows`` rows, the rows are range
-partitioned on (keys, order) so that the big timeline is cut into shards, the
-window runs per shard, and a carry from the earlier shards is added.  The carry
-table holds only timelines that span several shards, so it has at most two rows
-per shard and is small enough to broadcast whatever the size of the data.
-
-Shard ids come from the physical partition, so they are pinned with a reliable
-``checkpoint()`` before anything depends on them.
+"""Running aggregates along a timeline that stay parallel however long one timeline is.
+
+A plain ``Window.partitionBy(video_id)`` puts a whole timeline into one task.  Here
+every timeline is cut into shards by the value it is ordered by: a shard covers
+``ScanPolicy.span`` units of the first order column (an hour of milliseconds by
+default).  The window runs per shard, and a carry from the earlier shards of the
+timeline is joined in.  Shards follow from the data alone, so there is one plan for
+every size, nothing is counted or stored beforehand, and reruns agree.  The carry has
+one row per shard of timelines that have several.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tidemark.session import ensure_checkpoint_dir
+from pyspark.sql import types as T
 
 SHARD = "_shard"
+_BEFORE_ALL = -(1 << 62)
 
 
 @dataclass(frozen=True)
 class ScanPolicy:
-    """When to cut a timeline.  ``max_group_rows`` rows fit one task comfortably."""
+    """How much of the first order column a shard covers.
+
+    Milliseconds where that column is a time (timestamps count as such), positions or
+    plain values otherwise.  It shapes the plan only; results do not depend on it.
+    """
 
-    max_group_rows: int = 2_000_000
-    shard_rows: int = 500_000
-    max_shards: int = 20_000
-    # Inputs smaller than this in total cannot overload a task: no counting job.
-    small_input_bytes: int = 128 * 1024 * 1024
+    span: float = 3_600_000.0
 
 
 DEFAULT_POLICY = ScanPolicy()
@@ -41,23 +37,21 @@ DEFAULT_POLICY = ScanPolicy()
 
 @dataclass(frozen=True)
 class OrderedFrame:
-    """Rows with a total order inside each key; ``sharded`` says whether keys were cut."""
+    """Rows with a total order inside each key, labelled with their shard."""
 
     frame: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    sharded: bool
 
     def with_frame(self, frame: DataFrame) -> "OrderedFrame":
-        return OrderedFrame(frame, self.keys, self.order, self.sharded)
+        return OrderedFrame(frame, self.keys, self.order)
 
     @property
     def window(self):
-        partition = [*self.keys, SHARD] if self.sharded else list(self.keys)
-        return Window.partitionBy(*partition).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, SHARD).orderBy(*self.order)
 
     def done(self) -> DataFrame:
-        return self.frame.drop(SHARD) if self.sharded else self.frame
+        return self.frame.drop(SHARD)
 
 
 def ordered(
@@ -66,32 +60,21 @@ def ordered(
     order: tuple[str, ...] | list[str],
     policy: ScanPolicy | None = None,
 ) -> OrderedFrame:
-    """Prepare ``df`` for :func:`running`.
+    """Prepare ``df`` for :func:`running`; the first order column has to be a number or a time.
 
-    For inputs that are not small, one job reads the key columns and counts rows
-    per key (combined map-side); its result is two numbers.
+    Nulls and NaN of that column form shards of their own at either end, as sorting has them.
     """
-    policy = policy or DEFAULT_POLICY
-    keys, order = tuple(keys), tuple(order)
-    if input_bytes(df) <= policy.small_input_bytes:
-        return OrderedFrame(df, keys, order, False)
-    sizes = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
-        .first()
-    )
-    if not sizes["largest"] or sizes["largest"] <= policy.max_group_rows:
-        return OrderedFrame(df, keys, order, False)
-    shards = min(policy.max_shards, max(2, math.ceil(sizes["total"] / policy.shard_rows)))
-    ensure_checkpoint_dir(df.sparkSession)
-    cut = df.repartitionByRange(shards, *keys, *order).withColumn(SHARD, F.spark_partition_id())
-    return OrderedFrame(cut.checkpoint(eager=True), keys, order, True)
-
-
-def input_bytes(df: DataFrame) -> float:
-    """Total size of the relations a plan reads, from file and table statistics."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(float(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    kind = df.schema[order[0]].dataType
+    if not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType)):
+        raise ValueError(f"{order[0]} is neither a number nor a time")
+    place = F.col(order[0])
+    if not isinstance(kind, T.NumericType):
+        place = place.cast("timestamp").cast("double") * 1000
+    place = place.cast("double")
+    limit = float(1 << 61)
+    shard = F.floor(F.least(F.greatest(place / (policy or DEFAULT_POLICY).span, F.lit(-limit)), F.lit(limit))).cast("bigint")
+    shard = F.when(place.isNull(), F.lit(_BEFORE_ALL)).when(F.isnan(place), F.lit(-_BEFORE_ALL)).otherwise(shard)
+    return OrderedFrame(df.withColumn(SHARD, shard), tuple(keys), tuple(order))
 
 
 def running(
@@ -111,9 +94,6 @@ def running(
         name: _window_aggregate(kind, expression).over(span)
         for name, (kind, expression) in specs.items()
     }
-    if not scan.sharded:
-        return scan.with_frame(scan.frame.withColumns(local))
-
     position = F.struct(*[F.col(c) for c in scan.order])
     summaries = scan.frame.groupBy(*scan.keys, SHARD).agg(
         *[
@@ -122,25 +102,23 @@ def running(
         ]
     )
     before = Window.partitionBy(*scan.keys).orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        summaries.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*scan.keys)))
-        .where("_parts > 1")
-        .select(
-            *scan.keys,
-            SHARD,
-            *[
-                _carry_aggregate(kind, F.col(f"_c_{name}")).over(before).alias(f"_c_{name}")
-                for name, (kind, _) in specs.items()
-            ],
-        )
-    )
-    joined = scan.frame.withColumns(local).join(
-        F.broadcast(carried), [*scan.keys, SHARD], "left"
-    )
+    place = [*scan.keys, SHARD]
+    carried = summaries.select(
+        *[F.col(c).alias(f"_k_{c}") for c in place],
+        F.row_number().over(Window.partitionBy(*scan.keys).orderBy(SHARD)).alias("_part"),
+        *[
+            _carry_aggregate(kind, F.col(f"_c_{name}")).over(before).alias(f"_c_{name}")
+            for name, (kind, _) in specs.items()
+        ],
+    ).where("_part > 1")
+    same = F.lit(True)
+    for c in place:
+        same = same & (F.col(c) == F.col(f"_k_{c}"))
+    joined = scan.frame.withColumns(local).join(carried, same, "left")
     combined = {
         name: _combine(kind, F.col(f"_c_{name}"), F.col(name)) for name, (kind, _) in specs.items()
     }
-    frame = joined.withColumns(combined).drop(*[f"_c_{name}" for name in specs])
+    frame = joined.withColumns(combined).drop("_part", *[f"_k_{c}" for c in place], *[f"_c_{name}" for name in specs])
     return scan.with_frame(frame)
 
 
