@@ -149,6 +149,17 @@ def test_trace_round_trip(spark, tmp_path):
     assert [(r.sequence, r.elapsed_ms, r.type, r.payload) for r in got] == [(1, 0, "a", {"x": "1"}), (2, 1_500, "b", {"api_key": "[REDACTED]"})]
 
 
+def test_redaction_reaches_every_depth(spark):
+    kind = "struct<headers:map<string,string>,calls:array<struct<name:string,api_key:string,auth:struct<refresh_token:string,n:int>>>,password:int,note:string>"
+    payload = ({"Authorization": "Bearer x", "accept": "y"}, [("a", "k", ("t", 3)), None], 7, "kept")
+    events = spark.createDataFrame([("r", 1, "2024-01-01 00:00:00", "t", payload), ("r", 2, "2024-01-01 00:00:01", "t", None)], f"run_id string, event_id long, at string, type string, payload {kind}")
+    rows = trace.trace_events(events.withColumn("recorded_at", F.to_timestamp("at"))).orderBy("sequence").collect()
+    found = rows[0].payload
+    assert found.headers == {"Authorization": "[REDACTED]", "accept": "y"} and found.note == "kept" and found.password is None
+    assert (found.calls[0].name, found.calls[0].api_key, found.calls[0].auth.refresh_token, found.calls[0].auth.n) == ("a", "[REDACTED]", "[REDACTED]", 3)
+    assert found.calls[1] is None and rows[1].payload is None
+
+
 def test_missing_programs_are_reported(spark):
     files = spark.createDataFrame([("v", "/none.mp4")], "video_id string, uri string")
     row = media_tools.probe_files(files, "no-such-program").first()

@@ -59,6 +59,17 @@ def test_preprocessing_is_incremental(spark, inputs, tmp_path):
     store, second = run(videos)
     assert set(store.built.values()) == {0} and sorted(second.chunks.collect()) == before
 
+    # what a build wrote that did not come to its end is not read
+    path = str(tmp_path / "chunks")
+    torn = spark.read.parquet(path).withColumn("build_id", F.lit("torn"))
+    torn.write.mode("append").partitionBy("derivation_key").parquet(path)
+    store, again = run(videos)
+    assert set(store.built.values()) == {0} and sorted(again.chunks.collect()) == before
+    louder = heard.withColumn("text", F.lit("Somebody shouts."))
+    store = StageStore(spark, str(tmp_path))
+    spoken = preprocess(store, videos, cuts, louder, params, lambda: HashingEmbedder(16))
+    assert store.built["segments"] == 1 and store.built["shots"] == 0 and spoken.segments.where("video_id = 'asr'").first().raw_text == "Somebody shouts."
+
     changed = videos.withColumn("subtitles", F.when(F.col("video_id") == "sub", VTT + "\n00:08.000 --> 00:09.000\nThe end.\n").otherwise(F.col("subtitles")))
     store, third = run(changed)
     assert store.built == {name: 1 for name in store.built} and third.chunks.where("video_id = 'sub'").count() == 3

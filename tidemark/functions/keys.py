@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Normalised field names whose values never reach a trace.
 SENSITIVE_FIELDS = (
@@ -65,8 +66,34 @@ def is_sensitive_field(name: Column) -> Column:
     return normalized.isin(*SENSITIVE_FIELDS) | suffix
 
 
+REDACTED = "[REDACTED]"
+
+
+def redact(payload: Column, kind: T.DataType) -> Column:
+    """``payload`` of type ``kind`` without what stands under a sensitive name, at any depth.
+
+    Text under such a name becomes ``[REDACTED]``, a value of any other type null;
+    structs, arrays and maps are followed to their ends.
+    """
+    return _redact(payload, kind, F.lit(False))
+
+
+def _redact(value: Column, kind: T.DataType, hidden: Column) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = [
+            _redact(value[f.name], f.dataType, hidden | is_sensitive_field(F.lit(f.name))).alias(f.name) for f in kind.fields
+        ]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: _redact(item, kind.elementType, hidden))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(
+            value, lambda key, item: _redact(item, kind.valueType, hidden | is_sensitive_field(key.cast("string")))
+        )
+    instead = F.lit(REDACTED) if isinstance(kind, T.StringType) else F.lit(None).cast(kind)
+    return F.when(hidden, instead).otherwise(value)
+
+
 def redact_map(payload: Column) -> Column:
-    """Values under a sensitive key become ``[REDACTED]``."""
-    return F.transform_values(
-        payload, lambda key, value: F.when(is_sensitive_field(key), F.lit("[REDACTED]")).otherwise(value)
-    )
+    """``redact`` for a flat map of texts."""
+    return redact(payload, T.MapType(T.StringType(), T.StringType()))

@@ -211,6 +211,11 @@ def text_index(documents: DataFrame, keys: Sequence[str] = ("video_id", "item_id
 
 
 def dense_index(documents: DataFrame, embeddings: DataFrame, dimensions: int) -> DataFrame:
-    """Documents joined with their embeddings, normalised to unit length."""
-    vectors = embeddings.select("item_id", normalize_vector(F.col("vector"), dimensions).alias("vector"))
-    return documents.join(vectors, "item_id")
+    """Documents joined with their embeddings, normalised to unit length.
+
+    Items belong to a video where both sides name one; the same item id of another
+    video is another item.
+    """
+    keys = [c for c in ("video_id", "item_id") if c in embeddings.columns and c in documents.columns]
+    vectors = embeddings.select(*keys, normalize_vector(F.col("vector"), dimensions).alias("vector"))
+    return documents.join(vectors, keys)

@@ -10,6 +10,7 @@ find out that it is current.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -23,7 +24,7 @@ from tidemark.sources.ffprobe import map_probes
 from tidemark.sources.webvtt import parse_vtt
 from tidemark.udfs import backends
 
-RUNS_SCHEMA = "video_id string, stage string, derivation_key string, input_hash string"
+RUNS_SCHEMA = "video_id string, stage string, derivation_key string, input_hash string, build_id string"
 
 
 class StageStore:
@@ -41,8 +42,9 @@ class StageStore:
     ) -> DataFrame:
         """Rows of ``name`` for the videos in ``inputs`` (``video_id, input_hash``).
 
-        ``build`` gets the videos without a current result.  The run list is
-        appended last: a failed build leaves nothing that counts as done.
+        ``build`` gets the videos without a current result.  Every build writes under
+        an id of its own, which the run list, appended last, makes count; what a build
+        that failed before that has written is never read.
         """
         done = self.spark.read.schema(RUNS_SCHEMA).parquet(self.runs_path).where(
             (F.col("stage") == name) & (F.col("derivation_key") == key)
@@ -53,13 +55,19 @@ class StageStore:
         self.reused[name] = inputs.count() - self.built[name]
         path = os.path.join(self.root, name)
         if self.built[name]:
-            rows = build(missing).join(missing, "video_id").withColumn("derivation_key", F.lit(key))
+            build_id = uuid.uuid4().hex
+            rows = build(missing).join(missing, "video_id").withColumns({"derivation_key": F.lit(key), "build_id": F.lit(build_id)})
             rows.write.mode("append").partitionBy("derivation_key").parquet(path)
-            missing.select("video_id", F.lit(name).alias("stage"), F.lit(key).alias("derivation_key"), "input_hash").write.mode(
-                "append"
-            ).parquet(self.runs_path)
+            missing.select(
+                "video_id", F.lit(name).alias("stage"), F.lit(key).alias("derivation_key"), "input_hash", F.lit(build_id).alias("build_id")
+            ).write.mode("append").parquet(self.runs_path)
+        runs = self.spark.read.schema(RUNS_SCHEMA).parquet(self.runs_path).where(
+            (F.col("stage") == name) & (F.col("derivation_key") == key)
+        )
+        # two runs at the same time may both have built a video: one of them is taken
+        counted = runs.groupBy(*on).agg(F.min("build_id").alias("build_id")).join(inputs.select(*on), on, "left_semi")
         stored = self.spark.read.parquet(path).where(F.col("derivation_key") == key)
-        return stored.join(inputs.select(*on), on, "left_semi").drop("input_hash", "derivation_key")
+        return stored.join(counted, [*on, "build_id"], "left_semi").drop("input_hash", "derivation_key", "build_id")
 
 
 def next_hash(inputs: DataFrame, key: str, *more: Column) -> DataFrame:
@@ -67,6 +75,12 @@ def next_hash(inputs: DataFrame, key: str, *more: Column) -> DataFrame:
     return inputs.select("video_id", F.sha2(F.concat_ws("|", "input_hash", F.lit(key), *more), 256).alias("input_hash"))
 
 
+def content_hashes(table: DataFrame, name: str) -> DataFrame:
+    """``video_id`` and a hash of the video's rows in ``table``, whatever their order."""
+    row = F.xxhash64(F.to_json(F.struct(*sorted(table.columns)))).cast("decimal(38,0)")
+    return table.groupBy("video_id").agg(F.concat_ws(":", F.count(F.lit(1)), F.sum(row)).alias(name))
+
+
 @dataclass(frozen=True)
 class PreprocessingParams:
     chunking: chunking.ChunkParams = field(default_factory=chunking.ChunkParams)
@@ -124,13 +138,22 @@ def preprocess(
     accepted = cut_lineage(usable.select("video_id", "source_start_ms", "source_end_ms"))
     after_probe = next_hash(hashed, probe_key).join(accepted, "video_id", "left_semi")
 
+    def with_output(table: DataFrame | None) -> DataFrame:
+        """The input hashes with that of a detector's or recogniser's output for the video."""
+        if table is None:
+            return after_probe
+        own = content_hashes(table, "_content")
+        return next_hash(after_probe.join(own, "video_id", "left"), "output", F.coalesce("_content", F.lit("")))
+
+    before_shots, before_text = with_output(cuts), with_output(recognised)
+
     shot_key = derivation_key("shot-detection", "1", {})
 
     def find_shots(todo: DataFrame) -> DataFrame:
         found = chunking.detected_shots(cuts, accepted.join(todo, "video_id", "left_semi"))
         return found.withColumn("shot_id", F.concat_ws("_", F.lit("shot"), "video_id", F.format_string("%06d", "ord")))
 
-    shots = store.stage("shots", shot_key, after_probe, find_shots)
+    shots = store.stage("shots", shot_key, before_shots, find_shots)
 
     text_key = derivation_key("transcript", "1", {"language": params.language})
     columns = ["video_id", "ord", "segment_id", "start_ms", "end_ms", "raw_text", "normalized_text", "source", "language", "confidence"]
@@ -145,10 +168,11 @@ def preprocess(
             segments = segments.unionByName(spoken.select(*columns))
         return segments
 
-    segments = store.stage("segments", text_key, after_probe, transcribe)
+    segments = store.stage("segments", text_key, before_text, transcribe)
 
     chunk_key = derivation_key("temporal-chunking", "1", asdict(params.chunking))
-    before_chunks = next_hash(after_probe, chunk_key, F.lit(shot_key), F.lit(text_key))
+    both = before_shots.join(before_text.select("video_id", F.col("input_hash").alias("_text_hash")), "video_id")
+    before_chunks = next_hash(both, chunk_key, F.lit(shot_key), F.lit(text_key), F.col("_text_hash"))
 
     def cut_chunks(todo: DataFrame) -> DataFrame:
         ranges = accepted.join(todo, "video_id", "left_semi")

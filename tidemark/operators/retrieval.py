@@ -52,14 +52,17 @@ class SearchFilter:
         return kept
 
 
-def _check(query: str, top_k: int) -> None:
+def _check(query: str, top_k: int | None) -> None:
     if not query.strip():
         raise ValueError("query must not be empty")
-    if top_k <= 0:
+    if top_k is not None and top_k <= 0:
         raise ValueError("top_k must be positive")
 
 
-def _rank(scored: DataFrame, scope: Sequence[str], top_k: int) -> DataFrame:
+def _rank(scored: DataFrame, scope: Sequence[str], top_k: int | None) -> DataFrame:
+    """The first ``top_k`` hits with their rank; all hits, unranked, without a limit."""
+    if top_k is None:
+        return scored.withColumn("rank", F.lit(None).cast("int"))
     order = [F.col("score").desc(), "start_ms", "end_ms", "item_id"]
     if scope:
         window = Window.partitionBy(*scope).orderBy(*order)
@@ -148,14 +151,17 @@ def dense_search(
     documents: DataFrame,
     query_vector: Sequence[float],
     dimensions: int,
-    top_k: int = 10,
+    top_k: int | None = 10,
     min_score: float = 0.0,
     where: SearchFilter = SearchFilter(),
     scope: Sequence[str] = (),
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact cosine hits over unit ``vector`` columns; filters run before scoring."""
-    if top_k <= 0:
+    """Exact cosine hits over unit ``vector`` columns; filters run before scoring.
+
+    ``top_k=None`` returns every match of the threshold, without ranks.
+    """
+    if top_k is not None and top_k <= 0:
         raise ValueError("top_k must be positive")
     if not -1.0 <= min_score <= 1.0:
         raise ValueError("min_score must be between -1 and 1")

@@ -410,7 +410,18 @@ def completion_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response_problems(answers, targets)
 
 
-@query()
+# the character references that the pages hold; a reference may lack its semicolon, and ampersands come last
+_REFERENCES = (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&amp;?", "&"))
+
+
+def _plain_sql(markup: str) -> str:
+    text = f"regexp_replace({markup}, '<[^>]+>', '', 'g')"
+    for pattern, character in _REFERENCES:
+        text = f"regexp_replace({text}, '{pattern}', '{character}', 'g')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_plain_sql('html')} AS text FROM pages")
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup stripped, entities decoded, white space collapsed, over whole pages."""
     return read_table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html")).alias("text"))

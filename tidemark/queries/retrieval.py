@@ -130,13 +130,13 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(retrieval.dense_search(documents, probe, len(probe), top_k=25))
 
 
-@query(f"""WITH {_DENSE}, r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, start_ms, end_ms, item_id) AS rank FROM s
-WHERE score >= 0.1 AND label = 3)
-SELECT item_id, rank, round(score, 6) AS score FROM r WHERE rank <= 1000""")
+@query(f"WITH {_DENSE} SELECT item_id, round(score, 6) AS score FROM s WHERE score >= 0.1 AND label = 3")
 def dense_search_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match above the threshold."""
     documents, probe = _dense_documents(spark, sf_dir)
     where = retrieval.SearchFilter(all_tags=("3",))
-    return _hits(retrieval.dense_search(documents, probe, len(probe), top_k=1_000, min_score=0.1, where=where))
+    hits = retrieval.dense_search(documents, probe, len(probe), top_k=None, min_score=0.1, where=where)
+    return _hits(hits).drop("rank")
 
 
 _SPARSE_50 = bm25_sql(_DOCS, top_k=50)
@@ -253,8 +253,7 @@ def visual_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {SEGS}, {_TURN_SQL}, {CHUNKS},
 h AS (SELECT video_id, segment_id, ord, row_number() OVER (PARTITION BY video_id ORDER BY length(seg_text) DESC, ord) AS rank FROM segs)
-SELECT h.video_id, h.rank, l.chunk_no AS chunk_ord FROM h JOIN labelled l ON l.video_id = h.video_id AND l.segment_id = h.segment_id
-WHERE h.rank <= 3""")
+SELECT h.video_id, h.rank, l.chunk_no AS chunk_ord FROM h JOIN labelled l ON l.video_id = h.video_id AND l.segment_id = h.segment_id""")
 def hit_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits named by segment ids are mapped to the chunk that holds the first known id."""
     from pyspark.sql import Window
@@ -263,8 +262,8 @@ def hit_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.build_chunks(segments, TURN_CHUNKS)
     owner = chunks.select("video_id", F.explode("segment_ids").alias("segment_id"), "chunk_id")
     longest = Window.partitionBy("video_id").orderBy(F.length("normalized_text").desc(), "ord")
-    top = segments.withColumn("rank", F.row_number().over(longest)).where("rank <= 3")
-    hits = top.join(owner, ["video_id", "segment_id"]).select(
+    ranked = segments.withColumn("rank", F.row_number().over(longest))
+    hits = ranked.join(owner, ["video_id", "segment_id"]).select(
         "video_id", F.col("rank").cast("bigint").alias("rank"), F.array("segment_id", "chunk_id").alias("source_ids")
     )
     matched = retrieval.first_known_chunk(hits, chunks)

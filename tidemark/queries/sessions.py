@@ -65,7 +65,10 @@ def budget_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT user_id AS run_id, count(*) AS calls, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS wall_time_ms,
-  CAST(sum(length(props)) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS model_calls
+  CAST(sum(length(props)) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS model_calls,
+  CAST(sum(event_id % 7) AS BIGINT) AS input_items, CAST(sum(event_id % 11 * 40) AS BIGINT) AS processed_duration_ms,
+  CAST(sum(event_id % 13) AS BIGINT) AS decoded_frames, CAST(sum(CASE WHEN event_type = 'view' THEN event_id % 13 ELSE 0 END) AS BIGINT) AS returned_frames,
+  CAST(sum(length(event_type)) AS BIGINT) AS output_tokens
 FROM events GROUP BY user_id""")
 def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = read_table(spark, sf_dir, "events").select(
@@ -74,6 +77,11 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("props").cast("bigint").alias("input_tokens"),
         (F.col("event_type") == "click").cast("bigint").alias("model_calls"),
         F.lit(1).cast("bigint").alias("output_items"),
+        (F.col("event_id") % 7).alias("input_items"),
+        (F.col("event_id") % 11 * 40).alias("processed_duration_ms"),
+        (F.col("event_id") % 13).alias("decoded_frames"),
+        F.when(F.col("event_type") == "view", F.col("event_id") % 13).otherwise(0).alias("returned_frames"),
+        F.length("event_type").cast("bigint").alias("output_tokens"),
     )
     return ledger.usage_rollup(usage, ["run_id"]).withColumnRenamed("output_items", "calls")
 

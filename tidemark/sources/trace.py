@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import redact_map
+from tidemark.functions.keys import redact
 from tidemark.plans.ordered import ScanPolicy, numbered, ordered
 
 TRACE_SCHEMA = (
@@ -24,13 +24,14 @@ def trace_events(events: DataFrame, policy: ScanPolicy | None = None) -> DataFra
         "recorded_at",
         elapsed.alias("elapsed_ms"),
         "type",
-        redact_map(F.col("payload")).alias("payload"),
+        redact(F.col("payload"), events.schema["payload"].dataType).alias("payload"),
     )
 
 
 def write_trace(events: DataFrame, path: str) -> None:
-    """Append as JSON lines, one folder per run."""
-    events.write.mode("append").partitionBy("run_id").json(path)
+    """Append as JSON lines, one folder per day; the events of a run stand together, in order."""
+    dated = events.withColumn("day", F.to_date("recorded_at"))
+    dated.repartition("day", "run_id").sortWithinPartitions("day", "run_id", "sequence").write.mode("append").partitionBy("day").json(path)
 
 
 def read_trace(spark, path: str) -> DataFrame:
