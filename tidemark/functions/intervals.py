@@ -36,10 +36,6 @@ def duration_ms(start: ColumnLike, end: ColumnLike) -> Column:
     return _c(end) - _c(start)
 
 
-def valid_range(start: ColumnLike, end: ColumnLike) -> Column:
-    return (_c(start) >= 0) & (_c(start) < _c(end))
-
-
 def map_timeline(
     timestamp: ColumnLike, from_start: ColumnLike, from_end: ColumnLike, to_start: ColumnLike
 ) -> Column:

@@ -7,6 +7,7 @@ the sequence-matcher ratio, which have no built-in and run as Arrow UDFs.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -21,6 +22,8 @@ BIGRAM_PATTERN = "(?=([\\u3400-\\u9fff]{2}))"
 SENTENCE_END_PATTERN = "[.!?。！？；;][\"'”’）)]?$"
 MARKUP_PATTERN = "<[^>]+>"
 
+_TOKEN = re.compile(TOKEN_PATTERN)
+
 
 def tokenize(text: Column) -> Column:
     """ASCII words and single CJK characters, then CJK bigrams at the end.
@@ -37,12 +40,18 @@ def tokenize(text: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Driver-side tokens of a search string, same rules as :func:`tokenize`."""
-    import re
-
-    units = [u.lower() for u in re.findall("[a-zA-Z0-9_]+|[㐀-鿿]", query)]
-    cjk = [u for u in units if len(u) == 1 and "㐀" <= u <= "鿿"]
-    return units + [a + b for a, b in zip(cjk, cjk[1:])]
+    """What :func:`tokenize` gives for a search string, on the driver."""
+    words: list[str] = []
+    pairs: list[str] = []
+    before = ""
+    for found in _TOKEN.finditer(query):
+        word = found.group().lower()
+        words.append(word)
+        if not word.isascii():
+            if before:
+                pairs.append(before + word)
+            before = word
+    return words + pairs
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -61,11 +70,6 @@ def truncate(text: Column, limit: int) -> Column:
     )
 
 
-def ordered_distinct(values: Column) -> Column:
-    """First occurrence wins, order kept."""
-    return F.array_distinct(values)
-
-
 @F.pandas_udf(T.StringType())
 def normalize_compat(text: pd.Series) -> pd.Series:
     """NFKC, then white space collapsed."""

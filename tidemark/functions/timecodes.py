@@ -60,10 +60,3 @@ def format_timestamp(milliseconds: Column) -> Column:
         F.pmod(div(1_000), F.lit(60)),
         F.pmod(value, F.lit(1_000)),
     )
-
-
-def even_index(position: Column, items: Column, wanted: Column) -> Column:
-    """Index of the ``position``-th of ``wanted`` evenly spread picks out of ``items``."""
-    spread = round_half_even(position * (items - 1) / (wanted - 1))
-    middle = F.floor(items / 2).cast("bigint")
-    return F.when(wanted == 1, middle).otherwise(spread)

@@ -37,6 +37,12 @@ def catalog_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.active_selections(selections)
 
 
+@query(f"WITH {_CAT} SELECT video_id, revision, entry_id FROM entries WHERE key = 'manifest:2-HIGH:primary'")
+def catalog_entries_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, _, _ = order_catalog(spark, sf_dir)
+    return catalog.list_entries(entries, "manifest:2-HIGH:primary").select("video_id", "revision", "entry_id")
+
+
 @query(f"WITH {_CAT} SELECT video_id, entry_id, dep AS dependency FROM st WHERE dep IS NOT NULL AND dep NOT IN (SELECT entry_id FROM active)")
 def catalog_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, selections, _ = order_catalog(spark, sf_dir)

@@ -139,6 +139,20 @@ def dense_search_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(hits).drop("rank")
 
 
+@query("""SELECT c.conv_id AS video_id, CAST(c.turn AS VARCHAR) AS item_id,
+  round(CAST(e.embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS first_value
+FROM conversations c JOIN embeddings e ON e.vec_id // 4 = c.conv_id AND e.vec_id % 4 = c.turn""")
+def dense_index_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all conversations share their numbers; each takes the vector of its own conversation."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").cast("string").alias("item_id"), "text")
+    vectors = read_table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 4).alias("video_id"), (F.col("vec_id") % 4).cast("string").alias("item_id"), F.col("embedding").alias("vector")
+    )
+    size = vectors.select(F.size("vector")).first()[0]
+    index = indexing.dense_index(turns, vectors, size)
+    return index.select("video_id", "item_id", F.round(F.col("vector")[0].cast("double"), 5).alias("first_value"))
+
+
 _SPARSE_50 = bm25_sql(_DOCS, top_k=50)
 
 

@@ -200,6 +200,27 @@ def _requested(chunks: DataFrame) -> DataFrame:
     return context.requested_ranges(chunks, hits=chunks.where("source = 'system'"))
 
 
+@query(f"""WITH {SEGS}, asked AS (SELECT video_id, start_ms, end_ms FROM segs WHERE role = 'system' OR ord % 5 = 4
+  UNION ALL SELECT video_id, start_ms + 1000, end_ms + 3000 FROM segs WHERE ord % 4 = 0), {merged('asked', 'm')}
+SELECT video_id, start_ms, end_ms FROM m""")
+def context_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit ranges, hits and named chunks asked for at once."""
+    chunks = _turn_chunks(spark, sf_dir)
+    ranges = chunks.where("ord % 4 = 0").selectExpr("video_id", "start_ms + 1000 AS start_ms", "end_ms + 3000 AS end_ms")
+    asked = context.requested_ranges(chunks, ranges, chunks.where("source = 'system'"), chunks.where("ord % 5 = 4"))
+    return asked.select("video_id", "start_ms", "end_ms")
+
+
+@query(f"""WITH {SEGS} SELECT video_id, segment_id, 5000 * (video_id % 3) AS source_start_ms FROM segs
+WHERE start_ms < 5000 * (video_id % 3) + 12000 AND 5000 * (video_id % 3) < end_ms""")
+def segments_in_source_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments outside their video's source range are dropped; those across its ends stay whole."""
+    segments = conversation_segments(spark, sf_dir)
+    start = 5_000 * (F.col("video_id") % 3)
+    sources = segments.select("video_id").distinct().withColumns({"source_start_ms": start, "source_end_ms": start + 12_000})
+    return chunking.in_source_range(segments, sources).select("video_id", "segment_id", "source_start_ms")
+
+
 @query(f"WITH {_CTX} SELECT video_id, ord, start_ms, end_ms FROM ctx")
 def context_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _turn_chunks(spark, sf_dir)

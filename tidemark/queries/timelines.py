@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.intervals import contains_range, intersection, map_timeline, overlaps
+from tidemark.functions.intervals import contains_range, duration_ms, intersection, map_timeline, overlaps
 from tidemark.operators import clips, frames, ranges
 from tidemark.plans.ordered import ordered, running
 from tidemark.plans.overlap import overlap_join, overlap_semi, point_in_interval_join
@@ -178,7 +178,7 @@ def interval_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.done().where(F.col("p_start").isNotNull()).withColumn("_x", shared).select(
         "video_id",
         "event_id",
-        (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
+        duration_ms("start_ms", "end_ms").alias("duration_ms"),
         overlaps("p_start", "p_end", "start_ms", "end_ms").alias("overlaps_previous"),
         contains_range("p_start", "p_end", "start_ms", "end_ms").alias("inside_previous"),
         F.coalesce("_x.start_ms", F.lit(-1)).alias("shared_start_ms"),

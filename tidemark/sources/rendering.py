@@ -1,4 +1,4 @@
-"""Result rows as JSON lines or plain text."""
+"""Result rows as plain text."""
 
 from __future__ import annotations
 
@@ -22,8 +22,3 @@ def citation_lines(citations: DataFrame) -> DataFrame:
         F.col("excerpt"),
     )
     return citations.select("answer_id", "pos", line.alias("value"))
-
-
-def as_json(df: DataFrame) -> DataFrame:
-    """Each row as one JSON document in ``value``."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
