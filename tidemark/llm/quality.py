@@ -219,14 +219,8 @@ def keep_good(docs: DataFrame, model: QualityModel, rule: QualityRule = QualityR
     size, threshold = rule.passage_words, rule.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            text = batch.column(at).fill_null("") if batch.column(at).null_count else batch.column(at)
-            kept = []
-            for part in bytetext.slices(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
-                features, bags = passages(*bytetext.flat(part.column("text")), size)
-                kept.append(model.scores(features, bags) >= threshold)
-            if kept:
-                yield batch.filter(pa.array(np.concatenate(kept)))
+        for part in bytetext.slices(batches):
+            features, bags = passages(*bytetext.flat(part.column("text")), size)
+            yield part.filter(pa.array(model.scores(features, bags) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
