@@ -118,7 +118,7 @@ s AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, vec_id * 1000 AS start_ms, vec_
 
 def _dense_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
     index = embedding_index(spark, sf_dir)
-    probe = index.where("item_id = '7'").select("raw_vector").first()["raw_vector"]
+    probe = read_table(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()["embedding"]
     dimensions = len(probe)
     return index.withColumn("vector", normalize_vector(F.col("raw_vector"), dimensions)), list(probe)
 
@@ -168,13 +168,10 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = document_index(spark, sf_dir)
     sparse = retrieval.bm25_search(texts, SEARCH, top_k=50, keep=("source_ids", "text"))
     vectors, probe = _dense_documents(spark, sf_dir)
-    dense = retrieval.dense_search(
-        vectors.drop("source_ids").join(texts.select("item_id", "source_ids", "text"), "item_id"),
-        probe,
-        len(probe),
-        top_k=50,
-        keep=("source_ids", "text"),
-    )
+    known = vectors.join(texts.select("item_id"), "item_id", "left_semi")
+    nearest = retrieval.dense_search(known, probe, len(probe), top_k=50)
+    # texts are fetched for the hits alone
+    dense = texts.select("item_id", "source_ids", "text").join(F.broadcast(nearest), "item_id")
 
     def as_hits(found: DataFrame, name: str) -> DataFrame:
         # both lists place an item at its id, so equal ranks fall back to the same order
