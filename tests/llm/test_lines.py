@@ -61,13 +61,17 @@ def test_banded_distance(spark):
     rng = random.Random(1)
     pairs = []
     for _ in range(400):
-        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(3, 30)))
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(3, 60)))
         b = mutated(rng, a, rng.randrange(5), "abcé日")
         pairs.append((a, b) if len(a) >= len(b) else (b, a))
     for edits in (1, 2, 3):
         table = spark.createDataFrame(pairs, "l string, s string")
-        for r in table.select("l", "s", lines.within_edits(F.col("l"), F.col("s"), edits).alias("near")).collect():
+        near, may = lines.within_edits(F.col("l"), F.col("s"), edits), lines.may_be_within(F.col("l"), F.col("s"), edits)
+        middle = lines.unlike_middle(F.col("l"), F.col("s"))
+        for r in table.select("l", "s", near.alias("near"), may.alias("may"), middle.alias("p")).collect():
+            assert distance(r.p.l, r.p.s) == distance(r.l, r.s)
             assert r.near == (distance(r.l, r.s) <= edits), (r, edits)
+            assert r.may or not r.near
 
 
 def random_rows(rng, n, letters="ab cé"):
@@ -82,7 +86,7 @@ def random_rows(rng, n, letters="ab cé"):
 def test_classes_match_all_pairs(spark):
     rng = random.Random(7)
     rows = random_rows(rng, 60)
-    for rule in (lines.LineRule(least_chars=8), lines.LineRule(least_chars=8, edits=1), lines.LineRule(least_chars=8, pair_limit=2, levels=3)):
+    for rule in (lines.LineRule(least_chars=8), lines.LineRule(least_chars=8, edits=1), lines.LineRule(least_chars=8, pair_limit=2)):
         assert cleaned(lines.dedup_lines(docs(spark, rows), rule)) == brute(rows, rule), rule
 
 

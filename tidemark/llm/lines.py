@@ -11,10 +11,11 @@ only hashes are shuffled until a pair has to be verified.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
@@ -28,7 +29,6 @@ class LineRule:
     edits: int = 2
     least_chars: int = 32
     pair_limit: int = 16
-    levels: int = 4
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -85,111 +85,253 @@ def within_edits(long: Column, short: Column, edits: int) -> Column:
     return (m - n <= edits) & F.when(long == short, True).when(n <= edits, F.levenshtein(long, short) <= edits).otherwise(distance)
 
 
-def lines_of(docs: DataFrame, rule: LineRule) -> DataFrame:
-    """``(doc_id, line_no, line, h, place)`` of the lines long enough to be looked at.
+def unlike_middle(long: Column, short: Column) -> Column:
+    """Both texts as ``l`` and ``s``, without equal blocks at their beginnings and then at their ends."""
+    blocks = 16
+
+    def without(l: Column, s: Column, from_end: bool) -> Column:
+        size = F.floor(F.char_length(s) / blocks).cast("int")
+        part = lambda x, k: F.substring(x, F.char_length(x) - size * (k + 1) + 1 if from_end else size * k + 1, size)
+        differ = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: part(l, k) != part(s, k))
+        equal = size * F.coalesce(F.get(differ, F.lit(0)), F.lit(blocks))
+        if from_end:
+            cut = lambda x, n: F.substring(x, F.lit(1), F.char_length(x) - n)
+        else:
+            cut = lambda x, n: F.substring(x, n + 1, F.char_length(x))
+        return _let(equal, lambda n: F.struct(cut(l, n).alias("l"), cut(s, n).alias("s")))
+
+    return _let(without(long, short, False), lambda p: without(p["l"], p["s"], True))
 
-    ``place`` orders all lines by document and number; ``h`` stands for the line.
+
+def may_be_within(long: Column, short: Column, edits: int) -> Column:
+    """False only for texts that are more than ``edits`` edits apart.
+
+    Of the pieces of the shorter text, each edit spoils one at most; the others stand in
+    the longer one no further than ``edits`` characters from their own place.
     """
+    parts = 2 * edits + 4
+    n = F.char_length(short)
+    size = F.floor(n / parts).cast("int")
+    held = F.lit(0)
+    for k in range(parts):
+        start = size * k + 1
+        own = size if k < parts - 1 else n - size * k
+        around = F.substring(long, F.greatest(start - edits, F.lit(1)), own + 2 * edits)
+        held = held + F.contains(around, F.substring(short, start, own)).cast("int")
+    return held >= parts - edits
+
+
+def lines_of(docs: DataFrame, rule: LineRule) -> DataFrame:
+    """``(doc_id, line_no, line, h)`` of the lines long enough to be looked at; ``h`` stands for the line."""
     split = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return split.where(F.char_length("line") >= rule.least_chars).withColumn("h", F.xxhash64("line"))
+
+
+def _place() -> Column:
+    """One number that orders all lines by document and line number."""
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no")
-    long = split.where(F.char_length("line") >= rule.least_chars)
-    return long.withColumn("h", F.xxhash64("line")).withColumn("place", place.cast("decimal(38,0)"))
+    return place.cast("decimal(38,0)")
 
 
-def _cuts(n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start and length of the segments of a text of ``n`` characters, as even as can be, the longer ones last."""
-    parts = edits + 1
-    size = F.floor(n / parts).cast("int")
-    short = parts - n % parts
-    return [((size * k + F.greatest(k - short, F.lit(0)) + 1).cast("int"), (size + F.when(F.lit(k) >= short, 1).otherwise(0)).cast("int")) for k in range(parts)]
+def _shifts(edits: int, less: int, k: int) -> tuple[int, int]:
+    """How far segment ``k`` of a text ``less`` characters shorter can have moved: by the edits before it, or after it."""
+    return max(-k, less - (edits - k)), min(k, less + (edits - k))
+
+
+def _segment(m: Column, k: int | Column, parts: int) -> tuple[Column, Column]:
+    """Start and size of segment ``k`` of a text of ``m`` characters; segments are even, the longer ones last."""
+    longer, even = F.lit(k) - (parts - m % parts), F.floor(m / parts).cast("int")
+    return (even * k + F.greatest(longer, F.lit(0)) + 1).cast("int"), (even + F.when(longer >= 0, 1).otherwise(0)).cast("int")
 
 
 def segment_keys(texts: DataFrame, edits: int) -> DataFrame:
-    """``texts (h, bucket, rest)`` with one row for each key: ``(h, key, start, size)``.
+    """``texts (h, rest)`` with one row for each key: ``(h, key)``.
 
-    A key names the bucket, the length of the shorter text, the segment and its content.
+    A key names the length of the shorter text, the segment and its content.  What a
+    segment can cover is cut out once for all keys of the segment.
+    """
+    parts = edits + 1
+    lit = lambda x: F.lit(x).cast("int")
+    probes = [(less, k, shift) for less in range(parts) for k in range(parts) for low, high in [_shifts(edits, less, k)] for shift in range(low, high + 1)]
+    sized = texts.where(F.char_length("rest") > edits).withColumn("n", F.char_length("rest"))
+    froms, pieces = [], []
+    for k in range(parts):
+        own = [(*_segment(F.col("n") - less, k, parts), *_shifts(edits, less, k)) for less in range(parts)]
+        low = F.greatest(F.lit(1), F.least(*(start + down for start, _, down, _ in own)))
+        froms.append(low)
+        pieces.append(F.substring(F.col("rest"), low, F.greatest(*(start + up + size for start, size, _, up in own)) - low))
+    cut = sized.select("h", "n", F.array(*froms).alias("froms"), F.array(*pieces).alias("pieces"))
+    rows = F.array(*(F.struct(lit(less).alias("less"), lit(k).alias("k"), lit(shift).alias("shift")) for less, k, shift in probes))
+    each = cut.select("*", F.explode(rows).alias("p")).withColumn("m", F.col("n") - F.col("p.less")).where(F.col("m") > edits)
+    start, size = _segment(F.col("m"), F.col("p.k"), parts)
+    each = each.withColumn("start", start + F.col("p.shift")).withColumn("size", size)
+    each = each.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    piece = F.substring(F.get("pieces", F.col("p.k")), F.col("start") - F.get("froms", F.col("p.k")) + 1, F.col("size"))
+    return each.select("h", F.xxhash64("m", "p.k", piece).alias("key"))
+
+
+BLOCKS = 8
+
+
+def _masks(edits: int) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """Ways to be ``edits`` edits apart: ``(less, mask, number of blocks, stretches)``.
+
+    All edits fall into some of the blocks of the shorter text, ``edits`` at most.  The
+    stretches of blocks between those stand unchanged in the longer one, each moved by
+    what the edits before it have inserted or deleted: ``(first block, end block, shift)``.
+    """
+    every = [dirty for count in range(1, edits + 1) for dirty in combinations(range(BLOCKS), count)]
+    for mask, dirty in enumerate(every):
+        borders = [-1, *dirty, BLOCKS]
+        spans = [(a + 1, b) for a, b in zip(borders, borders[1:])]
+        for less in range(edits + 1):
+            for inner in product(range(-edits, edits + 1), repeat=len(dirty) - 1):
+                shifts = [0, *inner, less]
+                if sum(abs(b - a) for a, b in zip(shifts, shifts[1:])) > edits:
+                    continue
+                # an empty stretch stands nowhere: one shift stands for all
+                if any(f == g and t < len(dirty) and shifts[t] != shifts[t - 1] for t, (f, g) in enumerate(spans) if t):
+                    continue
+                ends = [(BLOCKS, BLOCKS, less)] * (edits - len(dirty))
+                yield less, mask, len(dirty), [*((f, g, shift) for (f, g), shift in zip(spans, shifts)), *ends]
+
+
+def mask_keys(texts: DataFrame, edits: int) -> DataFrame:
+    """``texts (h, rest, counts)`` with ``(h, counts, key, d0, d1, ...)`` for each way to leave up to ``edits`` blocks out.
+
+    A key is all the text but those blocks, so the members of a bucket differ in them
+    alone; the further columns stand for what is in their place.
     """
-    n = F.char_length("rest").cast("int")
-    rows = []
-    for less in range(edits + 1):
-        for k, (start, size) in enumerate(_cuts(n - less, edits)):
-            low, high = max(-k, less - (edits - k)), min(k, less + (edits - k))
-            for shift in range(low, high + 1):
-                at = (start + shift).cast("int")
-                key = F.xxhash64("bucket", n - less, F.lit(k), F.substring(F.col("rest"), at, size))
-                fits = (n - less > edits) & (at >= 1) & (at + size - 1 <= n)
-                rows.append(F.when(fits, F.struct(key.alias("key"), at.alias("start"), size.alias("size"))))
-    return texts.select("h", F.explode(F.array(*rows)).alias("k")).where("k is not null").select("h", "k.key", "k.start", "k.size")
+    lit = lambda x: F.lit(x).cast("int")
+    rows = [
+        F.struct(lit(less).alias("less"), lit(mask).alias("mask"), lit(count).alias("count"), F.array(*(F.struct(lit(f).alias("f"), lit(g).alias("g"), lit(s).alias("s")) for f, g, s in spans)).alias("spans"))
+        for less, mask, count, spans in _masks(edits)
+    ]
+    each = texts.withColumn("n", F.char_length("rest")).select("*", F.explode(F.array(*rows)).alias("p")).select("*", (F.col("n") - F.col("p.less")).alias("m"))
+    each = each.where("m >= 0").withColumn("even", F.expr(f"m div {BLOCKS}").cast("int"))
+    at = lambda b: F.col("even") * b + F.greatest(b - (BLOCKS - F.col("m") % BLOCKS), F.lit(0))
+    spans = [F.col("p.spans")[t] for t in range(edits + 1)]
+    starts, ends = [at(x["f"]) + x["s"] for x in spans], [at(x["g"]) + x["s"] for x in spans]
+    fits = (starts[0] >= 0) & (ends[-1] <= F.col("n"))
+    for end, start in zip(ends, starts[1:]):
+        fits = fits & (end <= start)
+    each = each.where(fits)
+    same = [F.substring(F.col("rest"), a + 1, b - a) for a, b in zip(starts, ends)]
+    left = [F.xxhash64(F.substring(F.col("rest"), a + 1, b - a)) for a, b in zip(ends, starts[1:])]
+    left = [F.when(F.col("p.count") > t, x).alias(f"d{t}") for t, x in enumerate(left)]
+    return each.select("h", "counts", F.xxhash64("m", "p.mask", *same).alias("key"), *left)
+
+
+#: Rows of hashes that are broadcast where they are counted and found to be no more; beyond, both sides are shuffled.
+SMALL_ROWS = 200_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, which are stored and hold two numbers at most, marked for broadcast if few."""
+    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows ``(key, h)`` of keys that more than one line has, stored."""
+    window = Window.partitionBy("key")
+    both = keyed.withColumn("low", F.min("h").over(window)).withColumn("high", F.max("h").over(window))
+    return cut_lineage(both.where("low < high").select(*keyed.columns).distinct())
+
+
+def _letter_counts(text: Column) -> Column:
+    """How often letters and digits of six kinds occur, ten bits each, in one number."""
+    kinds = ["".join(chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)] if c % 6 == k) for k in range(6)]
+    size, packed = F.char_length(text), F.lit(0).cast("bigint")
+    for k, letters in enumerate(kinds):
+        count = (size - F.char_length(F.translate(text, letters, ""))).cast("bigint")
+        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(1023).cast("bigint")), 10 * k))
+    return packed
+
+
+def _counts_agree(edits: int) -> Column:
+    """An edit moves the count of a kind by one at most."""
+    agree = F.lit(True)
+    for k in range(6):
+        moved = F.shiftright("a_counts", 10 * k) - F.shiftright("b_counts", 10 * k) + edits
+        agree = agree & (moved.bitwiseAND(F.lit(1023).cast("bigint")) <= 2 * edits)
+    return agree
+
+
+def _pairs(members: DataFrame, edits: int | None = None) -> DataFrame:
+    """Pairs of lines that share a key.
+
+    With ``edits``, rows are those of ``mask_keys``: lines are paired under the key that
+    leaves out just the blocks in which they differ, if their letter counts allow.
+    """
+    more = ["counts", *(f"d{t}" for t in range(edits))] if edits else []
+    side = lambda s: members.select("key", F.col("h").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in more))
+    close = F.col("a") < F.col("b")
+    if edits:
+        close = close & _counts_agree(edits)
+        for t in range(edits):
+            close = close & (F.col(f"a_d{t}").isNull() | (F.col(f"a_d{t}") != F.col(f"b_d{t}")))
+    return side("a").join(side("b"), "key").where(close).select("a", "b").distinct()
 
 
 def candidates(lines: DataFrame, rule: LineRule) -> DataFrame:
     """Pairs ``(a, b)`` of line hashes that share a segment where they may.
 
-    Keys of two lines give their pair at once; those of few lines are joined.
-    The members of a larger bucket are keyed again by the segments of the rest of their
-    text, which is as many edits apart as the whole was.  After ``levels`` rounds
-    the members agree on nearly all of their text and are paired as they are.
+    The members of a bucket of up to ``pair_limit`` lines are paired.  Two lines that
+    meet in a larger one are both keyed anew, by all their text but as many of its
+    blocks as there may be edits, and paired where they meet then and hold about the
+    same letters.
     """
-    found = None
-    level = lines.select("h", F.lit(0).cast("bigint").alias("bucket"), F.col("line").alias("rest"))
-    for round_no in range(rule.levels):
-        keyed = segment_keys(level, rule.edits)
-        sizes = cut_lineage(
-            keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-        )
-        more = keyed.select("key", "h").join(sizes.where("n > 2").select("key"), "key").distinct()
-        more = cut_lineage(more.join(more.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"))
-        last = round_no == rule.levels - 1
-        members = more if last else more.where(F.col("n") <= rule.pair_limit)
-        pairs = members.select("key", F.col("h").alias("a")).join(members.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b")
-        both = sizes.where("n = 2").select("a", "b").union(pairs)
-        found = both if found is None else found.union(both)
-        many = more.where(F.col("n") > rule.pair_limit).select("key").distinct()
-        if last or many.isEmpty():
-            break
-        held = segment_keys_with_rest(level, rule.edits).join(many, "key")
-        level = cut_lineage(held.select("h", F.col("key").alias("bucket"), "rest").distinct())
-    return found.distinct()
-
-
-def segment_keys_with_rest(texts: DataFrame, edits: int) -> DataFrame:
-    """The keys of ``texts``, each with what is left of the text without the keyed part."""
-    keyed = segment_keys(texts.select(F.struct("h", "rest").alias("h"), "bucket", "rest"), edits)
-    rest = F.concat(F.expr("substring(h.rest, 1, start - 1)"), F.expr("substring(h.rest, start + size)"))
-    return keyed.select("key", F.col("h.h").alias("h"), rest.alias("rest"))
+    texts = lambda rows: rows.select("h", F.col("line").alias("rest"))
+    members = _shared(segment_keys(texts(lines), rule.edits))
+    sizes = cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rule.pair_limit).select("key"))
+    large = _small(sizes)
+    found = _pairs(members.join(large, "key", "left_anti"))
+    hot = cut_lineage(members.join(large, "key", "left_semi").select("h").distinct())
+    if hot.isEmpty():
+        return found
+    level = texts(lines.join(_small(hot), "h")).distinct()
+    level = cut_lineage(level.withColumn("counts", _letter_counts(F.col("rest"))))
+    return found.union(_pairs(_shared(mask_keys(level, rule.edits)), rule.edits)).distinct()
+
+
+def _digest() -> Column:
+    """128 bits of the line's SHA-256, which tell equal lines."""
+    return F.substring(F.unhex(F.sha2("line", 256)), 1, 16)
 
 
 def line_classes(lines: DataFrame, rule: LineRule) -> DataFrame:
-    """``(h, digest, first_place)`` for each distinct line that is not the first of its class.
+    """``(h, digest, first_place)`` of the distinct lines that occur again or are linked to another line.
 
     A class holds all lines linked by at most ``edits`` edits, directly or over
-    others; ``first_place`` is where its first line stands.  Equal lines are
-    told by their SHA-256.
+    others; ``first_place`` is where its first line stands.
     """
-    digest = F.unhex(F.sha2("line", 256)).alias("digest")
-    distinct = lines.select("h", digest, "place").groupBy("h", "digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
-    distinct = cut_lineage(distinct)
-    near = candidates(lines, rule)
-    near = cut_lineage(near)
-    wanted = near.select(F.col("a").alias("h")).union(near.select(F.col("b").alias("h"))).distinct()
-    texts = lines.join(wanted, "h", "left_semi").select("h", "line").distinct()
-    texts = cut_lineage(texts.select("h", "line", digest).join(distinct, ["h", "digest"]).select("h", "line", F.struct("place", "h", "digest").alias("node")))
-    side = lambda s: texts.select(F.col("h").alias(s), F.col("line").alias(f"{s}_line"), F.col("node").alias(f"{s}_node"))
-    pairs = near.join(side("a"), "a").join(side("b"), "b")
+    marked = lines.select("h", _digest().alias("digest"), _place().alias("place"))
+    repeated = marked.groupBy("h", "digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(repeated.where("n > 1").select("h", "digest", "place"))
+    near = cut_lineage(candidates(lines, rule))
+    wanted = cut_lineage(near.select(F.col("a").alias("h")).union(near.select(F.col("b").alias("h"))).distinct())
+    texts = lines.join(_small(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("place"))
+    node = F.struct("place", "h", _digest().alias("digest")).alias("node")
+    texts = cut_lineage(texts.select("h", "line", _letter_counts(F.col("line")).alias("counts"), node))
+    side = lambda s: texts.select(F.col("h").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("line", "counts", "node")))
+    pairs = near.join(side("a"), "a").join(side("b"), "b").where(_counts_agree(rule.edits))
     turn = F.char_length("a_line") >= F.char_length("b_line")
     long, short = F.when(turn, F.col("a_line")).otherwise(F.col("b_line")), F.when(turn, F.col("b_line")).otherwise(F.col("a_line"))
-    linked = pairs.where(within_edits(long, short, rule.edits)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    classes = connected_components(linked).select(F.col("node.h").alias("h"), F.col("node.digest").alias("digest"), F.col("component.place").alias("near_place"))
-    joined = distinct.join(classes, ["h", "digest"], "left")
-    return joined.where("n > 1 or near_place is not null").select("h", "digest", F.coalesce("near_place", "place").alias("first_place"))
+    pairs = pairs.withColumn("long", long).withColumn("short", short).where(may_be_within(F.col("long"), F.col("short"), rule.edits))
+    pairs = cut_lineage(pairs.select("a_node", "b_node", unlike_middle(F.col("long"), F.col("short")).alias("p")))
+    linked = pairs.where(within_edits(F.col("p.l"), F.col("p.s"), rule.edits)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    classes = connected_components(linked)
+    first = classes.select(F.col("node.h").alias("h"), F.col("node.digest").alias("digest"), F.col("component.place").alias("near_place"))
+    joined = repeated.join(first, ["h", "digest"], "full")
+    return joined.select("h", "digest", F.coalesce("near_place", "place").alias("first_place"))
 
 
 def repeated_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
     """``(doc_id, line_no)`` of every line that repeats an earlier line, wholly or within ``edits`` edits."""
     lines = lines_of(docs, rule)
     classes = line_classes(lines, rule)
-    seen = lines.select("doc_id", "line_no", "h", F.unhex(F.sha2("line", 256)).alias("digest"), "place")
-    return seen.join(classes, ["h", "digest"]).where("place > first_place").select("doc_id", "line_no").distinct()
+    seen = lines.select("doc_id", "line_no", "h", _digest().alias("digest"))
+    return seen.join(classes, ["h", "digest"]).where(_place() > F.col("first_place")).select("doc_id", "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
@@ -204,10 +346,12 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
     numbers = repeated_lines(docs.select("doc_id", "text"), rule).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("line_no").alias("numbers"))
     joined = docs.join(numbers, docs["doc_id"] == numbers["of"], "left")
     whole, gone = docs["text"], numbers["numbers"]
-    parts = F.split(whole, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    clean = F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")
-    text = F.when(gone.isNull() | whole.isNull(), whole).otherwise(clean)
-    n_lines = F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("bigint")
+
+    def without(parts: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+        return F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")
+
+    text = F.when(gone.isNull() | whole.isNull(), whole).otherwise(_let(F.split(whole, "\n"), without))
+    n_lines = F.when(whole.isNull(), 0).otherwise(F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     dropped = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("bigint")
     return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns), n_lines.alias("n_lines"), dropped.alias("n_dropped"))
