@@ -26,7 +26,7 @@ class LanguageRule:
 
     ``sample_rows`` documents of each of the ``sample_langs`` most frequent
     languages at most are used to learn, taken in the order of a hash of their id,
-    and ``sample_windows`` windows at hashed places of each.  Prediction has no
+    and ``sample_windows`` windows of each: its beginning, and others at hashed places.  Prediction has no
     such bounds.
     """
 
@@ -36,7 +36,7 @@ class LanguageRule:
     sample_rows: int = 300
     sample_windows: int = 6
     sample_langs: int = 100
-    steps: int = 260
+    steps: int = 420
     batch: int = 128
     rate: float = 0.02
     seed: int = 11
@@ -111,9 +111,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def gradients(w: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over all positions, and its gradients by backpropagation through time."""
+def gradients(w: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray, real: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over all real positions, and its gradients by backpropagation through time."""
     steps, n = windows.shape
+    share = np.full((steps, n), 1 / (steps * n), np.float32) if real is None else (real / max(1, real.sum())).astype(np.float32)
     size, states = w["Uf"].shape[0], {}
     logits = np.zeros((steps, n, len(w["bo"])), np.float32) + w["bo"]
     for way, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
@@ -129,9 +130,9 @@ def gradients(w: dict[str, np.ndarray], windows: np.ndarray, target: np.ndarray)
         states[way] = kept
     p = np.exp(logits - logits.max(2, keepdims=True))
     p /= p.sum(2, keepdims=True)
-    loss = -np.log(p[:, np.arange(n), target] + 1e-9).mean()
+    loss = -(np.log(p[:, np.arange(n), target] + 1e-9) * share).sum()
     p[:, np.arange(n), target] -= 1
-    p /= steps * n
+    p *= share[:, :, None]
     grads = {k: np.zeros_like(v) for k, v in w.items()}
     grads["bo"] = p.sum((0, 1))
     for way, order in (("f", range(steps - 1, -1, -1)), ("b", range(steps))):
@@ -167,7 +168,10 @@ def fit(windows: list[bytes], names: list[str], rule: LanguageRule) -> LanguageM
     second = {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, rule.steps + 1):
         chosen = np.array([rng.choice(of[k]) for k in rng.integers(0, len(langs), rule.batch)])
-        _, grads = gradients(w, x[chosen].T, y[chosen])
+        # some windows are cut short and padded, as short texts are when they are read
+        length = np.where(rng.random(rule.batch) < 0.3, rng.integers(4, x.shape[1] + 1, rule.batch), x.shape[1])
+        real = np.arange(x.shape[1])[:, None] < length[None]
+        _, grads = gradients(w, np.where(real, x[chosen].T, 32), y[chosen], real)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = rule.rate * (1 - (step - 1) / rule.steps)
         for k, g in grads.items():
@@ -191,6 +195,7 @@ def train(docs: DataFrame, rule: LanguageRule = LanguageRule(), learnable=None)
         known = known.where(learnable)
     ids = bytetext.bounded_sample(known, "doc_id", "lang", rule.sample_rows, rule.sample_langs)
     place = F.pmod(F.xxhash64("doc_id", "k"), F.length("text") - rule.train_window + 1).cast("int") + 1
+    place = F.when(F.col("k") == 1, 1).otherwise(place)
     cut = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(1), F.lit(rule.sample_windows))).alias("k"))
     rows = cut.select("doc_id", "k", "lang", F.encode(F.substring(F.col("text"), place, F.lit(rule.train_window)), "utf-8").alias("raw")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.k, r.lang, bytes(r.raw)))
