@@ -12,7 +12,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -63,32 +63,39 @@ class ChatTemplate:
         return re.compile(r"\\(" + self._special.pattern + ")")
 
 
+#: The encoding that this process has built, by the hash of its ranks; it outlives the tasks of a reused worker.
+_BUILT: dict[str, object] = {}
+
+
 @dataclass
 class Vocabulary:
-    """Byte-pair ranks; they travel with the tasks, so executors need no file."""
+    """Byte-pair ranks as lines of base64 and number; they travel with the tasks, so executors need no file."""
 
-    ranks: dict[bytes, int]
-    _encoding: object = field(default=None, repr=False)
+    lines: bytes
 
     @classmethod
     def load(cls, path: str = RANKS_PATH) -> Vocabulary:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
+        with open(path, "rb") as file:
+            return cls(file.read())
 
-    def __getstate__(self) -> dict:
-        return {"ranks": self.ranks, "_encoding": None}
+    @cached_property
+    def mark(self) -> str:
+        return hashlib.sha256(self.lines).hexdigest()
 
     @property
     def encoding(self):
-        if self._encoding is None:
+        mark = self.mark
+        if mark not in _BUILT:
             import tiktoken
 
-            self._encoding = tiktoken.Encoding("chat", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens={})
-        return self._encoding
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in self.lines.splitlines() if line.strip())}
+            _BUILT.clear()
+            _BUILT[mark] = tiktoken.Encoding("chat", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return _BUILT[mark]
 
     @cached_property
     def size(self) -> int:
-        return max(self.ranks.values()) + 1
+        return self.encoding.max_token_value + 1
 
 
 def assemble(roles: list[str], texts: list[str], vocabulary: Vocabulary, template: ChatTemplate) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -117,9 +124,10 @@ def assemble(roles: list[str], texts: list[str], vocabulary: Vocabulary, templat
     return ids, masks
 
 
-def read_turn(ids: list[int], mask: list[int], vocabulary: Vocabulary, template: ChatTemplate) -> tuple[str, str, str, str]:
+def read_turn(ids: list[int], mask: list[int], vocabulary: Vocabulary, template: ChatTemplate, encoding=None) -> tuple[str, str, str, str]:
     """``(role, text, masked text, readable form)`` of a formatted turn."""
-    first, controls, decode = vocabulary.size, template.controls, vocabulary.encoding.decode_bytes
+    encoding = encoding or vocabulary.encoding
+    first, controls, decode = vocabulary.size, template.controls, encoding.decode_bytes
     plain: list[tuple[int, list[int]]] = []
     for k in ids:
         if k >= first:
@@ -171,10 +179,11 @@ def read_turns(formatted: DataFrame, vocabulary: Vocabulary, template: ChatTempl
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = vocabulary.encoding
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                read = [read_turn(i, m, vocabulary, template) for i, m in zip(part.column("ids").to_pylist(), part.column("mask").to_pylist())]
+                read = [read_turn(i, m, vocabulary, template, encoding) for i, m in zip(part.column("ids").to_pylist(), part.column("mask").to_pylist())]
                 columns = [pa.array(c, pa.string()) for c in zip(*read)]
                 yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), *columns], ["conv_id", "turn", "role", "text", "learned", "formatted"])
 
