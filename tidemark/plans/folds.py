@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.plans.ordered import OrderedFrame, running
+from tidemark.session import cut_lineage
 
 # A rule keeps the open state.  ``rule(values, fresh)`` is called row by row and
 # returns the row's output; ``fresh`` marks the first row of a run.
@@ -88,5 +89,6 @@ def fold_groups(
     flagged = fold_rows(
         stretches.frame, [*scan.keys, RUN], scan.order, inputs, make_rule, "_starts", T.BooleanType()
     ).drop(RUN)
-    counted = running(scan.with_frame(flagged), {output: ("sum", F.col("_starts").cast("bigint"))})
+    # stored, since the numbering reads it twice
+    counted = running(scan.with_frame(cut_lineage(flagged)), {output: ("sum", F.col("_starts").cast("bigint"))})
     return counted.done().withColumn(output, F.col(output) - 1).drop("_starts")

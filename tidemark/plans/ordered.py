@@ -5,8 +5,8 @@ every timeline is cut into shards by the value it is ordered by: a shard covers
 ``ScanPolicy.span`` units of the first order column (an hour of milliseconds by
 default).  The window runs per shard, and a carry from the earlier shards of the
 timeline is joined in.  Shards follow from the data alone, so there is one plan for
-every size, nothing is counted or stored beforehand, and reruns agree.  The carry has
-one row per shard of timelines that have several.
+every size, nothing is counted or sampled, and reruns agree.  The carry has one row
+per shard of timelines that have several.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut_lineage
+
 SHARD = "_shard"
 _BEFORE_ALL = -(1 << 62)
 
@@ -63,6 +65,8 @@ def ordered(
     """Prepare ``df`` for :func:`running`; the first order column has to be a number or a time.
 
     Nulls and NaN of that column form shards of their own at either end, as sorting has them.
+    The rows are stored once: every running aggregate reads them twice, for its rows and for
+    the totals of its shards, and chains of them would multiply what comes before.
     """
     kind = df.schema[order[0]].dataType
     if not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType)):
@@ -74,7 +78,7 @@ def ordered(
     limit = float(1 << 61)
     shard = F.floor(F.least(F.greatest(place / (policy or DEFAULT_POLICY).span, F.lit(-limit)), F.lit(limit))).cast("bigint")
     shard = F.when(place.isNull(), F.lit(_BEFORE_ALL)).when(F.isnan(place), F.lit(-_BEFORE_ALL)).otherwise(shard)
-    return OrderedFrame(df.withColumn(SHARD, shard), tuple(keys), tuple(order))
+    return OrderedFrame(cut_lineage(df.withColumn(SHARD, shard)), tuple(keys), tuple(order))
 
 
 def running(
