@@ -140,7 +140,7 @@ def _shifts(edits: int, less: int, k: int) -> tuple[int, int]:
 
 def _segment(m: Column, k: int | Column, parts: int) -> tuple[Column, Column]:
     """Start and size of segment ``k`` of a text of ``m`` characters; segments are even, the longer ones last."""
-    longer, even = F.lit(k) - (parts - m % parts), F.floor(m / parts).cast("int")
+    longer, even = F.lit(k) - (parts - m % parts), ((m - m % parts) / parts).cast("int")
     return (even * k + F.greatest(longer, F.lit(0)) + 1).cast("int"), (even + F.when(longer >= 0, 1).otherwise(0)).cast("int")
 
 
@@ -238,16 +238,26 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return cut_lineage(both.where("low < high").select(*keyed.columns).distinct())
 
 
-def _letter_counts(text: Column) -> Column:
-    """How often letters and digits of six kinds occur, ten bits each, in one number."""
+def _letter_kinds(text: Column) -> list[Column]:
+    """How often letters and digits of six kinds occur."""
     kinds = ["".join(chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)] if c % 6 == k) for k in range(6)]
-    size, packed = F.char_length(text), F.lit(0).cast("bigint")
-    for k, letters in enumerate(kinds):
-        count = (size - F.char_length(F.translate(text, letters, ""))).cast("bigint")
+    return [(F.char_length(text) - F.char_length(F.translate(text, letters, ""))).cast("bigint") for letters in kinds]
+
+
+def _letter_counts(text: Column) -> Column:
+    """The counts of the six kinds in one number, ten bits each."""
+    packed = F.lit(0).cast("bigint")
+    for k, count in enumerate(_letter_kinds(text)):
         packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(1023).cast("bigint")), 10 * k))
     return packed
 
 
+def _cells(text: Column, edits: int) -> Column:
+    """Eight cells of a grid over the first three counts, of which two texts ``edits`` apart share one."""
+    at = [F.floor(count / (edits + 1)) for count in _letter_kinds(text)[:3]]
+    return F.array(*(F.xxhash64(*(c + step for c, step in zip(at, steps))) for steps in product((0, 1), repeat=3)))
+
+
 def _counts_agree(edits: int) -> Column:
     """An edit moves the count of a kind by one at most."""
     agree = F.lit(True)
@@ -257,41 +267,51 @@ def _counts_agree(edits: int) -> Column:
     return agree
 
 
-def _pairs(members: DataFrame, edits: int | None = None) -> DataFrame:
-    """Pairs of lines that share a key.
+def _pairs(members: DataFrame, edits: int = 0, blocks: int = 0) -> DataFrame:
+    """Pairs of lines that share a key, and whose letter counts allow ``edits`` where rows have them.
 
-    With ``edits``, rows are those of ``mask_keys``: lines are paired under the key that
-    leaves out just the blocks in which they differ, if their letter counts allow.
+    With ``blocks``, rows are those of ``mask_keys``: lines are then paired only under the
+    key that leaves out just the blocks in which they differ.
     """
-    more = ["counts", *(f"d{t}" for t in range(edits))] if edits else []
+    more = ["counts"] * bool(edits) + [f"d{t}" for t in range(blocks)]
     side = lambda s: members.select("key", F.col("h").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in more))
     close = F.col("a") < F.col("b")
     if edits:
         close = close & _counts_agree(edits)
-        for t in range(edits):
-            close = close & (F.col(f"a_d{t}").isNull() | (F.col(f"a_d{t}") != F.col(f"b_d{t}")))
+    for t in range(blocks):
+        close = close & (F.col(f"a_d{t}").isNull() | (F.col(f"a_d{t}") != F.col(f"b_d{t}")))
     return side("a").join(side("b"), "key").where(close).select("a", "b").distinct()
 
 
+def _split(members: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys of up to ``limit`` lines, and those of larger ones."""
+    large = _small(cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key")))
+    return members.join(large, "key", "left_anti"), members.join(large, "key", "left_semi")
+
+
 def candidates(lines: DataFrame, rule: LineRule) -> DataFrame:
     """Pairs ``(a, b)`` of line hashes that share a segment where they may.
 
-    The members of a bucket of up to ``pair_limit`` lines are paired.  Two lines that
-    meet in a larger one are both keyed anew, by all their text but as many of its
-    blocks as there may be edits, and paired where they meet then and hold about the
-    same letters.
+    The members of a bucket of up to ``pair_limit`` lines are paired.  A larger one is
+    divided by how often letters occur, which edits change little.  Two lines that are
+    still among many are both keyed anew, by all their text but as many of its
+    blocks as there may be edits, and paired where they meet then.
     """
+    edits, limit = rule.edits, rule.pair_limit
     texts = lambda rows: rows.select("h", F.col("line").alias("rest"))
-    members = _shared(segment_keys(texts(lines), rule.edits))
-    sizes = cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rule.pair_limit).select("key"))
-    large = _small(sizes)
-    found = _pairs(members.join(large, "key", "left_anti"))
-    hot = cut_lineage(members.join(large, "key", "left_semi").select("h").distinct())
+    few, many = _split(_shared(segment_keys(texts(lines), edits)), limit)
+    found = _pairs(few)
+    hot = cut_lineage(many.select("h").distinct())
     if hot.isEmpty():
         return found
     level = texts(lines.join(_small(hot), "h")).distinct()
-    level = cut_lineage(level.withColumn("counts", _letter_counts(F.col("rest"))))
-    return found.union(_pairs(_shared(mask_keys(level, rule.edits)), rule.edits)).distinct()
+    level = cut_lineage(level.select("h", "rest", _letter_counts(F.col("rest")).alias("counts"), _cells(F.col("rest"), edits).alias("cells")))
+    divided = many.join(level.select("h", "counts", "cells"), "h").select("h", "counts", "key", F.explode("cells").alias("cell"))
+    few, many = _split(_shared(divided.select("h", "counts", F.xxhash64("key", "cell").alias("key"))), limit)
+    found = found.union(_pairs(few, edits))
+    crowded = cut_lineage(many.select("h").distinct())
+    masked = mask_keys(level.join(_small(crowded), "h").select("h", "rest", "counts"), edits)
+    return found.union(_pairs(_shared(masked), edits, edits)).distinct()
 
 
 def _digest() -> Column:
