@@ -10,17 +10,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MASK = (1 << 64) - 1
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a worker and its executor hold a few batches at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to Python in batches of bounded size; a longer text comes alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Only the key and the text, null texts as empty; other columns never reach Python."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -217,6 +217,7 @@ def score(docs: DataFrame, model: QualityModel, rule: QualityRule = QualityRule(
 def keep_good(docs: DataFrame, model: QualityModel, rule: QualityRule = QualityRule()) -> DataFrame:
     """The rows of ``docs`` whose text the model accepts, all columns as they came."""
     size, threshold = rule.passage_words, rule.threshold
+    bytetext.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bytetext.slices(batches):

@@ -110,6 +110,7 @@ def recipes(docs: DataFrame, rule: ChunkRule, size: int) -> DataFrame:
 
 def distinct_chunks(docs: DataFrame, rule: ChunkRule, size: int) -> DataFrame:
     """``(digest, content)`` of the distinct chunks; a task sends each content once while it remembers it."""
+    bytetext.small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
