@@ -132,6 +132,8 @@ def test_hard_rows(spark, model):
     assert decoded.columns == ["doc_id", "n_ids", "ids_sha256", "decoded", "ids"]
     assert sorted(((r.doc_id, r.decoded) for r in decoded.collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
     assert all(r.n_ids == len(r.ids) for r in decoded.collect())
+    once = unigram.encode_and_decode(table, model, keep_ids=True)
+    assert once.columns == decoded.columns and sorted(map(str, once.collect())) == sorted(map(str, decoded.collect()))
     assert unigram.round_trip(docs(spark, []), model).count() == 0
     bad = spark.createDataFrame([(1, None), (2, [200])], "doc_id bigint, ids array<int>")
     assert {r.doc_id: r.decoded for r in unigram.decode(bad, model).collect()} == {1: "", 2: "\ufffd"}

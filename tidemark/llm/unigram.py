@@ -345,6 +345,7 @@ def decode(encoded: DataFrame, model: UnigramModel, keep_ids: bool = False) -> D
     ``ids_sha256`` hashes the ids as little-endian 32-bit numbers.  Null lists
     count as empty; ids that form no valid UTF-8 give replacement characters.
     """
+    bytetext.small_batches(encoded.sparkSession)
     rows = encoded.select("doc_id", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
     pieces = model.pieces
@@ -355,18 +356,41 @@ def decode(encoded: DataFrame, model: UnigramModel, keep_ids: bool = False) -> D
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = [np.array([], np.int32) if ids is None else ids for ids in part.column("ids").to_numpy(zero_copy_only=False)]
-                texts = [decoder.decode(ids).decode("utf-8", "replace") for ids in lists]
-                marks = [hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() for ids in lists]
-                counts = pa.array([len(ids) for ids in lists], pa.int64())
-                columns = [part.column("doc_id"), counts, pa.array(marks, pa.string()), pa.array(texts, pa.string())]
-                names = ["doc_id", "n_ids", "ids_sha256", "decoded"]
-                if keep_ids:
-                    columns, names = [*columns, part.column("ids")], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield _decoded(part.column("doc_id"), lists, decoder, part.column("ids") if keep_ids else None)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_sha256 string, decoded string" + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(run, f"doc_id {kind}, {_DECODED}" + ", ids array<int>" * keep_ids)
+
+
+_DECODED = "n_ids bigint, ids_sha256 string, decoded string"
+
+
+def _decoded(doc_ids: pa.Array, lists: list[np.ndarray], decoder: Decoder, ids: pa.Array | None) -> pa.RecordBatch:
+    columns = [
+        doc_ids,
+        pa.array([len(x) for x in lists], pa.int64()),
+        pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in lists], pa.string()),
+        pa.array([decoder.decode(x).decode("utf-8", "replace") for x in lists], pa.string()),
+    ]
+    names = ["doc_id", "n_ids", "ids_sha256", "decoded"]
+    if ids is not None:
+        columns, names = [*columns, ids], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def encode_and_decode(docs: DataFrame, model: UnigramModel, keep_ids: bool = False) -> DataFrame:
+    """What ``decode`` gives for what ``encode`` gives, in one pass with one worker a task."""
+    texts = bytetext.id_and_text(docs)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(model), Decoder(model.pieces)
+        for part in bytetext.slices(batches):
+            lists = [np.frombuffer(ids, np.int32) for ids in encoder.encode_all(bytetext.as_bytes(part.column("text")))]
+            yield _decoded(part.column("doc_id"), lists, decoder, int_lists(lists) if keep_ids else None)
+
+    return texts.mapInArrow(run, f"doc_id {kind}, {_DECODED}" + ", ids array<int>" * keep_ids)
 
 
 def round_trip(docs: DataFrame, model: UnigramModel) -> DataFrame:
     """``(doc_id, n_ids, ids_sha256, text_sha256)`` where the last is of the decoded text."""
-    return decode(encode(docs, model), model).withColumn("text_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return encode_and_decode(docs, model).withColumn("text_sha256", F.sha2("decoded", 256)).drop("decoded")
