@@ -55,7 +55,7 @@ def check_leaks(spark, before, after):
 def check_pieces(spark, before, after):
     assert {r.doc_id: r.text for r in after.collect()} == {r.doc_id: r.text for r in before.collect()}
     encoder = unigram.Encoder(unigram.load_model())
-    assert all(list(r.ids) == encoder.encode(r.text.encode()) and r.n_ids == len(r.ids) for r in after.collect())
+    assert all(list(r.ids) == encoder.encode(r.text.encode()).tolist() and r.n_ids == len(r.ids) for r in after.collect())
 
 
 def test_run_is_its_stages(spark):
