@@ -62,6 +62,29 @@ def test_novelty_tells_random_strings_from_names():
         assert secret_scan.marginal_bytes(name, context) < 0.75 * len(name)
 
 
+def test_long_secrets_of_small_alphabets_are_novel():
+    rng = random.Random(6)
+    alphabets = {"hex": string.digits + "ABCDEF", "mixed hex": string.hexdigits, "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits}
+    alphabets |= {"upper": string.ascii_uppercase + string.digits, "alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    for name, letters in alphabets.items():
+        for size in (16, 24, 32, 64, 96, 128, 256, 512, 2048, 8192):
+            for group in (0, 8) if "hex" in name else (0,):
+                # a digit and a letter at least, which novel strings have to have
+                secret = rng.choice(letters[-16:].strip(string.digits + "+/")) + rng.choice("234567") + "".join(rng.choice(letters) for _ in range(size - 2))
+                if group:
+                    secret = "-".join(secret[k : k + group] for k in range(0, size, group))
+                text = f"the auth header is Bearer {secret}".encode()
+                at = (len(text) - len(secret), len(text))
+                assert secret_scan.novel_strings(text, [at], [], secret_scan.SecretRule()) == [at], (name, size, group)
+
+
+def test_guessable_long_strings_are_not_novel():
+    words = "-".join(["the", "private", "key", "of", "a", "client", "is", "not", "in", "this", "address"] * 6) + "-2024"
+    for text in ("0123456789ABCDEF" * 12, "DEADBEEF" * 16, words, "ABCDEFGH2345" * 20):
+        whole = b"the auth header is Bearer " + text.encode()
+        assert secret_scan.novel_strings(whole, [(len(whole) - len(text), len(whole))], [], secret_scan.SecretRule()) == []
+
+
 def test_novel_spans_add_to_the_base(spark):
     secret = "q7Zk2LxP0vRt9YbN4mWs8Hd3"
     rows = [

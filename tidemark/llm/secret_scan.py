@@ -9,6 +9,7 @@ could have guessed from either costs nearly nothing, a secret costs all its byte
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ KINDS = ("assign", "access", "hex", "novel")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+_SEPARATORS = re.compile(rb"[+/_=-]+")
 _SENSITIVE = re.compile(rb"key|secret|token|passw|pwd|auth|credential|bearer|private|signature", re.IGNORECASE)
 _IDENTIFIERS = (
     b"access account address algorithm apiKey application argument array async attribute author authorization await base64 "
@@ -53,13 +55,18 @@ class SecretRule:
     """When a string is long, near enough to a sensitive word, and novel.
 
     ``novelty`` is the least share of its bytes that a string must cost beyond the
-    frame; ``context`` the bytes of text to either side that prime the dictionary.
+    frame; of an alphabet so small that random strings cost less, ``randomness`` is the
+    share of the alphabet's entropy instead.  ``context`` is the bytes of text to either
+    side that prime the dictionary, ``solid`` the run without separators from which a
+    string is no row of words.
     """
 
     least: int = 16
     near: int = 48
     context: int = 512
     novelty: float = 0.75
+    randomness: float = 0.95
+    solid: int = 64
 
 
 def _table(ranges: str, extra: str = "") -> np.ndarray:
@@ -105,6 +112,30 @@ def marginal_bytes(string: bytes, context: bytes) -> int:
     return len(packer.compress(string)) - len(packer.compress(b""))
 
 
+def _alphabet_size(plain: bytes) -> int:
+    """Symbols of the smallest usual alphabet of letters and digits that ``plain`` fits: hex, base32 or all of its cases."""
+    cases = any(65 <= c <= 90 for c in plain) + any(97 <= c <= 122 for c in plain)
+    if not plain.strip(b"0123456789abcdefABCDEF"):
+        return 10 + 6 * cases
+    if cases == 1 and not plain.upper().strip(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        return 32
+    return 10 + 26 * cases
+
+
+def least_share(string: bytes, rule: SecretRule) -> float:
+    """The share of its bytes from which a string's cost is that of a random one.
+
+    The cost of a long string falls to the entropy of its alphabet, which is below
+    ``novelty`` for most.  Words between separators cost no more than that
+    either, so other than hex digits a string needs a solid run to be measured by it.
+    """
+    runs = _SEPARATORS.split(string)
+    size = _alphabet_size(b"".join(runs))
+    if size > 22 and max(map(len, runs)) < rule.solid:
+        return rule.novelty
+    return min(rule.novelty, rule.randomness * math.log2(size) / 8)
+
+
 def novel_strings(text: bytes, runs: list[tuple[int, int]], taken: list[tuple[int, int]], rule: SecretRule) -> list[tuple[int, int]]:
     """Long strings near a sensitive word that neither context nor identifiers explain."""
     found = []
@@ -117,7 +148,7 @@ def novel_strings(text: bytes, runs: list[tuple[int, int]], taken: list[tuple[in
         if not mixed or not _SENSITIVE.search(before):
             continue
         context = text[max(0, start - rule.context) : start] + text[end : end + rule.context]
-        if marginal_bytes(string, context) >= rule.novelty * len(string):
+        if marginal_bytes(string, context) >= least_share(string, rule) * len(string):
             found.append((start, end))
     return found
 
