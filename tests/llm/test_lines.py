@@ -98,6 +98,16 @@ def test_large_buckets_are_divided_and_stay_exact(spark):
     assert cleaned(lines.dedup_lines(docs(spark, rows), rule)) == brute(rows, rule)
 
 
+def test_copies_of_a_line_are_keyed_once(spark, monkeypatch):
+    line = "a line that stands in a third of all rows of the table"
+    rows = [(i, f"{line}\nand one more that is of this row alone: {i * i:09d}") for i in range(200)]
+    keyed, plain = [], lines.segment_keys
+    monkeypatch.setattr(lines, "segment_keys", lambda texts, edits: keyed.append(texts.count()) or plain(texts, edits))
+    rule = lines.LineRule()
+    assert cleaned(lines.dedup_lines(docs(spark, rows), rule)) == brute(rows, rule)
+    assert keyed == [201]
+
+
 def test_query_on_the_table(spark):
     rule = lines.LineRule()
     rows = [(r.doc_id, r.text) for r in read_table(spark, SF, "documents").collect()]

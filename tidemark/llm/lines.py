@@ -299,7 +299,8 @@ def candidates(lines: DataFrame, rule: LineRule) -> DataFrame:
     """
     edits, limit = rule.edits, rule.pair_limit
     texts = lambda rows: rows.select("h", F.col("line").alias("rest"))
-    few, many = _split(_shared(segment_keys(texts(lines), edits)), limit)
+    # copies of a line would meet under each of its keys, all in one group
+    few, many = _split(_shared(segment_keys(texts(lines).distinct(), edits)), limit)
     found = _pairs(few)
     hot = cut_lineage(many.select("h").distinct())
     if hot.isEmpty():
