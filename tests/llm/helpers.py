@@ -42,6 +42,14 @@ def matches_sql(df, sql: str, folder: str) -> None:
     assert rows(df.toPandas()) == rows(other)
 
 
+def sql_rows(sql: str, folder: str, columns) -> list[tuple]:
+    """Rows of the SQL over the tables in ``folder``, in the order of their text."""
+    con = duckdb.connect()
+    for name in os.listdir(folder):
+        con.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM read_parquet('{folder}/{name}')")
+    return sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall(), key=str)
+
+
 class Union:
     """Union-find with the smallest member as root."""
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with SQL where SQL can express them."""
+"""The registered queries of the operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, hostgraph, language, lines, quality, recipes, secret_scan, simhash, unigram
+from tidemark.llm import chat, decontaminate, hostgraph, language, lines, prefixtrie, quality, recipes, secret_scan, simhash, unigram
 from tidemark.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,36 @@ FROM hits JOIN sizes USING (item_id) WHERE n_shared >= greatest(1, ceil({rule.th
 @query(_leak_sql(decontaminate.Containment()))
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def _trie_sql(rule: prefixtrie.TrieRule) -> str:
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: {step}), 4294967295)"
+    words = r"length(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+    return f"""
+WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS pos,
+  sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS d, {words} AS words FROM t0),
+n AS (SELECT conv_id, max(pos) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % {rule.every} AS base, {crc} % {rule.heads} AS h FROM n),
+k AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS lent, n.n AS own FROM c JOIN n USING (conv_id) LEFT JOIN n b ON b.conv_id = c.base),
+turns AS (SELECT k.conv_id, t.pos AS depth, t.d, t.words FROM k JOIN t ON t.conv_id = k.base AND t.pos <= k.lent
+  UNION ALL SELECT k.conv_id, t.pos - k.h + k.lent, t.d, t.words FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos > k.h),
+paths AS (SELECT conv_id, depth, words, sha256(string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+p AS (SELECT a.*, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM paths a),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY node, depth),
+children AS (SELECT up AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+pairs AS (SELECT DISTINCT a.node, a.depth, b.node AS lower_node, b.depth AS lower_depth FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+below AS (SELECT pairs.node, pairs.depth, sum(saved) AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+  FROM pairs JOIN nodes ON nodes.node = lower_node AND nodes.depth = lower_depth LEFT JOIN children ON children.node = lower_node GROUP BY pairs.node, pairs.depth)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(children.n, 0) AS n_children, below.leaves AS n_leaves,
+  CAST(below.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN below ON below.node = x.node AND below.depth = x.depth
+LEFT JOIN nodes u ON u.node = x.up AND u.depth = x.depth - 1 LEFT JOIN children ON children.node = x.node"""
+
+
+@query(_trie_sql(prefixtrie.TrieRule()))
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
