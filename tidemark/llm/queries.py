@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, hostgraph, language, lines, prefixtrie, quality, recipes, secret_scan, simhash, unigram
+from tidemark.llm import bbit, chat, decontaminate, hostgraph, language, lines, prefixtrie, quality, recipes, secret_scan, simhash, unigram
 from tidemark.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,8 @@ LEFT JOIN nodes u ON u.node = x.up AND u.depth = x.depth - 1 LEFT JOIN children
 @query(_trie_sql(prefixtrie.TrieRule()))
 def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit.near_duplicates(read_table(spark, sf_dir, "documents"))
