@@ -39,7 +39,7 @@ def test_query_on_the_table(spark):
     assert rows_of(queries.QUERIES["op13_bbit_minhash"](spark, SF_MID)) == expected
 
 
-@pytest.mark.parametrize("limit, leaders", [(2, (1,)), (2, (2, 4)), (16, (4, 16))])
+@pytest.mark.parametrize("limit, leaders", [(2, 1), (2, 4), (16, 4)])
 def test_groups_match_all_pairs(spark, limit, leaders):
     rng = random.Random(8)
     texts = []

@@ -9,9 +9,9 @@ agree in them once in four, so the share ``p`` of agreeing fields, counted with
 estimate lies more than ``deviations`` standard deviations below the threshold go; the
 others are compared on their whole sets.
 
-Documents with equal sets are folded to one first.  In a large bucket no pairs are made:
-leaders are compared with all of it, components are taken, and only what is outside the
-component that prevails in its bucket is looked at again.
+Documents with equal sets are folded to one first.  In a large bucket leaders are compared
+with all of it, components are taken, and only what is outside the component that prevails
+in its bucket is looked at again, by how it differs from a leader.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class BBitRule:
     """Shingle length, least similarity in percent, bands and their minima, and how buckets are compared.
 
     ``pair_limit``: buckets of so many sets are compared pair by pair.  ``leaders``: how many
-    leaders a larger one gets, round by round.  ``deviations``: slack of the estimate.
+    leaders a larger one gets.  ``deviations``: slack of the estimate.
     """
 
     words: int = 3
@@ -48,7 +48,7 @@ class BBitRule:
     bands: int = 32
     rows: int = 5
     pair_limit: int = 16
-    leaders: tuple[int, ...] = (4, 16)
+    leaders: int = 4
     deviations: float = 6.0
 
     @property
@@ -134,31 +134,29 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inn
     return salted.join(asked, [key, "_salt"], how).drop("_salt")
 
 
-def _likely(pairs: DataFrame, rule: BBitRule) -> DataFrame:
-    """Pairs ``(a, b)`` of ``(a, a_n, a_bits, b, b_n, b_bits)`` that sizes and signatures allow, once each."""
-    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * rule.percent
-    near = pairs.where(sizes).where(matches(F.col("a_bits"), F.col("b_bits"), rule) >= rule.least_matches)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _likely(left: DataFrame, right: DataFrame, rule: BBitRule, close: Column) -> DataFrame:
+    """Pairs ``(a, b)`` of rows ``(key, h, n, m, bits)`` with one key that can be similar, once each.
 
-
-def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{name}_{c}") if c != "h" else F.col(c).alias(name) for c in ("h", "n", "bits", *more)])
+    ``m`` bounds what a set shares with any other, so that no pair is lost to it; signatures decide the rest.
+    """
+    side = lambda rows, s: rows.select("key", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("key", "h")])
+    common = F.least("a_m", "b_m")
+    able = common * 100 >= (F.col("a_n") + F.col("b_n") - common) * rule.percent
+    near = matches(F.col("a_bits"), F.col("b_bits"), rule) >= rule.least_matches
+    pairs = side(left, "a").join(side(right, "b"), "key").where(close & able & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _proven(pairs: DataFrame, docs: DataFrame, groups: DataFrame, rule: BBitRule) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose whole sets have the similarity, stored."""
-    pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    wanted = cut_lineage(groups.select("h", "first_id").join(wanted, "h", "left_semi"))
-    texts = docs.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # an id that is repeated with other texts gives sets nobody asked for
-    sets = _sets_of(texts, rule, sketch=False).select("h", "items").join(wanted.select("h"), "h", "left_semi")
-    sets = cut_lineage(sets.groupBy("h").agg(F.first("items").alias("items")))
+def _proven(pairs: DataFrame, sets: DataFrame, rule: BBitRule, hub: bool) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose whole sets have the similarity; a ``hub`` may have any number of partners."""
     side = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
-    # a leader has as many partners as its buckets have members
-    both = lookup(cut_lineage(lookup(pairs, side("a"), "a", "b")), side("b"), "b", "a")
+    if hub:
+        both = lookup(cut_lineage(pairs), side("a"), "a", "b")
+        both = lookup(cut_lineage(both), side("b"), "b", "a")
+    else:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_items", "b_items"))
-    return cut_lineage(both.where(shared * 100 >= (F.size("a_items") + F.size("b_items") - shared) * rule.percent).select("a", "b"))
+    return both.where(shared * 100 >= (F.size("a_items") + F.size("b_items") - shared) * rule.percent).select("a", "b")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -166,6 +164,8 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is None:
         found = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("c"))
         return cut_lineage(found.union(found.select(F.col("c").alias("h"), "c").distinct()))
+    if links.isEmpty():
+        return labels
     old = lambda s: labels.select(F.col("h").alias(s), F.col("c").alias(f"{s}_c"))
     raised = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
     joined = connected_components(raised).select(F.col("node").alias("c"), F.col("component").alias("to"))
@@ -174,41 +174,125 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut_lineage(labels.union(fresh).join(joined, "c", "left").select("h", F.coalesce("to", "c").alias("c")))
 
 
+def _sharing(hot: DataFrame, sets: DataFrame, rule: BBitRule) -> DataFrame:
+    """Rows of ``hot`` whose sets can have a partner there, with ``m``: how many of their shingles any other has.
+
+    A set whose own shingles alone are too many is similar to nothing, and what it leaves is
+    counted once more without it.
+    """
+    alive = hot.select("h", "n").distinct()
+    for _ in range(2):
+        items = cut_lineage(sets.join(alive.select("h"), "h", "left_semi").select("h", F.explode("items").alias("item")))
+        common = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item")
+        shares = items.join(common, "item", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+        alive = cut_lineage(alive.select("h", "n").join(shares, "h").where(F.col("m") * 100 >= F.col("n") * rule.percent))
+    return cut_lineage(hot.drop("m").join(alive.drop("n"), "h"))
+
+
+def _with_labels(hot: DataFrame, labels: DataFrame) -> DataFrame:
+    return cut_lineage(hot.drop("c").join(labels, "h", "left").withColumn("c", F.coalesce("c", "h")))
+
+
+def _apart(hot: DataFrame) -> DataFrame:
+    """The rows of large buckets outside the component that prevails there."""
+    most = hot.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
+    return cut_lineage(hot.join(most, "key").where("c != main").drop("main"))
+
+
+def _leading(rows: DataFrame, leaders: int) -> DataFrame:
+    """Up to ``leaders`` rows of each bucket: of each part by hash, the set that is in most large buckets."""
+    salt = F.pmod(F.xxhash64("h"), F.lit(leaders)).alias("salt")
+    names = [c for c in rows.columns if c not in ("key", "order")]
+    first = rows.groupBy("key", salt).agg(F.min(F.struct("order", *names)).alias("first"))
+    return cut_lineage(first.select("key", *[f"first.{c}" for c in names]))
+
+
 def components(docs: DataFrame, groups: DataFrame, rule: BBitRule) -> DataFrame:
-    """``(h, c)`` of all linked sets of ``groups (h, n, first_id, items, bits)``; ``c`` is one of the component's sets."""
-    keyed = groups.select("h", "n", "bits", F.explode("items").alias("key"))
+    """``(h, c)`` of all linked sets of ``groups (h, n, first_id, items, bits)``; ``c`` is one of the component's sets.
+
+    Keys are matched without anything else; sizes and signatures join the rows that share one.
+    """
+    keyed = groups.select("h", F.explode("items").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut_lineage(keyed.join(sizes, "key"))
+    shared = keyed.join(sizes, "key").join(groups.select("h", "n", F.col("n").alias("m"), "bits"), "h")
+    shared = cut_lineage(shared)
     cold, hot = shared.where(F.col("size") <= rule.pair_limit).drop("size"), shared.where(F.col("size") > rule.pair_limit).drop("size")
-    pairs = _likely(_side(cold, "a").join(_side(cold, "b"), "key").where("a < b"), rule)
+    pairs = cut_lineage(_likely(cold, cold, rule, F.col("a") < F.col("b")))
     # sets that are in many large buckets lead
-    central = hot.groupBy("h").agg((-F.count(F.lit(1))).alias("order"))
-    hot = cut_lineage(hot.join(central, "h"))
-    labels, rest = None, hot.withColumn("c", F.col("h"))
-    for leaders in rule.leaders:
-        salt = F.pmod(F.xxhash64("h"), F.lit(leaders))
-        chosen = rest.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("order", "h", "n", "bits", "c")).alias("first"))
-        chosen = chosen.select("key", "first.h", "first.n", "first.bits", "first.c")
-        stars = _likely(_side(chosen, "a", "c").join(_side(_labelled(hot, labels), "b", "c"), "key").where("a_c != b_c"), rule)
-        labels = _merged(labels, _proven(pairs.union(stars).distinct() if labels is None else stars, docs, groups, rule))
-        rest = _apart(hot, labels)
-        if rest.isEmpty():
-            return labels
-    left = _likely(_side(rest, "a", "c").join(_side(_labelled(hot, labels), "b", "c"), "key").where("a_c != b_c"), rule)
-    return _merged(labels, _proven(left, docs, groups, rule))
-
-
-def _labelled(hot: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return hot.withColumn("c", F.col("h"))
-    return hot.join(labels, "h", "left").withColumn("c", F.coalesce("c", "h"))
+    hot = cut_lineage(hot.join(hot.groupBy("h").agg((-F.count(F.lit(1))).alias("order")), "h").withColumn("c", F.col("h")))
+    bare = hot.drop("order")
+    stars = _likely(_leading(hot, rule.leaders), bare, rule, F.col("a") != F.col("b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(hot.select("h")).distinct()
+    sets = _wanted_sets(docs, groups, wanted, rule)
+    labels = _merged(None, cut_lineage(_proven(pairs, sets, rule, hub=False).union(_proven(stars, sets, rule, hub=True))))
+    hot = _with_labels(hot, labels)
+    if _apart(hot).isEmpty():
+        return labels
+    hot = _with_labels(_sharing(hot, sets, rule), labels)
+    rest = _apart(hot)
+    if rest.isEmpty():
+        return labels
+    left = cut_lineage(_by_differences(hot, rest, sets, rule))
+    return _merged(labels, cut_lineage(_proven(left, sets, rule, hub=True)))
 
 
-def _apart(hot: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of large buckets outside the component that prevails there."""
-    named = cut_lineage(_labelled(hot, labels))
-    most = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
-    return cut_lineage(named.join(most, "key").where("c != main").drop("main"))
+#: Classes of numbers of differences: the first has 8 and each about an eighth more than the one before.
+_CLASS_STEP, _CLASS_RATIO = 8.0, 1.125
+
+
+def _class_of(d: Column) -> Column:
+    return F.floor(F.log(F.greatest(d, F.lit(0)) / _CLASS_STEP + 1) / math.log(_CLASS_RATIO)).cast("int")
+
+
+def _least_of(number: Column) -> Column:
+    return F.floor((F.pow(F.lit(_CLASS_RATIO), number) - 1) * _CLASS_STEP - 1e-6)
+
+
+def _by_differences(hot: DataFrame, rest: DataFrame, sets: DataFrame, rule: BBitRule) -> DataFrame:
+    """Pairs ``(a, b)``, ``a`` of ``rest``, that may be similar though their buckets are large.
+
+    Copies of one original agree in nearly everything, so what tells them apart is how they
+    differ from a leader: ``D(x)``, the shingles only one of both has.  ``x`` and ``y`` are
+    similar when their sets differ in at most ``slack`` shingles, and they differ where exactly one of
+    ``D(x)`` and ``D(y)`` has one, so these have to share ``(|D(x)| + |D(y)| - slack) / 2``.
+    In one order of all shingles (the rarest first) two sets that
+    share ``t`` elements share one of the first ``|D| - t + 1`` of each; only those meet.
+    Sizes of ``D`` are told apart by classes, since ``t`` depends on both.
+    """
+    leader = _leading(hot, 1).select("key", F.col("h").alias("leader"))
+    side = rest.select("h").distinct().withColumn("asks", F.lit(True))
+    members = hot.join(leader, "key").select("leader", "h", "n", "m", "bits", "c").distinct().join(side, "h", "left")
+    items = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
+    both = lookup(cut_lineage(members.join(items("h"), "h")), items("leader"), "leader", "h")
+    both = cut_lineage(both.withColumn("d", F.array_union(F.array_except("h_items", "leader_items"), F.array_except("leader_items", "h_items"))).drop("h_items", "leader_items"))
+    spread = cut_lineage(both.select("h", F.explode("d").alias("item"), "leader").select(F.struct("leader", "item").alias("place"), "h"))
+    often = spread.groupBy("place").agg(F.count(F.lit(1)).alias("often"))
+    ordered = lookup(spread, often, "place", "h").groupBy(F.col("place.leader").alias("leader"), "h").agg(F.sort_array(F.collect_list(F.struct("often", "place.item"))).alias("o"))
+    both = cut_lineage(both.drop("d").join(ordered, ["leader", "h"], "left").withColumn("d", F.coalesce("o.item", F.array().cast("array<bigint>"))).drop("o"))
+    # two similar sets have at most n + n * 100 / percent shingles, of which they differ in a share
+    slack = F.col("n") * ((1 + 100 / rule.percent) * (100 - rule.percent) / (100 + rule.percent)) + 1e-6
+    size = F.size("d")
+    rows = both.select("leader", "h", "n", "m", "bits", "c", "asks", "d", _class_of(size).alias("own"), F.explode(F.sequence(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack)))).alias("other"))
+    share = F.ceil((size + _least_of(F.col("other")) - slack) / 2)
+    first = F.when(share < 1, F.concat(F.array(F.lit(0).cast("bigint")), "d")).otherwise(F.slice("d", F.lit(1), F.greatest(size - share + 1, F.lit(0)).cast("int")))
+    rows = cut_lineage(rows.withColumn("item", F.explode(first)).drop("d"))
+    key = F.struct("leader", "item", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(key.alias("key"), "own", "other", "h", "n", "m", "bits", "c", "asks")
+    mirrored = (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own")) & (F.col("a_c") != F.col("b_c"))
+    return _likely(rows.where("asks").drop("asks"), rows.drop("asks"), rule, mirrored)
+
+
+def _wanted_sets(docs: DataFrame, groups: DataFrame, wanted: DataFrame, rule: BBitRule) -> DataFrame:
+    """``(h, items)`` of the sets in ``wanted``, made again from one text each; stored."""
+    named = cut_lineage(groups.select("h", "first_id").join(wanted, "h", "left_semi"))
+    texts = docs.join(named.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    made = cut_lineage(_sets_of(texts, rule, sketch=False).select("h", "items").join(named.select("h"), "h", "left_semi"))
+    # an id that is repeated gives its sets again
+    repeated = made.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    if repeated.isEmpty():
+        return made
+    once = made.join(repeated, "h", "left_semi").groupBy("h").agg(F.first("items").alias("items"))
+    return cut_lineage(made.join(repeated, "h", "left_anti").union(once))
 
 
 def near_duplicates(docs: DataFrame, rule: BBitRule = BBitRule()) -> DataFrame:
