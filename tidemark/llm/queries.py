@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bbit, chat, decontaminate, hostgraph, language, lines, prefixtrie, quality, recipes, secret_scan, simhash, unigram
+from tidemark.llm import bbit, chat, decontaminate, hostgraph, language, lines, phrases, prefixtrie, quality, recipes, secret_scan, simhash, unigram
 from tidemark.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,32 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op13_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def _phrase_sql(rule: phrases.PhraseRule) -> str:
+    upper, lower = hostgraph.UPPER, hostgraph.LOWER
+    grams = "unnest(range(1, len(w) + 1))"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+starts AS (SELECT lang, w, {grams} AS pos FROM p),
+g AS (SELECT lang, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS phrase FROM starts, range(1, {rule.longest + 1}) r(k) WHERE pos + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {rule.least}),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+longer AS (SELECT lang, a, w, unnest(range(2, k)) AS len FROM c),
+inside AS (SELECT lang, a, w, len, unnest(range(1, len(w) - len + 2)) AS pos FROM longer),
+over AS (SELECT lang, array_to_string(list_slice(w, pos, pos + len - 1), ' ') AS phrase, max(a) AS most FROM inside GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN over USING (lang, phrase) WHERE most IS NULL OR most < a),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
+s AS (SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, n.n, cut, CAST((CAST(1000 AS HUGEINT) * x.a * n.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, len(w)), ' ') JOIN n ON n.lang = x.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= {rule.top}"""
+
+
+@query(_phrase_sql(phrases.PhraseRule()))
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
