@@ -48,7 +48,7 @@ class BBitRule:
     bands: int = 32
     rows: int = 5
     pair_limit: int = 16
-    leaders: int = 4
+    leaders: int = 2
     deviations: float = 6.0
 
     @property
@@ -144,15 +144,17 @@ def _likely(left: DataFrame, right: DataFrame, rule: BBitRule, close: Column) ->
     able = common * 100 >= (F.col("a_n") + F.col("b_n") - common) * rule.percent
     near = matches(F.col("a_bits"), F.col("b_bits"), rule) >= rule.least_matches
     pairs = side(left, "a").join(side(right, "b"), "key").where(close & able & near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select("a", "b").distinct()
 
 
 def _proven(pairs: DataFrame, sets: DataFrame, rule: BBitRule, hub: bool) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose whole sets have the similarity; a ``hub`` may have any number of partners."""
+    """Those of ``pairs (a, b)`` whose whole sets have the similarity; with ``hub``, ``a`` may have any number of partners."""
     side = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
     if hub:
-        both = lookup(cut_lineage(pairs), side("a"), "a", "b")
-        both = lookup(cut_lineage(both), side("b"), "b", "a")
+        # the set of a hub goes to 64 tasks, each of which has its share of the partners
+        salted = cut_lineage(pairs).withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(64)))
+        hubs = salted.select("a", "_salt").distinct().join(side("a"), "a")
+        both = salted.join(side("b"), "b").join(hubs, ["a", "_salt"])
     else:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_items", "b_items"))
@@ -268,16 +270,20 @@ def _by_differences(hot: DataFrame, rest: DataFrame, sets: DataFrame, rule: BBit
     spread = cut_lineage(both.select("h", F.explode("d").alias("item"), "leader").select(F.struct("leader", "item").alias("place"), "h"))
     often = spread.groupBy("place").agg(F.count(F.lit(1)).alias("often"))
     ordered = lookup(spread, often, "place", "h").groupBy(F.col("place.leader").alias("leader"), "h").agg(F.sort_array(F.collect_list(F.struct("often", "place.item"))).alias("o"))
-    both = cut_lineage(both.drop("d").join(ordered, ["leader", "h"], "left").withColumn("d", F.coalesce("o.item", F.array().cast("array<bigint>"))).drop("o"))
+    both = cut_lineage(both.drop("d").join(ordered, ["leader", "h"], "left").withColumn("d", F.coalesce("o", F.array().cast("array<struct<often: bigint, item: bigint>>"))).drop("o"))
     # two similar sets have at most n + n * 100 / percent shingles, of which they differ in a share
     slack = F.col("n") * ((1 + 100 / rule.percent) * (100 - rule.percent) / (100 + rule.percent)) + 1e-6
     size = F.size("d")
     rows = both.select("leader", "h", "n", "m", "bits", "c", "asks", "d", _class_of(size).alias("own"), F.explode(F.sequence(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack)))).alias("other"))
     share = F.ceil((size + _least_of(F.col("other")) - slack) / 2)
-    first = F.when(share < 1, F.concat(F.array(F.lit(0).cast("bigint")), "d")).otherwise(F.slice("d", F.lit(1), F.greatest(size - share + 1, F.lit(0)).cast("int")))
-    rows = cut_lineage(rows.withColumn("item", F.explode(first)).drop("d"))
-    key = F.struct("leader", "item", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(key.alias("key"), "own", "other", "h", "n", "m", "bits", "c", "asks")
+    first = F.when(share < 1, F.col("d")).otherwise(F.slice("d", F.lit(1), F.greatest(size - share + 1, F.lit(0)).cast("int")))
+    # an element that no other set differs in meets nobody
+    met = F.transform(F.filter(first, lambda e: e["often"] > 1), lambda e: e["item"])
+    met = F.when(share < 1, F.concat(F.array(F.lit(0).cast("bigint")), met)).otherwise(met)
+    rows = rows.withColumn("item", F.explode(met))
+    # keys that agree by chance only make a pair more to be compared
+    key = F.xxhash64("leader", "item", F.least("own", "other"), F.greatest("own", "other"))
+    rows = cut_lineage(rows.select(key.alias("key"), "own", "other", "h", "n", "m", "bits", "c", "asks"))
     mirrored = (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own")) & (F.col("a_c") != F.col("b_c"))
     return _likely(rows.where("asks").drop("asks"), rows.drop("asks"), rule, mirrored)
 
