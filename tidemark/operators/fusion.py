@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.folds import fold_groups
+from tidemark.plans.folds import Extent, fold_groups
 from tidemark.plans.ordered import ScanPolicy, ordered
 from tidemark.plans.overlap import overlap_join
 from tidemark.session import cut_lineage
@@ -84,6 +84,12 @@ class _ClusterRule:
         self.low, self.high = start, end
         return True
 
+    def state(self) -> list:
+        return [self.low, self.high]
+
+    def resume(self, state: list) -> None:
+        self.low, self.high = state
+
 
 def cluster_evidence(
     evidence: DataFrame,
@@ -125,6 +131,7 @@ def cluster_evidence(
         ["start_ms", "end_ms", "_chunk_start"],
         lambda: _ClusterRule(max_gap, max_window),
         "cluster_no",
+        Extent(0, 1, max_window),
     ).drop("_chunk_start", "_falling")
 
 
