@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import tokenize
 from tidemark.functions.vectors import normalize_vector
 from tidemark.plans.overlap import overlap_join
+from tidemark.plans.ranks import expanded, rank_ranges, ranked
 
 _NO_STRINGS = "array<string>"
 
 
 def overlapping_ids(
-    items: DataFrame, spans: DataFrame, id_column: str, output: str, item_key: str = "item_id"
+    items: DataFrame, spans: DataFrame, id_column: str, output: str, item_key: str = "item_id", disjoint: bool = False
 ) -> DataFrame:
-    """``video_id, item_key, output``: ids of the spans each item overlaps, in span order."""
+    """``video_id, item_key, output``: ids of the spans each item overlaps, in span order.
+
+    ``disjoint``: the spans of a video do not overlap each other; an item's spans are then
+    one run of ranks, and only what is listed is joined.
+    """
+    if disjoint:
+        found = rank_ranges(items, spans, [item_key])
+        long = expanded(found, ranked(spans.select("video_id", "start_ms", "end_ms", F.col("ord").alias("_ord"), F.col(id_column).alias("_id"))))
+        return _listed(long, item_key, output)
     right = spans.select(
         "video_id",
         F.col(id_column).alias("_id"),
@@ -26,6 +35,10 @@ def overlapping_ids(
         F.col("end_ms").alias("r_end_ms"),
     )
     pairs = overlap_join(items.select("video_id", item_key, "start_ms", "end_ms"), right)
+    return _listed(pairs, item_key, output)
+
+
+def _listed(pairs: DataFrame, item_key: str, output: str) -> DataFrame:
     ids = F.array_sort(F.collect_list(F.struct("_ord", "_id")))
     return pairs.groupBy("video_id", item_key).agg(
         F.transform(ids, lambda entry: entry["_id"]).alias(output)
@@ -104,7 +117,7 @@ def transcript_documents(segments: DataFrame, chunks: DataFrame | None) -> DataF
 
 
 def ocr_documents(
-    observations: DataFrame, spans: DataFrame | None, chunks: DataFrame | None
+    observations: DataFrame, spans: DataFrame | None, chunks: DataFrame | None, disjoint: bool = False
 ) -> DataFrame:
     """Span documents, or 1 ms observation documents for videos without spans.
 
@@ -147,11 +160,11 @@ def ocr_documents(
         )
         with_spans = spans.select("video_id").distinct()
         documents = from_spans.unionByName(single.join(with_spans, "video_id", "left_anti"))
-    return _link_overlaps(documents, [(chunks, "chunk_id")])
+    return _link_overlaps(documents, [(chunks, "chunk_id")], disjoint)
 
 
 def visual_documents(
-    descriptions: DataFrame, chunks: DataFrame | None, shots: DataFrame | None = None
+    descriptions: DataFrame, chunks: DataFrame | None, shots: DataFrame | None = None, disjoint: bool = False
 ) -> DataFrame:
     """Description documents with frame ids, then overlapping chunk ids, then shot ids."""
     documents = descriptions.select(
@@ -163,17 +176,17 @@ def visual_documents(
         _ids(F.array("description_id"), F.col("frame_ids")).alias("_own"),
         "tags",
     )
-    return _link_overlaps(documents, [(chunks, "chunk_id"), (shots, "shot_id")])
+    return _link_overlaps(documents, [(chunks, "chunk_id"), (shots, "shot_id")], disjoint)
 
 
-def _link_overlaps(documents: DataFrame, tables: Sequence[tuple[DataFrame | None, str]]) -> DataFrame:
+def _link_overlaps(documents: DataFrame, tables: Sequence[tuple[DataFrame | None, str]], disjoint: bool) -> DataFrame:
     linked, parts = documents, [F.col("_own")]
     for number, (table, id_column) in enumerate(tables):
         if table is None:
             continue
         name = f"_related_{number}"
         linked = linked.join(
-            overlapping_ids(documents, table, id_column, name), ["video_id", "item_id"], "left"
+            overlapping_ids(documents, table, id_column, name, disjoint=disjoint), ["video_id", "item_id"], "left"
         )
         parts.append(F.col(name))
     return linked.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokenize
 from tidemark.functions.vectors import normalize_vector
-from tidemark.operators import chunking, indexing, retrieval
+from tidemark.operators import artifacts, chunking, indexing, retrieval
 from tidemark.operators.ranges import merge_ranges
 from tidemark.queries import query
 from tidemark.queries.segments import TURN_CHUNKS, _TURN_SQL
@@ -156,15 +156,17 @@ def dense_index_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPARSE_50 = bm25_sql(_DOCS, top_k=50)
 
 
-@query(f"""WITH sp AS ({_SPARSE_50}), {_DENSE},
+_FUSED = f"""sp AS ({_SPARSE_50}), {_DENSE},
 de AS (SELECT * FROM (SELECT item_id, row_number() OVER (ORDER BY round(score, 9) DESC, start_ms, end_ms, item_id) AS rank FROM s
   WHERE score >= 0 AND item_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)) WHERE rank <= 50),
 j AS (SELECT coalesce(sp.item_id, de.item_id) AS item_id, sp.rank AS sr, de.rank AS dr,
       coalesce(1.0::DOUBLE / (60 + sp.rank), 0) + coalesce(1.0::DOUBLE / (60 + de.rank), 0) AS rrf
       FROM sp FULL OUTER JOIN de ON sp.item_id = de.item_id),
-k AS (SELECT j.*, row_number() OVER (ORDER BY round(rrf, 12) DESC, CAST(j.item_id AS BIGINT), j.item_id) AS rank FROM j)
-SELECT item_id, rank, coalesce(sr, -1) AS sparse_rank, coalesce(dr, -1) AS dense_rank, round(rrf, 9) AS hybrid_rrf FROM k WHERE rank <= 30""")
-def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+k AS (SELECT j.*, row_number() OVER (ORDER BY round(rrf, 12) DESC, CAST(j.item_id AS BIGINT), j.item_id) AS rank FROM j)"""
+
+
+def _hit_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The 50 best documents by terms and by vectors, as hits."""
     texts = document_index(spark, sf_dir)
     sparse = retrieval.bm25_search(texts, SEARCH, top_k=50, keep=("source_ids", "text"))
     vectors, probe = _dense_documents(spark, sf_dir)
@@ -187,7 +189,13 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.create_map(F.lit(name), F.col("score")).alias("scores"),
         )
 
-    fused = retrieval.hybrid_search(as_hits(sparse, "bm25"), as_hits(dense, "cosine"), top_k=30)
+    return as_hits(sparse, "bm25"), as_hits(dense, "cosine")
+
+
+@query(f"""WITH {_FUSED}
+SELECT item_id, rank, coalesce(sr, -1) AS sparse_rank, coalesce(dr, -1) AS dense_rank, round(rrf, 9) AS hybrid_rrf FROM k WHERE rank <= 30""")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = retrieval.hybrid_search(*_hit_lists(spark, sf_dir), top_k=30)
     return fused.select(
         F.col("source_id").alias("item_id"),
         F.col("rank").cast("bigint").alias("rank"),
@@ -197,6 +205,53 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_frames(hits: DataFrame, sizes: tuple[int, ...], other: str) -> DataFrame:
+    """Hits whose source ids also name pictures, and one id that is no picture."""
+    number = F.col("source_ids")[0].cast("bigint")
+    return hits.withColumn("source_ids", F.concat(F.slice("source_ids", 1, 1), F.array(F.lit(other), *[F.concat(F.lit("f"), number % n) for n in sizes])))
+
+
+@query(f"""WITH {_FUSED},
+fr AS (SELECT doc_id % 7 AS n, 'a' || CAST((doc_id % 7) % 4 AS VARCHAR) AS artifact_id, 'u' || CAST(doc_id % 7 AS VARCHAR) || '_' || CAST(count(*) AS VARCHAR) AS uri FROM documents GROUP BY doc_id % 7),
+h AS (SELECT 0 AS l, item_id, rank, unnest([2, 3]) AS pos, unnest([CAST(item_id AS BIGINT) % 7, CAST(item_id AS BIGINT) % 5]) AS n FROM sp
+  UNION ALL SELECT 1, item_id, rank, unnest([2, 3]), unnest([CAST(item_id AS BIGINT) % 5, CAST(item_id AS BIGINT) % 3]) FROM de),
+a AS (SELECT h.item_id, l * 100000 + h.rank * 100 + pos AS spot, artifact_id, uri FROM h JOIN fr USING (n)),
+m AS (SELECT item_id, artifact_id, min(spot) AS first, max_by(uri, spot) AS uri FROM a GROUP BY item_id, artifact_id)
+SELECT k.rank, m.item_id, row_number() OVER (PARTITION BY m.item_id ORDER BY first) - 1 AS place, artifact_id, uri FROM m JOIN k USING (item_id) WHERE k.rank <= 30""")
+def hit_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of fused hits: those of both lists, once each, where they are met first and as they are named last."""
+    sparse, dense = _hit_lists(spark, sf_dir)
+    sparse, dense = _with_frames(sparse, (7, 5), "none"), _with_frames(dense, (5, 3), "none")
+    number = (F.col("doc_id") % 7).cast("bigint")
+    frames = read_table(spark, sf_dir, "documents").groupBy(number.alias("n")).agg(F.count(F.lit(1)).alias("size"))
+    frames = frames.select(
+        F.lit("corpus").alias("video_id"), F.concat(F.lit("f"), "n").alias("frame_id"),
+        F.concat(F.lit("a"), F.col("n") % 4).alias("artifact_id"), F.concat(F.lit("u"), "n", F.lit("_"), "size").alias("uri"),
+    )
+    pictures = artifacts.distinct_artifacts([artifacts.hit_artifacts(hits, frames) for hits in (sparse, dense)])
+    fused = retrieval.hybrid_search(sparse, dense, top_k=30)
+    found = artifacts.fused_artifacts(fused, pictures)
+    return found.select(F.col("rank").cast("bigint").alias("rank"), F.col("source_id").alias("item_id"), "place", "artifact_id", "uri")
+
+
+@query(f"""WITH {_FUSED}
+SELECT item_id, CAST(rank AS BIGINT) AS rank, concat_ws(',', item_id, 's', CASE WHEN dr IS NOT NULL AND sr IS NOT NULL THEN 'd' END) AS source_ids,
+  round(coalesce(1.0::DOUBLE / (60 + sr), 0), 9) AS rrf_sparse, round(coalesce(1.0::DOUBLE / (60 + dr), 0), 9) AS rrf_dense,
+  concat_ws(',', CASE WHEN sr IS NOT NULL THEN 'bm25' END, CASE WHEN dr IS NOT NULL THEN 'cosine' END) AS score_names
+FROM k WHERE rank <= 30 AND sr IS NOT NULL
+UNION ALL SELECT item_id, CAST(rank AS BIGINT), item_id || ',d', 0, round(1.0::DOUBLE / (60 + dr), 9), 'cosine' FROM k WHERE rank <= 30 AND sr IS NULL""")
+def hybrid_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source ids and scores of fused hits: those of both lists, the sparse list's first."""
+    sparse, dense = _hit_lists(spark, sf_dir)
+    tagged = lambda hits, tag: hits.withColumn("source_ids", F.concat(F.slice("source_ids", 1, 1), F.array(F.lit(tag))))
+    fused = retrieval.hybrid_search(tagged(sparse, "s"), tagged(dense, "d"), top_k=30)
+    part = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c)
+    return fused.select(
+        F.col("source_id").alias("item_id"), F.col("rank").cast("bigint").alias("rank"), F.array_join("source_ids", ",").alias("source_ids"),
+        part("rrf_sparse"), part("rrf_dense"), F.array_join(F.array_sort(F.map_keys("scores")), ",").alias("score_names"),
+    )
+
+
 # ---- index documents ---------------------------------------------------------
 
 @query(f"""WITH RECURSIVE {SEGS}, {_TURN_SQL}, {CHUNKS}, {grid_shots('segs')},
@@ -257,7 +312,7 @@ def visual_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     documents = indexing.visual_documents(
-        descriptions, spans("purchase", "chunk_id", "c"), spans("error", "shot_id", "s")
+        descriptions, spans("purchase", "chunk_id", "c"), spans("error", "shot_id", "s"), disjoint=True
     )
     return _documents(documents)
 
@@ -279,3 +334,28 @@ def hit_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     matched = retrieval.first_known_chunk(hits, chunks)
     return matched.select("video_id", "rank", F.col("chunk.ord").alias("chunk_ord"))
+
+
+@query("""WITH l AS (SELECT doc_id AS video_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+o AS (SELECT video_id, lang, n, trim(line) AS t, (n // 3) * 1000 AS ts FROM l WHERE trim(line) <> ''),
+s AS (SELECT video_id, t, min(n) AS first, min(ts) AS s, max(ts) + 1 AS e, list(n ORDER BY n) AS ns, min(lang) AS lang FROM o GROUP BY video_id, t HAVING count(*) > 1),
+d AS (SELECT video_id, 's' || CAST(first AS VARCHAR) AS item_id, t, s, e, lang,
+  list_concat(['s' || CAST(first AS VARCHAR)], list_transform(ns, lambda x: 'o' || CAST(x AS VARCHAR)), list_transform(list_sort(list_distinct(list_transform(ns, lambda x: x // 3))), lambda x: 'f' || CAST(x AS VARCHAR))) AS own FROM s
+  UNION ALL SELECT video_id, 'o' || CAST(n AS VARCHAR), t, ts, ts + 1, lang, ['o' || CAST(n AS VARCHAR), 'f' || CAST(n // 3 AS VARCHAR)] FROM o WHERE video_id NOT IN (SELECT video_id FROM s))
+SELECT video_id, item_id, s AS start_ms, e AS end_ms, t AS text, coalesce(lang, '') AS tags,
+  array_to_string(list_concat(own, list_transform(range(s // 10000, (e - 1) // 10000 + 1), lambda k: 'c' || CAST(k AS VARCHAR))), ',') AS source_ids FROM d""")
+def ocr_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines as on-screen text, three a second: repeated lines are spans, videos without one fall back to single observations."""
+    lines = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    observed = cut_lineage(lines.where("trim(line) <> ''").select(
+        "video_id", F.concat(F.lit("o"), "n").alias("observation_id"), F.concat(F.lit("f"), F.floor(F.col("n") / 3)).alias("frame_id"),
+        F.trim("line").alias("normalized_text"), (F.floor(F.col("n") / 3) * 1_000).cast("bigint").alias("timestamp_ms"), F.col("lang").alias("language"), "n",
+    ))
+    place = F.array_sort(F.collect_list(F.struct("n", "observation_id")))
+    spans = observed.groupBy("video_id", F.col("normalized_text").alias("text")).agg(
+        F.concat(F.lit("s"), F.min("n")).alias("span_id"), F.min("timestamp_ms").alias("start_ms"), (F.max("timestamp_ms") + 1).alias("end_ms"), place.alias("p"),
+    ).where(F.size("p") > 1).withColumn("observation_ids", F.col("p.observation_id")).drop("p")
+    grid = observed.groupBy("video_id").agg(F.max("timestamp_ms").alias("last")).select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / 10_000))).alias("ord"))
+    chunks = grid.select("video_id", F.concat(F.lit("c"), "ord").alias("chunk_id"), "ord", (F.col("ord") * 10_000).alias("start_ms"), (F.col("ord") * 10_000 + 10_000).alias("end_ms"))
+    documents = indexing.ocr_documents(observed.drop("n"), spans, chunks, disjoint=True)
+    return documents.select("video_id", "item_id", "start_ms", "end_ms", "text", F.array_join("tags", ",").alias("tags"), F.array_join("source_ids", ",").alias("source_ids"))

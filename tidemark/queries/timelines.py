@@ -9,6 +9,7 @@ from tidemark.functions.intervals import contains_range, duration_ms, intersecti
 from tidemark.operators import clips, frames, ranges
 from tidemark.plans.ordered import ordered, running
 from tidemark.plans.overlap import overlap_join, overlap_semi, point_in_interval_join
+from tidemark.plans.ranks import rank_ranges
 from tidemark.queries import query
 from tidemark.queries.sql import IV, merged
 from tidemark.session import read_table
@@ -107,7 +108,7 @@ def overlap_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _islands(iv, "purchase").select(
         "video_id", F.col("start_ms").cast("string").alias("chunk_id"), F.col("start_ms").alias("ord"), "start_ms", "end_ms"
     )
-    linked = overlapping_ids(items, spans, "chunk_id", "ids")
+    linked = overlapping_ids(items, spans, "chunk_id", "ids", disjoint=True)
     return linked.select(
         "video_id",
         F.col("item_id").alias("event_id"),
@@ -116,6 +117,17 @@ def overlap_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_PURCHASES}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms) - 1 AS place FROM k)
+SELECT i.video_id, i.event_id, min(place) AS first_rank, max(place) AS last_rank, count(place) AS n_spans
+FROM iv i LEFT JOIN n ON n.video_id = i.video_id AND i.start_ms < n.end_ms AND n.start_ms < i.end_ms
+WHERE i.event_type <> 'purchase' GROUP BY i.video_id, i.event_id""")
+def overlap_rank_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which merged purchase intervals every other event meets, as a run of their positions."""
+    iv = event_intervals(spark, sf_dir)
+    spans = _islands(iv, "purchase").select("video_id", "start_ms", "end_ms")
+    return rank_ranges(iv.where("event_type <> 'purchase'"), spans, ["event_id"])
+
+
 @query(f"""WITH {_VIEWS}
 SELECT i.video_id, i.event_id, greatest(i.start_ms, k.start_ms) AS start_ms, least(i.end_ms, k.end_ms) AS end_ms
 FROM iv i JOIN k ON k.video_id = i.video_id AND i.start_ms < k.end_ms AND k.start_ms < i.end_ms
