@@ -312,6 +312,33 @@ def activate(choices: DataFrame, entries: DataFrame, selections: DataFrame) -> D
     return changed.select("video_id", (F.col("head") + number).cast("bigint").alias("revision"), "key", "entry_id")
 
 
+def check_loads(requests: DataFrame, entries: DataFrame, selections: DataFrame, files: DataFrame, contents: DataFrame) -> DataFrame:
+    """``requests`` with the ``entry_id`` that would be loaded and an ``outcome``.
+
+    ``requests``: ``video_id, key, expected_kind``; ``files`` (``uri, sha256``): what the storage
+    holds; ``contents`` (``uri, content_video_id, content_kind``): what the files say of
+    themselves.  The kind of an entry is the second part of its key.  In this order:
+    ``not_found`` (nothing active under the key), ``type_mismatch`` (another kind is asked for),
+    ``missing`` (no such file), ``hash_mismatch`` (the file has changed), ``corrupt`` (the file
+    says nothing or another kind), ``identity_mismatch`` (another video's), ``loaded``.
+    """
+    active = active_selections(selections).drop("revision")
+    known = active.join(entries.select("video_id", "entry_id", "uri", "content_sha256"), ["video_id", "entry_id"])
+    held = files.groupBy("uri").agg(F.max(F.lower("sha256")).alias("_held"))
+    said = contents.groupBy("uri").agg(F.max(F.struct("content_video_id", "content_kind")).alias("_said"))
+    joined = requests.join(known, ["video_id", "key"], "left").join(held, "uri", "left").join(said, "uri", "left")
+    outcome = (
+        F.when(F.col("entry_id").isNull(), "not_found")
+        .when(~F.element_at(F.split("key", ":"), 2).eqNullSafe(F.col("expected_kind")), "type_mismatch")
+        .when(F.col("_held").isNull(), "missing")
+        .when(F.col("_held") != F.lower("content_sha256"), "hash_mismatch")
+        .when(F.col("_said").isNull() | ~F.col("_said.content_kind").eqNullSafe(F.col("expected_kind")), "corrupt")
+        .when(~F.col("_said.content_video_id").eqNullSafe(F.col("video_id")), "identity_mismatch")
+        .otherwise("loaded")
+    )
+    return joined.select(*requests.columns, "entry_id", outcome.alias("outcome"))
+
+
 def readiness(states: DataFrame, videos: DataFrame) -> DataFrame:
     """Which stages of a video are usable, and what is limited."""
     # The catalog keys of the standard stages.

@@ -1,13 +1,14 @@
-"""The artifact catalog as two append-only Parquet tables."""
+"""The artifact catalog as two tables under one commit log."""
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import catalog
 from tidemark.session import cut_lineage
+from tidemark.sources.commit_log import CommitConflict, CommitLog
 
 
 class RevisionConflict(RuntimeError):
@@ -15,53 +16,72 @@ class RevisionConflict(RuntimeError):
 
 
 class CatalogStore:
-    """Reads and appends; all decisions are made by :mod:`tidemark.operators.catalog`.
+    """Reads and commits; all decisions are made by :mod:`tidemark.operators.catalog`.
 
-    One writer at a time is assumed, as with any append-only Parquet table;
-    ``expected_revisions`` detects a stale reader.
+    Entries and selections of one call appear together.  Any number of writers may work at
+    once: a call that lost the race for a commit number decides anew on what the winner left,
+    and fails with :class:`RevisionConflict` where its ``expected_revisions`` are outdated then.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark = spark
-        self.entries_path = os.path.join(root, "entries")
-        self.selections_path = os.path.join(root, "selections")
+    def __init__(self, spark: SparkSession, root: str, attempts: int = 10) -> None:
+        self.spark, self.attempts = spark, attempts
+        self.log = CommitLog(spark, root, {"entries": catalog.ENTRY_SCHEMA, "selections": catalog.SELECTION_SCHEMA})
 
     def initialise(self) -> "CatalogStore":
-        self.spark.createDataFrame([], catalog.ENTRY_SCHEMA).write.mode("ignore").parquet(self.entries_path)
-        self.spark.createDataFrame([], catalog.SELECTION_SCHEMA).write.mode("ignore").parquet(self.selections_path)
+        if self.log.head() < 0:
+            try:
+                self.log.commit({}, -1)
+            except CommitConflict:
+                pass  # another writer has just done it
         return self
 
     @property
     def entries(self) -> DataFrame:
-        return self.spark.read.schema(catalog.ENTRY_SCHEMA).parquet(self.entries_path)
+        return self.log.read("entries")
 
     @property
     def selections(self) -> DataFrame:
-        return self.spark.read.schema(catalog.SELECTION_SCHEMA).parquet(self.selections_path)
+        return self.log.read("selections")
 
     def create_videos(self, assets: DataFrame) -> DataFrame:
-        decided = cut_lineage(catalog.create_videos(assets, self.selections, self.entries))
-        fresh = decided.where("outcome = 'created'").drop("outcome")
-        self._append(fresh, fresh.select("video_id", "revision", "key", "entry_id"))
-        return decided.select("video_id", "entry_id", "outcome")
+        def decide(entries: DataFrame, selections: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+            decided = cut_lineage(catalog.create_videos(assets, selections, entries))
+            fresh = decided.where("outcome = 'created'").drop("outcome")
+            rows = {"entries": fresh, "selections": fresh.select("video_id", "revision", "key", "entry_id")}
+            return decided.select("video_id", "entry_id", "outcome"), rows
+
+        return self._committed(decide)
 
     def register(self, batch: DataFrame, expected_revisions: DataFrame | None = None) -> DataFrame:
-        planned = catalog.register(batch, self.entries, self.selections, expected_revisions)
-        decided = cut_lineage(planned["decided"])
-        if decided.where("outcome = 'revision_conflict'").limit(1).count():
-            raise RevisionConflict("expected revision does not match the catalog")
-        self._append(planned["entries"], planned["selections"])
-        return decided
+        def decide(entries: DataFrame, selections: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+            planned = catalog.register(batch, entries, selections, expected_revisions)
+            decided = cut_lineage(planned["decided"])
+            if decided.where("outcome = 'revision_conflict'").limit(1).count():
+                raise RevisionConflict("expected revision does not match the catalog")
+            return decided, {"entries": planned["entries"], "selections": planned["selections"]}
+
+        return self._committed(decide)
 
     def activate(self, choices: DataFrame) -> None:
-        rows = cut_lineage(catalog.activate(choices, self.entries, self.selections))
-        rows.write.mode("append").parquet(self.selections_path)
+        self._committed(lambda entries, selections: (choices, {"selections": cut_lineage(catalog.activate(choices, entries, selections))}))
 
     def states(self, files: DataFrame | None = None, allowed_roots: tuple[str, ...] = ()) -> DataFrame:
         return catalog.entry_states(self.entries, self.selections, files, allowed_roots)
 
-    def _append(self, entries: DataFrame, selections: DataFrame) -> None:
-        # both results are stored before either table changes under their plans
-        entries, selections = cut_lineage(entries), cut_lineage(selections)
-        entries.write.mode("append").parquet(self.entries_path)
-        selections.write.mode("append").parquet(self.selections_path)
+    def compact(self) -> None:
+        """Gather what many commits have left in one folder for each table."""
+        self.log.compact()
+
+    def _committed(self, decide: Callable[[DataFrame, DataFrame], tuple[DataFrame, dict[str, DataFrame]]]) -> DataFrame:
+        for _ in range(self.attempts):
+            head = self.log.head()
+            decided, rows = decide(self.log.read("entries", head), self.log.read("selections", head))
+            rows = {name: cut_lineage(df) for name, df in rows.items()}
+            if all(df.isEmpty() for df in rows.values()):
+                return decided
+            try:
+                self.log.commit(rows, head)
+                return decided
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"lost {self.attempts} races for the next commit")
