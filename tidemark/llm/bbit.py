@@ -134,17 +134,23 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inn
     return salted.join(asked, [key, "_salt"], how).drop("_salt")
 
 
-def _likely(left: DataFrame, right: DataFrame, rule: BBitRule, close: Column) -> DataFrame:
-    """Pairs ``(a, b)`` of rows ``(key, h, n, m, bits)`` with one key that can be similar, once each.
+def _meeting(left: DataFrame, right: DataFrame, close: Column) -> DataFrame:
+    """Pairs ``(a, b)`` of rows ``(key, h, ...)`` with one key, once each."""
+    side = lambda rows, s: rows.select("key", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("key", "h")])
+    return side(left, "a").join(side(right, "b"), "key").where(close).select("a", "b").distinct()
+
+
+def _likely(pairs: DataFrame, info: DataFrame, rule: BBitRule) -> DataFrame:
+    """Those of ``pairs (a, b)`` that can be similar by ``info (h, n, m, bits)``, stored.
 
     ``m`` bounds what a set shares with any other, so that no pair is lost to it; signatures decide the rest.
     """
-    side = lambda rows, s: rows.select("key", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("key", "h")])
+    side = lambda s: info.select(F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "m", "bits")])
     common = F.least("a_m", "b_m")
     able = common * 100 >= (F.col("a_n") + F.col("b_n") - common) * rule.percent
     near = matches(F.col("a_bits"), F.col("b_bits"), rule) >= rule.least_matches
-    pairs = side(left, "a").join(side(right, "b"), "key").where(close & able & near)
-    return pairs.select("a", "b").distinct()
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return cut_lineage(both.where(able & near).select("a", "b"))
 
 
 def _proven(pairs: DataFrame, sets: DataFrame, rule: BBitRule, hub: bool) -> DataFrame:
@@ -152,7 +158,7 @@ def _proven(pairs: DataFrame, sets: DataFrame, rule: BBitRule, hub: bool) -> Dat
     side = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
     if hub:
         # the set of a hub goes to 64 tasks, each of which has its share of the partners
-        salted = cut_lineage(pairs).withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(64)))
+        salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(64)))
         hubs = salted.select("a", "_salt").distinct().join(side("a"), "a")
         both = salted.join(side("b"), "b").join(hubs, ["a", "_salt"])
     else:
@@ -176,65 +182,61 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut_lineage(labels.union(fresh).join(joined, "c", "left").select("h", F.coalesce("to", "c").alias("c")))
 
 
-def _sharing(hot: DataFrame, sets: DataFrame, rule: BBitRule) -> DataFrame:
-    """Rows of ``hot`` whose sets can have a partner there, with ``m``: how many of their shingles any other has.
+def _sharing(info: DataFrame, sets: DataFrame, rule: BBitRule) -> DataFrame:
+    """``(h, n, m, bits)`` of the sets of ``info`` that can have a partner among them, with ``m`` counted.
 
-    A set whose own shingles alone are too many is similar to nothing, and what it leaves is
-    counted once more without it.
+    ``m`` is how many of a set's shingles any other has.  One whose own shingles alone are
+    too many is similar to nothing, and what it leaves is counted once more without it.
     """
-    alive = hot.select("h", "n").distinct()
+    alive = info.select("h", "n")
     for _ in range(2):
         items = cut_lineage(sets.join(alive.select("h"), "h", "left_semi").select("h", F.explode("items").alias("item")))
         common = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item")
         shares = items.join(common, "item", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
         alive = cut_lineage(alive.select("h", "n").join(shares, "h").where(F.col("m") * 100 >= F.col("n") * rule.percent))
-    return cut_lineage(hot.drop("m").join(alive.drop("n"), "h"))
+    return cut_lineage(info.drop("m", "n").join(alive, "h"))
 
 
 def _with_labels(hot: DataFrame, labels: DataFrame) -> DataFrame:
-    return cut_lineage(hot.drop("c").join(labels, "h", "left").withColumn("c", F.coalesce("c", "h")))
+    return cut_lineage(hot.join(labels, "h", "left").withColumn("c", F.coalesce("c", "h")))
 
 
 def _apart(hot: DataFrame) -> DataFrame:
     """The rows of large buckets outside the component that prevails there."""
     most = hot.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
-    return cut_lineage(hot.join(most, "key").where("c != main").drop("main"))
+    return hot.join(most, "key").where("c != main").drop("main")
 
 
 def _leading(rows: DataFrame, leaders: int) -> DataFrame:
-    """Up to ``leaders`` rows of each bucket: of each part by hash, the set that is in most large buckets."""
+    """``(key, h)`` of up to ``leaders`` sets of each bucket: of each part by hash, the one in most large buckets."""
     salt = F.pmod(F.xxhash64("h"), F.lit(leaders)).alias("salt")
-    names = [c for c in rows.columns if c not in ("key", "order")]
-    first = rows.groupBy("key", salt).agg(F.min(F.struct("order", *names)).alias("first"))
-    return cut_lineage(first.select("key", *[f"first.{c}" for c in names]))
+    first = rows.groupBy("key", salt).agg(F.min(F.struct("order", "h")).alias("first"))
+    return first.select("key", "first.h")
 
 
 def components(docs: DataFrame, groups: DataFrame, rule: BBitRule) -> DataFrame:
     """``(h, c)`` of all linked sets of ``groups (h, n, first_id, items, bits)``; ``c`` is one of the component's sets.
 
-    Keys are matched without anything else; sizes and signatures join the rows that share one.
+    Keys are matched without anything else; sizes and signatures join the pairs that share one.
     """
+    info = groups.select("h", "n", F.col("n").alias("m"), "bits")
     keyed = groups.select("h", F.explode("items").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = keyed.join(sizes, "key").join(groups.select("h", "n", F.col("n").alias("m"), "bits"), "h")
-    shared = cut_lineage(shared)
+    shared = cut_lineage(keyed.join(sizes, "key"))
     cold, hot = shared.where(F.col("size") <= rule.pair_limit).drop("size"), shared.where(F.col("size") > rule.pair_limit).drop("size")
-    pairs = cut_lineage(_likely(cold, cold, rule, F.col("a") < F.col("b")))
+    pairs = _likely(_meeting(cold, cold, F.col("a") < F.col("b")), info, rule)
     # sets that are in many large buckets lead
-    hot = cut_lineage(hot.join(hot.groupBy("h").agg((-F.count(F.lit(1))).alias("order")), "h").withColumn("c", F.col("h")))
-    bare = hot.drop("order")
-    stars = _likely(_leading(hot, rule.leaders), bare, rule, F.col("a") != F.col("b"))
+    hot = cut_lineage(hot.join(hot.groupBy("h").agg((-F.count(F.lit(1))).alias("order")), "h"))
+    stars = _likely(_meeting(_leading(hot, rule.leaders), hot.select("key", "h"), F.col("a") != F.col("b")), info, rule)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(hot.select("h")).distinct()
     sets = _wanted_sets(docs, groups, wanted, rule)
     labels = _merged(None, cut_lineage(_proven(pairs, sets, rule, hub=False).union(_proven(stars, sets, rule, hub=True))))
-    hot = _with_labels(hot, labels)
-    if _apart(hot).isEmpty():
-        return labels
-    hot = _with_labels(_sharing(hot, sets, rule), labels)
-    rest = _apart(hot)
+    rest = _apart(_with_labels(hot, labels))
     if rest.isEmpty():
         return labels
-    left = cut_lineage(_by_differences(hot, rest, sets, rule))
+    info = _sharing(info.join(hot.select("h").distinct(), "h", "left_semi"), sets, rule)
+    hot = _with_labels(hot.join(info.select("h"), "h", "left_semi"), labels)
+    left = _likely(_by_differences(hot, info, sets, rule), info, rule)
     return _merged(labels, cut_lineage(_proven(left, sets, rule, hub=True)))
 
 
@@ -250,8 +252,10 @@ def _least_of(number: Column) -> Column:
     return F.floor((F.pow(F.lit(_CLASS_RATIO), number) - 1) * _CLASS_STEP - 1e-6)
 
 
-def _by_differences(hot: DataFrame, rest: DataFrame, sets: DataFrame, rule: BBitRule) -> DataFrame:
-    """Pairs ``(a, b)``, ``a`` of ``rest``, that may be similar though their buckets are large.
+def _by_differences(hot: DataFrame, info: DataFrame, sets: DataFrame, rule: BBitRule) -> DataFrame:
+    """Pairs ``(a, b)`` of rows ``hot (key, h, order, c)`` that may be similar though their buckets are large.
+
+    ``a`` is outside the component that prevails in its bucket.
 
     Copies of one original agree in nearly everything, so what tells them apart is how they
     differ from a leader: ``D(x)``, the shingles only one of both has.  ``x`` and ``y`` are
@@ -262,10 +266,10 @@ def _by_differences(hot: DataFrame, rest: DataFrame, sets: DataFrame, rule: BBit
     Sizes of ``D`` are told apart by classes, since ``t`` depends on both.
     """
     leader = _leading(hot, 1).select("key", F.col("h").alias("leader"))
-    side = rest.select("h").distinct().withColumn("asks", F.lit(True))
-    members = hot.join(leader, "key").select("leader", "h", "n", "m", "bits", "c").distinct().join(side, "h", "left")
+    asking = _apart(hot).select("h").distinct().withColumn("asks", F.lit(True))
+    members = hot.join(leader, "key").select("leader", "h", "c").distinct().join(asking, "h", "left").join(info.select("h", "n"), "h")
     items = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
-    both = lookup(cut_lineage(members.join(items("h"), "h")), items("leader"), "leader", "h")
+    both = lookup(cut_lineage(members), items("leader"), "leader", "h").join(items("h"), "h")
     both = cut_lineage(both.withColumn("d", F.array_union(F.array_except("h_items", "leader_items"), F.array_except("leader_items", "h_items"))).drop("h_items", "leader_items"))
     spread = cut_lineage(both.select("h", F.explode("d").alias("item"), "leader").select(F.struct("leader", "item").alias("place"), "h"))
     often = spread.groupBy("place").agg(F.count(F.lit(1)).alias("often"))
@@ -274,7 +278,9 @@ def _by_differences(hot: DataFrame, rest: DataFrame, sets: DataFrame, rule: BBit
     # two similar sets have at most n + n * 100 / percent shingles, of which they differ in a share
     slack = F.col("n") * ((1 + 100 / rule.percent) * (100 - rule.percent) / (100 + rule.percent)) + 1e-6
     size = F.size("d")
-    rows = both.select("leader", "h", "n", "m", "bits", "c", "asks", "d", _class_of(size).alias("own"), F.explode(F.sequence(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack)))).alias("other"))
+    both = both.withColumn("slack", slack)
+    slack = F.col("slack")
+    rows = both.select("leader", "h", "c", "asks", "d", "slack", _class_of(size).alias("own"), F.explode(F.sequence(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack)))).alias("other"))
     share = F.ceil((size + _least_of(F.col("other")) - slack) / 2)
     first = F.when(share < 1, F.col("d")).otherwise(F.slice("d", F.lit(1), F.greatest(size - share + 1, F.lit(0)).cast("int")))
     # an element that no other set differs in meets nobody
@@ -283,9 +289,9 @@ def _by_differences(hot: DataFrame, rest: DataFrame, sets: DataFrame, rule: BBit
     rows = rows.withColumn("item", F.explode(met))
     # keys that agree by chance only make a pair more to be compared
     key = F.xxhash64("leader", "item", F.least("own", "other"), F.greatest("own", "other"))
-    rows = cut_lineage(rows.select(key.alias("key"), "own", "other", "h", "n", "m", "bits", "c", "asks"))
+    rows = cut_lineage(rows.select(key.alias("key"), "own", "other", "h", "c", "asks"))
     mirrored = (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own")) & (F.col("a_c") != F.col("b_c"))
-    return _likely(rows.where("asks").drop("asks"), rows.drop("asks"), rule, mirrored)
+    return _meeting(rows.where("asks").drop("asks"), rows.drop("asks"), mirrored)
 
 
 def _wanted_sets(docs: DataFrame, groups: DataFrame, wanted: DataFrame, rule: BBitRule) -> DataFrame:
