@@ -10,7 +10,7 @@ that began earlier or later.  The scans end when nothing is active any more.
 Words become 64-bit ids, proven to differ for different words, and texts blocks of ids that
 every scan reads instead of the texts.  A scan tests sub-phrases in a table of
 ``filter_slots`` bytes, which holds the latest scan a phrase of that slot was reached in; the
-table has one size, however large the corpus is.  Phrases that share a slot can only cause
+table has one size, however large the corpus is, and only its filled slots are broadcast.  Phrases that share a slot can only cause
 needless counts: what counts is decided by exact joins on the few phrases near the threshold.
 """
 
@@ -46,8 +46,7 @@ _REACHED = "lang string, phrase binary, reach int"
 class PhraseRule:
     """Longest phrase, least occurrences, shards of a cycle, and phrases reported for each language.
 
-    ``filter_slots``: bytes of the table a scan tests sub-phrases in, and so of what is
-    broadcast.  ``block_words`` and ``held_words`` bound what a worker holds.
+    ``filter_slots``: bytes of the table a scan tests sub-phrases in; what is broadcast is at most five times that.  ``block_words`` and ``held_words`` bound what a worker holds.
     """
 
     longest: int = 5
@@ -168,7 +167,8 @@ def active_phrases(lang: str, ids: np.ndarray, table: np.ndarray, scan: int, rul
 
 def _count_blocks(blocks: DataFrame, table: np.ndarray, scan: int, rule: PhraseRule) -> DataFrame:
     """``(lang, phrase, n)`` of one scan, added up inside each worker as far as it holds them."""
-    shared = blocks.sparkSession.sparkContext.broadcast(table)
+    filled = np.flatnonzero(table)
+    shared = blocks.sparkSession.sparkContext.broadcast((filled.astype(np.int32), table[filled]))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 
     def counted(lang: str, length: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -184,7 +184,8 @@ def _count_blocks(blocks: DataFrame, table: np.ndarray, scan: int, rule: PhraseR
         return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(first), np.int32))), phrases, n], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, parts, held = shared.value, {}, 0
+        reached, parts, held = np.zeros(rule.filter_slots, np.uint8), {}, 0
+        reached[shared.value[0]] = shared.value[1]
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), bytetext.as_bytes(batch.column("ids"))):
                 ids = np.frombuffer(raw, np.uint64)
