@@ -55,27 +55,35 @@ class LanguageModel:
         w = self.weights
         steps, n = windows.shape
         size = w["Uf"].shape[0]
-        out = np.empty((steps, n, len(self.langs)), np.float32)
-        out[:] = w["bo"]
+        # windows lie along the last axis: a row is one unit's values, and gates are whole rows
+        out = np.empty((steps, len(self.langs), n), np.float32)
+        out[:] = w["bo"][:, None]
+        x, g = np.empty((3 * size, n), np.float32), np.empty((3 * size, n), np.float32)
         for way, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
             # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2: the halves go into the weights of both gates
             half = np.where(np.arange(3 * size) < 2 * size, 0.5, 1.0).astype(np.float32)
-            table, back = (w["E" + way] + w["b" + way]) * half, np.ascontiguousarray(w["U" + way] * half)
-            read = w["O" + way]
-            h = np.zeros((n, size), np.float32)
+            table = np.ascontiguousarray(((w["E" + way] + w["b" + way]) * half).T)
+            back, read = np.ascontiguousarray((w["U" + way] * half).T), np.ascontiguousarray(w["O" + way].T)
+            h = np.zeros((size, n), np.float32)
             for t in order:
-                x = table[windows[t]]
-                g = h @ back
-                gates = np.tanh(x[:, : 2 * size] + g[:, : 2 * size])
+                np.take(table, windows[t], axis=1, out=x, mode="clip")
+                np.matmul(back, h, out=g)
+                gates, new = x[: 2 * size], g[2 * size :]
+                gates += g[: 2 * size]
+                np.tanh(gates, out=gates)
                 gates *= 0.5
                 gates += 0.5
-                new = np.tanh(x[:, 2 * size :] + gates[:, size:] * g[:, 2 * size :])
-                h = new + gates[:, :size] * (h - new)
-                out[t] += h @ read
-        out -= out.max(2, keepdims=True)
+                new *= gates[size:]
+                new += x[2 * size :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= gates[:size]
+                h += new
+                out[t] += read @ h
+        out -= out.max(1, keepdims=True)
         np.exp(out, out=out)
-        out /= out.sum(2, keepdims=True)
-        return out
+        out /= out.sum(1, keepdims=True)
+        return out.transpose(0, 2, 1)
 
     def documents(self, data: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
         """Mean probabilities of each text of a slice, over all its positions."""
