@@ -82,14 +82,7 @@ class _TrackRule:
             overlap = _iou(box, track[3])
             if overlap < p.min_bbox_iou:
                 continue
-            matcher = SequenceMatcher(None, folded, track[2])
-            # both are upper bounds of ratio(), so skipping on them loses nothing
-            if (
-                matcher.real_quick_ratio() < p.min_text_similarity
-                or matcher.quick_ratio() < p.min_text_similarity
-            ):
-                continue
-            score = (matcher.ratio(), overlap)
+            score = (self._similarity(folded, track[2]), overlap)
             if score[0] >= p.min_text_similarity and (best is None or score > best_score):
                 best, best_score = track, score
         if best is None:
@@ -99,6 +92,17 @@ class _TrackRule:
         best[1:] = [timestamp, folded, box]
         return best[0]
 
+    def _similarity(self, folded: str, other: str) -> float:
+        """The match ratio, or 0 where a bound already says that it is below the threshold."""
+        least = self.params.min_text_similarity
+        if folded == other:
+            return 1.0
+        # the ratio is twice the matched share of both lengths, and 1 for equal texts alone
+        if least >= 1 or 2 * min(len(folded), len(other)) < least * (len(folded) + len(other)):
+            return 0.0
+        matcher = SequenceMatcher(None, folded, other)
+        return matcher.ratio() if matcher.quick_ratio() >= least else 0.0
+
 
 def _iou(a: dict, b: dict) -> float:
     width = min(a["x"] + a["width"], b["x"] + b["width"]) - max(a["x"], b["x"])

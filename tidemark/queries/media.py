@@ -286,14 +286,13 @@ def ocr_result_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen_text.check_results(lines.where("l_returnflag <> 'N'").select(*pair), stills)
 
 
-@query()
-def ocr_track_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document lines as on-screen text, three lines per second; similar text in the same place merges."""
+def _line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines as on-screen text: three places, three lines a second."""
     lines = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     slot = (F.col("line_no") % 3).cast("double")
-    observed = lines.where("trim(line) <> ''").select(
+    return lines.where("trim(line) <> ''").select(
         "video_id",
         F.format_string("obs_%06d", "line_no").alias("observation_id"),
         F.concat_ws("_", F.lit("frame"), F.floor(F.col("line_no") / 3)).alias("frame_id"),
@@ -304,10 +303,30 @@ def ocr_track_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("bbox"),
         (F.lit(1.0) / (F.length("line") % 7 + 1)).alias("confidence"),
     )
-    spans = screen_text.text_spans(screen_text.assign_tracks(observed), with_ids=False)
+
+
+def _track_spans(observed: DataFrame, params: screen_text.OcrParams) -> DataFrame:
+    spans = screen_text.text_spans(screen_text.assign_tracks(observed, params), params, with_ids=False)
     return spans.select("video_id", "span_id", "start_ms", "end_ms", "text", F.round("confidence", 9).alias("confidence"), "occurrences")
 
 
+@query()
+def ocr_track_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar text in the same place merges."""
+    return _track_spans(_line_observations(spark, sf_dir), screen_text.OcrParams())
+
+
+@query("""WITH l AS (SELECT doc_id AS video_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+o AS (SELECT video_id, n, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t, n % 3 AS slot, (n // 3) * 1000 AS ts, 1.0::DOUBLE / (length(line) % 7 + 1) AS conf FROM l WHERE trim(line) <> ''),
+b AS (SELECT *, lag(ts) OVER (PARTITION BY video_id, lower(t), slot ORDER BY ts) AS before FROM o),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, lower(t), slot ORDER BY ts) AS track FROM b)
+SELECT video_id, 'span_obs_' || lpad(CAST(min(n) AS VARCHAR), 6, '0') AS span_id, min(ts) AS start_ms, max(ts) + 1 AS end_ms, first(t ORDER BY conf DESC, ts, n) AS text,
+  round(avg(conf), 9) AS confidence, count(*) AS occurrences FROM g GROUP BY video_id, lower(t), slot, track""")
+def ocr_equal_text_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only equal text in the same place merges."""
+    return _track_spans(_line_observations(spark, sf_dir), screen_text.OcrParams(min_text_similarity=1.0))
+
+
 # ---- scalar helpers ---------------------------------------------------------
 
 @query("""WITH x AS (SELECT p_partkey, format('{:.5f}', p_retailprice / 8) AS text, CAST(format('{:.5f}', p_retailprice / 8) AS DOUBLE) AS number FROM part)
