@@ -202,6 +202,16 @@ def _count_blocks(blocks: DataFrame, table: np.ndarray, scan: int, rule: PhraseR
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+#: Phrases that are broadcast where they are counted and found to be no more; beyond, both sides are shuffled.
+SMALL_ROWS = 100_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` of phrases, stored, and marked for broadcast if few."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows
+
+
 def _length(phrase: str = "phrase") -> Column:
     return (F.octet_length(phrase) / _WORD_BYTES).cast("int")
 
@@ -265,7 +275,8 @@ def frequent_phrases(docs: DataFrame, folder: _Folder, rule: PhraseRule = Phrase
         # a phrase that is reached has its share of the threshold in one scan of its cycle at least
         window = together(union(scans[-rule.shards :]))
         near = window.where(F.col("n") * rule.shards >= rule.least).select("lang", "phrase").distinct().join(reached, ["lang", "phrase"], "left_anti")
-        rows = _counted_when_active(window.join(near, ["lang", "phrase"]), reached, rule)
+        # the counts of three scans are many, the phrases looked for among them few
+        rows = _counted_when_active(window.join(_small(near), ["lang", "phrase"]), reached, rule)
         now = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= rule.least)
         folder.write(now.select("lang", "phrase", F.lit(scan).alias("reach")), f"reached{scan}")
         fresh = folder.read(f"reached{scan}", _REACHED)
@@ -274,7 +285,7 @@ def frequent_phrases(docs: DataFrame, folder: _Folder, rule: PhraseRule = Phrase
             latest = scan
         scan += 1
     everything = together(union(scans))
-    totals = _counted_when_active(everything.join(reached.select("lang", "phrase"), ["lang", "phrase"]), reached, rule)
+    totals = _counted_when_active(everything.join(_small(reached.select("lang", "phrase")), ["lang", "phrase"]), reached, rule)
     totals = cut_lineage(totals.groupBy("lang", "phrase").agg(F.sum("n").alias("a")))
     sizes = together(union(scans[: rule.shards])).where(_length() == 1).groupBy("lang").agg(F.sum("n").alias("size"))
     return totals, cut_lineage(sizes), vocabulary
