@@ -188,12 +188,15 @@ def _sharing(info: DataFrame, sets: DataFrame, rule: BBitRule) -> DataFrame:
     ``m`` is how many of a set's shingles any other has.  One whose own shingles alone are
     too many is similar to nothing, and what it leaves is counted once more without it.
     """
+    marks = [F.xxhash64("h", F.lit(k)).alias(f"h{k}") for k in range(2)]
     alive = info.select("h", "n")
     for _ in range(2):
-        items = cut_lineage(sets.join(alive.select("h"), "h", "left_semi").select("h", F.explode("items").alias("item")))
-        common = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item")
-        shares = items.join(common, "item", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-        alive = cut_lineage(alive.select("h", "n").join(shares, "h").where(F.col("m") * 100 >= F.col("n") * rule.percent))
+        items = sets.join(alive.select("h"), "h", "left_semi").select(*marks, F.explode("items").alias("item"))
+        # a shingle of one set names it, so that nothing has to be joined back to shingles
+        alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("h0").alias("h0"), F.min("h1").alias("h1")).where("n = 1")
+        own = alone.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("own"))
+        counted = alive.select("h", "n", *marks).join(own, ["h0", "h1"], "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
+        alive = cut_lineage(counted.where(F.col("m") * 100 >= F.col("n") * rule.percent).select("h", "n", "m"))
     return cut_lineage(info.drop("m", "n").join(alive, "h"))
 
 
@@ -270,22 +273,25 @@ def _by_differences(hot: DataFrame, info: DataFrame, sets: DataFrame, rule: BBit
     members = hot.join(leader, "key").select("leader", "h", "c").distinct().join(asking, "h", "left").join(info.select("h", "n"), "h")
     items = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
     both = lookup(cut_lineage(members), items("leader"), "leader", "h").join(items("h"), "h")
-    both = cut_lineage(both.withColumn("d", F.array_union(F.array_except("h_items", "leader_items"), F.array_except("leader_items", "h_items"))).drop("h_items", "leader_items"))
-    spread = cut_lineage(both.select("h", F.explode("d").alias("item"), "leader").select(F.struct("leader", "item").alias("place"), "h"))
-    often = spread.groupBy("place").agg(F.count(F.lit(1)).alias("often"))
-    ordered = lookup(spread, often, "place", "h").groupBy(F.col("place.leader").alias("leader"), "h").agg(F.sort_array(F.collect_list(F.struct("often", "place.item"))).alias("o"))
-    both = cut_lineage(both.drop("d").join(ordered, ["leader", "h"], "left").withColumn("d", F.coalesce("o", F.array().cast("array<struct<often: bigint, item: bigint>>"))).drop("o"))
+    both = both.withColumn("d", F.array_union(F.array_except("h_items", "leader_items"), F.array_except("leader_items", "h_items"))).drop("h_items", "leader_items")
+    both = cut_lineage(both.withColumn("size", F.size("d")))
+    # places that agree by chance are only taken for more frequent ones, by all sets alike
+    spread = both.select("leader", "h", F.explode("d").alias("item")).withColumn("place", F.xxhash64("leader", "item"))
+    often = spread.groupBy("place").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ordered = lookup(spread, often, "place", "h").groupBy("leader", "h").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("o"))
+    # an element that no other set differs in meets nobody; being the rarest, such are the first
+    ordered = ordered.select("leader", "h", F.col("o.item").alias("o"))
+    none = F.array().cast("array<bigint>")
+    both = cut_lineage(both.drop("d").join(ordered, ["leader", "h"], "left").withColumn("o", F.coalesce("o", none)))
     # two similar sets have at most n + n * 100 / percent shingles, of which they differ in a share
     slack = F.col("n") * ((1 + 100 / rule.percent) * (100 - rule.percent) / (100 + rule.percent)) + 1e-6
-    size = F.size("d")
+    size = F.col("size")
     both = both.withColumn("slack", slack)
     slack = F.col("slack")
-    rows = both.select("leader", "h", "c", "asks", "d", "slack", _class_of(size).alias("own"), F.explode(F.sequence(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack)))).alias("other"))
+    rows = both.select("leader", "h", "c", "asks", "o", "size", "slack", _class_of(size).alias("own"), F.explode(F.sequence(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack)))).alias("other"))
     share = F.ceil((size + _least_of(F.col("other")) - slack) / 2)
-    first = F.when(share < 1, F.col("d")).otherwise(F.slice("d", F.lit(1), F.greatest(size - share + 1, F.lit(0)).cast("int")))
-    # an element that no other set differs in meets nobody
-    met = F.transform(F.filter(first, lambda e: e["often"] > 1), lambda e: e["item"])
-    met = F.when(share < 1, F.concat(F.array(F.lit(0).cast("bigint")), met)).otherwise(met)
+    shown = size - share + 1 - (size - F.size("o"))
+    met = F.when(share < 1, F.concat(F.array(F.lit(0).cast("bigint")), F.col("o"))).otherwise(F.slice("o", F.lit(1), F.greatest(shown, F.lit(0)).cast("int")))
     rows = rows.withColumn("item", F.explode(met))
     # keys that agree by chance only make a pair more to be compared
     key = F.xxhash64("leader", "item", F.least("own", "other"), F.greatest("own", "other"))
