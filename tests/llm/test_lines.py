@@ -8,6 +8,9 @@ from tidemark.llm.queries import QUERIES
 from tidemark.session import read_table
 
 
+BLANK = " \t\n\x0b\x0c\r"
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -36,9 +39,9 @@ def brute(rows, rule):
     places: dict[str, tuple] = {}
     for i, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         for k, line in enumerate(text.split("\n")):
-            if len(line) >= rule.least_chars and line not in places:
+            if line.strip(BLANK) and line not in places:
                 places[line] = (i, k)
-    groups, every = Union(places.values()), sorted(places)
+    groups, every = Union(places.values()), sorted(x for x in places if len(x) >= rule.least_chars)
     for k, a in enumerate(every):
         for b in every[k + 1 :]:
             if abs(len(a) - len(b)) <= rule.edits and distance(a, b) <= rule.edits:
@@ -48,7 +51,7 @@ def brute(rows, rule):
         if i is None or text is None:
             out.append((i, text))
             continue
-        kept = [x for k, x in enumerate(text.split("\n")) if len(x) < rule.least_chars or (i, k) <= groups.find(places[x])]
+        kept = [x for k, x in enumerate(text.split("\n")) if not x.strip(BLANK) or (i, k) <= groups.find(places[x])]
         out.append((i, "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -124,9 +127,9 @@ def brute_by_length(rows, rule):
     places: dict[str, tuple] = {}
     for i, text in sorted(rows):
         for k, line in enumerate(text.split("\n")):
-            if len(line) >= rule.least_chars and line not in places:
+            if line.strip(BLANK) and line not in places:
                 places[line] = (i, k)
-    groups, every = Union(places.values()), sorted(places, key=len)
+    groups, every = Union(places.values()), sorted((x for x in places if len(x) >= rule.least_chars), key=len)
     for k, a in enumerate(every):
         for b in every[k + 1 :]:
             if len(b) - len(a) > rule.edits:
@@ -134,7 +137,20 @@ def brute_by_length(rows, rule):
             third = len(a) // (rule.edits + 1)
             if any(a[s : s + third] in b for s in range(0, third * (rule.edits + 1), third)) and distance(a, b) <= rule.edits:
                 groups.join(places[a], places[b])
-    return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < rule.least_chars or (i, k) <= groups.find(places[x]))) for i, t in rows]
+    return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(BLANK) or (i, k) <= groups.find(places[x]))) for i, t in rows]
+
+
+def test_short_lines_repeat_where_they_are_equal(spark):
+    rows = [(1, "Home | About\none"), (2, "Home | About\ntwo\n \n"), (3, "Home | Abouts"), (4, "Home | About\n \n}")]
+    assert cleaned(lines.dedup_lines(docs(spark, rows))) == [(1, "Home | About\none"), (2, "two\n \n"), (3, "Home | Abouts"), (4, " \n}")]
+
+
+def test_buckets_that_one_line_joins_need_no_further_pairs(spark, monkeypatch):
+    head, tail = "the very same beginning of a line ", " and the very same end of it all"
+    rows = [(i, f"{head}{chr(97 + i % 26)}{chr(97 + i // 26)}{tail}") for i in range(60)]
+    monkeypatch.setattr(lines, "mask_keys", None)
+    rule = lines.LineRule(pair_limit=4)
+    assert cleaned(lines.dedup_lines(docs(spark, rows), rule)) == brute(rows, rule)
 
 
 def test_hard_rows(spark):

@@ -18,13 +18,17 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bbit import lookup
 from tidemark.llm.components import connected_components
 from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class LineRule:
-    """Edits allowed, shortest line looked at, and the bucket size from which buckets are divided again."""
+    """Edits allowed, shortest line they are allowed in, and the bucket size from which buckets are divided again.
+
+    Shorter lines repeat only where they are equal: two edits would change too much of them.
+    """
 
     edits: int = 2
     least_chars: int = 32
@@ -122,9 +126,9 @@ def may_be_within(long: Column, short: Column, edits: int) -> Column:
 
 
 def lines_of(docs: DataFrame, rule: LineRule) -> DataFrame:
-    """``(doc_id, line_no, line, h)`` of the lines long enough to be looked at; ``h`` stands for the line."""
+    """``(doc_id, line_no, line, h)`` of the lines that are not blank; ``h`` stands for the line."""
     split = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.where(F.char_length("line") >= rule.least_chars).withColumn("h", F.xxhash64("line"))
+    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
 def _place() -> Column:
@@ -232,10 +236,11 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows ``(key, h)`` of keys that more than one line has, stored."""
+    """The rows ``(key, h)`` of keys that more than one line has, with their number ``size`` and least hash ``low``, stored."""
     window = Window.partitionBy("key")
     both = keyed.withColumn("low", F.min("h").over(window)).withColumn("high", F.max("h").over(window))
-    return cut_lineage(both.where("low < high").select(*keyed.columns).distinct())
+    rows = both.where("low < high").drop("high").distinct()
+    return cut_lineage(rows.withColumn("size", F.count(F.lit(1)).over(window)))
 
 
 def _letter_kinds(text: Column) -> list[Column]:
@@ -285,14 +290,34 @@ def _pairs(members: DataFrame, edits: int = 0, blocks: int = 0) -> DataFrame:
 
 def _split(members: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """The rows of keys of up to ``limit`` lines, and those of larger ones."""
-    large = _small(cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key")))
-    return members.join(large, "key", "left_anti"), members.join(large, "key", "left_semi")
+    return members.where(F.col("size") <= limit), members.where(F.col("size") > limit)
+
+
+def _within(pairs: DataFrame, level: DataFrame, edits: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` that are at most ``edits`` edits apart, stored; ``a`` may have any number of partners."""
+    side = lambda s: level.select(F.col("h").alias(s), F.col("rest").alias(f"{s}_rest"), F.col("counts").alias(f"{s}_counts"))
+    both = lookup(pairs, side("a"), "a", "b").join(side("b"), "b").where(_counts_agree(edits))
+    turn = F.char_length("a_rest") >= F.char_length("b_rest")
+    long, short = (F.when(turn, F.col(x)).otherwise(F.col(y)) for x, y in (("a_rest", "b_rest"), ("b_rest", "a_rest")))
+    both = both.select("a", "b", long.alias("long"), short.alias("short")).where(may_be_within(F.col("long"), F.col("short"), edits))
+    both = cut_lineage(both.select("a", "b", unlike_middle(F.col("long"), F.col("short")).alias("p")))
+    return cut_lineage(both.where(within_edits(F.col("p.l"), F.col("p.s"), edits)).select("a", "b"))
+
+
+def _apart(many: DataFrame, stars: DataFrame) -> DataFrame:
+    """The rows ``(key, h)`` of those buckets that the links ``stars`` do not join wholly, stored."""
+    labels = connected_components(stars).select(F.col("node").alias("h"), F.col("component").alias("c"))
+    named = many.select("key", "h").join(labels, "h", "left").withColumn("c", F.coalesce("c", "h"))
+    window = Window.partitionBy("key")
+    ends = named.withColumn("first", F.min("c").over(window)).withColumn("last", F.max("c").over(window))
+    return cut_lineage(ends.where("first < last").select("key", "h"))
 
 
 def candidates(lines: DataFrame, rule: LineRule) -> DataFrame:
-    """Pairs ``(a, b)`` of line hashes that share a segment where they may.
+    """Pairs ``(a, b)`` of line hashes that share a segment where they may, as far as classes need them.
 
-    The members of a bucket of up to ``pair_limit`` lines are paired.  A larger one is
+    The members of a bucket of up to ``pair_limit`` lines are paired.  In a larger one all are
+    compared with one of them; where that joins them all, no further pair is needed.  Else it is
     divided by how often letters occur, which edits change little.  Two lines that are
     still among many are both keyed anew, by all their text but as many of its
     blocks as there may be edits, and paired where they meet then.
@@ -307,6 +332,10 @@ def candidates(lines: DataFrame, rule: LineRule) -> DataFrame:
         return found
     level = texts(lines.join(_small(hot), "h")).distinct()
     level = cut_lineage(level.select("h", "rest", _letter_counts(F.col("rest")).alias("counts"), _cells(F.col("rest"), edits).alias("cells")))
+    stars = _within(many.where("h != low").select(F.col("low").alias("a"), F.col("h").alias("b")).distinct(), level, edits)
+    found, many = found.union(stars), _apart(many, stars)
+    if many.isEmpty():
+        return found.distinct()
     divided = many.join(level.select("h", "counts", "cells"), "h").select("h", "counts", "key", F.explode("cells").alias("cell"))
     few, many = _split(_shared(divided.select("h", "counts", F.xxhash64("key", "cell").alias("key"))), limit)
     found = found.union(_pairs(few, edits))
@@ -329,7 +358,7 @@ def line_classes(lines: DataFrame, rule: LineRule) -> DataFrame:
     marked = lines.select("h", _digest().alias("digest"), _place().alias("place"))
     repeated = marked.groupBy("h", "digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     repeated = cut_lineage(repeated.where("n > 1").select("h", "digest", "place"))
-    near = cut_lineage(candidates(lines, rule))
+    near = cut_lineage(candidates(lines.where(F.char_length("line") >= rule.least_chars), rule))
     wanted = cut_lineage(near.select(F.col("a").alias("h")).union(near.select(F.col("b").alias("h"))).distinct())
     texts = lines.join(_small(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("place"))
     node = F.struct("place", "h", _digest().alias("digest")).alias("node")
@@ -358,9 +387,9 @@ def repeated_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
 def dedup_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` added.
 
-    A line of ``least_chars`` characters or more goes when an earlier line, by
-    ``doc_id`` and line number, belongs to its class; the first line of each class
-    stays, and so do all shorter lines.  Rows with a null id or text stay as they are
+    A line goes when an earlier line, by ``doc_id`` and line number, belongs to its
+    class; the first line of each class stays, and so do blank lines.  Lines of less than
+    ``least_chars`` characters have only equal ones in theirs.  Rows with a null id or text stay as they are
     (``n_lines`` 0 for null texts); rows repeated under one id count as one
     document.  Other columns come through unchanged.
     """
