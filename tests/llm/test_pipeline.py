@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import HARD, SF, SF_MID
 from tests.llm.test_decontaminate import brute as brute_leaks
+from tests.llm.test_jaccard import brute_classes
 from tests.llm.test_lines import brute_by_length
-from tests.llm.test_simhash import brute_classes, plain_fingerprint
 from tidemark.llm import lines, quality, unigram
 from tidemark.llm.queries import fold
 from tidemark.session import read_table
@@ -42,7 +42,7 @@ def check_lines(spark, before, after):
 
 
 def check_copies(spark, before, after):
-    classes = brute_classes({r.doc_id: plain_fingerprint(r.text, 5) for r in before.collect()})
+    classes = brute_classes({r.doc_id: r.text for r in before.collect()})
     assert rows_of(after) == rows_of(before.where(F.col("doc_id").isin(sorted(set(classes.values())))))
 
 
