@@ -222,3 +222,33 @@ def test_text_tracks_against_brute_force(spark, cut_policy, cut):
             top = max(track, key=lambda r: r[5])
             expected[tuple(r[1] for r in track)] = (track[0][2], track[-1][2] + 1, top[3])
     assert got == expected
+
+
+def test_budgeted_context_survives_a_join_turned_into_a_broadcast(spark):
+    """Sizes known at run time only: the join before the fold leaves rows where they are."""
+    rows = [(v, o, f"c{v}_{o}", o * 10, o * 10 + 4 + (v + o) % 5) for v in range(200) for o in range(12)]
+    columns = "video_id long, ord long, chunk_id string, start_ms long, end_ms long"
+    wanted = {}
+    for v in range(200):
+        length = {o: e - s for w, o, _, s, e in rows if w == v}
+        used = length[6]
+        for o in sorted(set(length) - {6}, key=lambda o: (abs(o - 6), o)):
+            if abs(o - 6) <= 4:
+                wanted[v, o] = used + length[o] <= 30
+                used += length[o] if wanted[v, o] else 0
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        chunks = spark.createDataFrame(rows, columns).repartition(4).withColumns({"insp_start_ms": F.col("start_ms"), "insp_end_ms": F.col("end_ms")})
+        placed = context.budgeted_context(chunks, chunks.where("ord = 6").select("video_id", "ord"), context.Direction.BOTH, 4, 30)
+        got = {(r.video_id, r.ord): r.admitted for r in placed.where("distance > 0").collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert got == wanted

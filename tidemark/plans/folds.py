@@ -38,6 +38,15 @@ Rule = Callable[[tuple[Any, ...], bool], Any]
 RUN = "_run"
 
 
+def gathered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with all rows of one key in one partition.
+
+    Dealt by a hash of the keys: a repartition by the keys themselves is taken for redundant
+    after a join by them, and that join may at run time become a broadcast that leaves rows where they are.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def fold_rows(
     df: DataFrame,
     cluster: Sequence[str],
@@ -49,7 +58,7 @@ def fold_rows(
 ) -> DataFrame:
     """Add ``output``: what the rule returns for each row of a run, in order."""
     cluster, order, inputs = list(cluster), list(order), list(inputs)
-    arranged = df.repartition(*cluster).sortWithinPartitions(*cluster, *order)
+    arranged = gathered(df, cluster).sortWithinPartitions(*cluster, *order)
     schema = T.StructType([*df.schema.fields, T.StructField(output, output_type)])
     arrow_type = to_arrow_type(output_type)
 
@@ -161,7 +170,7 @@ def _arranged(rows: DataFrame, states: DataFrame, piece: Sequence[str], order: S
     """Every shard's rows in order, behind the states it is to be folded from."""
     both = rows.withColumns({_KIND: F.lit(1), _STATE: F.lit(None).cast("string")})
     first = states.select(*piece, _STATE, F.lit(0).alias(_KIND))
-    return both.unionByName(first, allowMissingColumns=True).repartition(*piece).sortWithinPartitions(*piece, _KIND, *order)
+    return gathered(both.unionByName(first, allowMissingColumns=True), piece).sortWithinPartitions(*piece, _KIND, *order)
 
 
 def _streamed(batch: pa.RecordBatch, piece: Sequence[str], inputs: Sequence[str]) -> Iterator[tuple]:
@@ -245,7 +254,7 @@ def _open_states(
         if shard is not None:
             yield _emitted(found(), arrow)
 
-    return source.repartition(*piece).sortWithinPartitions(*piece, *order).mapInArrow(apply, schema)
+    return gathered(source, piece).sortWithinPartitions(*piece, *order).mapInArrow(apply, schema)
 
 
 def _transitions(
@@ -315,4 +324,4 @@ def _walk(known: DataFrame, pieces: DataFrame, place: Sequence[str]) -> DataFram
                     after = {}
             yield _emitted(out, arrow)
 
-    return both.repartition(*place).sortWithinPartitions(*piece, _KIND).mapInArrow(apply, schema)
+    return gathered(both, place).sortWithinPartitions(*piece, _KIND).mapInArrow(apply, schema)
