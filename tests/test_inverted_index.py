@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -59,3 +60,13 @@ def test_arguments(spark, stored):
         inverted_index.search_index(spark, stored[1], " ", 3)
     with pytest.raises(ValueError):
         inverted_index.search_index(spark, stored[1], "a", 0)
+
+
+def test_documents_are_written_once_and_postings_are_two_numbers(spark, stored):
+    documents, path = stored
+    blocks = spark.read.parquet(f"{path}/blocks")
+    types = dict(blocks.dtypes)
+    assert (types["places"], types["tfs"]) == ("array<smallint>", "array<int>")
+    held = blocks.where("folder = -1").selectExpr("explode(documents) AS d").select("d.item_id")
+    assert sorted(r.item_id for r in held.collect()) == sorted(r.item_id for r in documents.collect())
+    assert not [name for name in os.listdir(path) if name == "texts"]

@@ -15,19 +15,26 @@ every score is exact.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.text import query_terms, tokenize
 from tidemark.operators.retrieval import K1, B
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, remove_folder
 
 #: Documents of a range: a power of two, and how many folders the terms are dealt into.
 RANGE_BITS = 7
 RANGE_DOCS = 1 << RANGE_BITS
 FOLDERS = 16
+#: The folder of what the ranges hold.
+DOCUMENTS = -1
 
 
 @dataclass(frozen=True)
@@ -38,34 +45,83 @@ class SearchCost:
     opened: int
 
 
-def _impact(average: Column) -> Column:
-    tf, length = F.col("tf"), F.col("doc_length")
-    return tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / average))
+_BLOCKS = (
+    "range bigint, term string, n bigint, best double, places array<smallint>, tfs array<int>, "
+    "documents array<struct<item_id:string,start_ms:bigint,end_ms:bigint,doc_length:bigint>>"
+)
+
+
+def _blocks_of(number: int, rows: pa.Table, average: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The row of a range's documents, then its blocks; a place counts the range's documents."""
+    rows = rows.combine_chunks()
+    columns = [rows.column(f.name).combine_chunks().cast(f.type) for f in schema.field("documents").type.value_type]
+    listed = pa.ListArray.from_arrays([0, len(rows)], pa.StructArray.from_arrays(columns, fields=list(schema.field("documents").type.value_type)))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([v], f.type) for v, f in zip((number, None, len(rows), None, None, None), schema)] + [listed.cast(schema.field("documents").type)], schema=schema
+    )
+    coded = pa.concat_arrays([c.flatten() for c in rows.column("tokens").chunks]).dictionary_encode()
+    if not len(coded):
+        return
+    lengths = rows.column("doc_length").to_numpy()
+    places = np.repeat(np.arange(len(rows)), lengths)
+    keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(rows) + places, return_counts=True)
+    terms, places = np.divmod(keys, len(rows))
+    first = np.flatnonzero(np.diff(terms, prepend=-1))
+    impact = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * lengths[places] / average))
+    ends = [*first.tolist(), len(keys)]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(first), number), pa.int64()),
+            coded.dictionary.take(pa.array(terms[first])).cast(pa.string()),
+            pa.array(np.diff(ends), pa.int64()),
+            pa.array(np.maximum.reduceat(impact, first)),
+            pa.ListArray.from_arrays(ends, pa.array(places, pa.int16())).cast(schema.field("places").type),
+            pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32())).cast(schema.field("tfs").type),
+            pa.nulls(len(first), schema.field("documents").type),
+        ],
+        schema=schema,
+    )
 
 
 def write_inverted_index(documents: DataFrame, path: str) -> None:
     """Store the index of ``item_id, start_ms, end_ms, text``; null texts have no terms.
 
-    ``blocks``: ``folder, term, range, n, best, postings``; ``corpus``: one row of the
-    number of documents and their average length.
+    ``blocks``: ``folder, term, range, n, best, places, tfs``, and for each range a row without a term that holds its
+    ``documents`` (folder -1); ``corpus``: one row of the number of documents and their average length.
+    What is dealt out is every text once, in order of length, and then the finished blocks: documents
+    of a range follow each other in one task, which needs no rows of single postings.
     """
-    tokens = documents.select("item_id", "start_ms", "end_ms", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    sized = cut_lineage(tokens.withColumn("doc_length", F.size("tokens").cast("bigint")))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("average"))
-    corpus.coalesce(1).write.parquet(f"{path}/corpus")
-    average = documents.sparkSession.read.parquet(f"{path}/corpus").select(F.when(F.col("average") == 0, F.lit(1.0)).otherwise(F.col("average"))).scalar()
+    tokens = F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>"))
+    spark, texts = documents.sparkSession, f"{path}/texts"
+    documents.select("item_id", "start_ms", "end_ms", "text", F.size(tokens).cast("bigint").alias("doc_length")).write.parquet(texts)
+    sized = spark.read.parquet(texts)
+    sized.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("average")).coalesce(1).write.parquet(f"{path}/corpus")
+    average = spark.read.parquet(f"{path}/corpus").first()["average"] or 1.0
     # position in the order of length, counted inside each task; the tasks hold ranges of lengths
     placed = sized.repartitionByRange("doc_length", "item_id").sortWithinPartitions("doc_length", "item_id")
-    placed = placed.withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
-    placed = cut_lineage(placed)
-    counted = placed.select("range", "item_id", "start_ms", "end_ms", "doc_length", F.explode("tokens").alias("term"))
-    counted = counted.groupBy("range", "item_id", "start_ms", "end_ms", "doc_length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    posting = F.struct("item_id", "start_ms", "end_ms", "tf", "doc_length")
-    blocks = counted.withColumn("impact", _impact(average)).groupBy("term", "range").agg(
-        F.count(F.lit(1)).alias("n"), F.max("impact").alias("best"), F.sort_array(F.collect_list(posting)).alias("postings")
-    )
-    folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
+    placed = placed.select(F.shiftright(F.monotonically_increasing_id(), RANGE_BITS).alias("range"), "item_id", "start_ms", "end_ms", "doc_length", tokens.alias("tokens"))
+    schema = to_arrow_schema(T.StructType.fromDDL(_BLOCKS))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, pieces = None, []
+        for batch in batches:
+            ranges = batch.column("range").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if pieces and ranges[a] != number:
+                    yield from _blocks_of(number, pa.Table.from_batches(pieces), average, schema)
+                    pieces = []
+                number = int(ranges[a])
+                pieces.append(batch.slice(a, b - a))
+        if pieces:
+            yield from _blocks_of(number, pa.Table.from_batches(pieces), average, schema)
+
+    blocks = placed.mapInArrow(cut, _BLOCKS)
+    folder = F.when(F.col("term").isNull(), F.lit(DOCUMENTS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
     blocks.withColumn("folder", folder).repartition("folder").sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{path}/blocks")
+    remove_folder(spark, texts)
 
 
 def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, probe_ranges: int = 8) -> tuple[DataFrame, SearchCost]:
@@ -94,7 +150,7 @@ def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, pr
         return spark.createDataFrame([], schema), SearchCost(0, 0)
     weights = F.coalesce(*[F.when(F.col("term") == t, F.expr(f"{weight} * {idf(t)}")) for t, weight in found.items()])
     bounds = cut_lineage(mine.groupBy("range").agg(F.sum(weights * F.col("best")).alias("bound"), F.count(F.lit(1)).alias("n_blocks")))
-    tfs = [F.max(F.when(F.col("term") == t, F.col("p.tf"))).alias(f"_tf{i}") for i, t in enumerate(found)]
+    tfs = [F.max(F.when(F.col("term") == t, F.col("p.tfs"))).alias(f"_tf{i}") for i, t in enumerate(found)]
     # the same summands in the same order as a search over texts
     score = " + ".join(
         f"{weight} * {idf(t)} * coalesce(_tf{i}, 0) * ({K1}D + 1D) / (coalesce(_tf{i}, 0) + {K1}D * (1D - {B}D + {B}D * doc_length / {average!r}D))"
@@ -102,8 +158,11 @@ def search_index(spark: SparkSession, path: str, query: str, top_k: int = 10, pr
     )
 
     def scored(ranges: DataFrame) -> DataFrame:
-        opened = mine.join(ranges.select("range"), "range", "left_semi").select("term", F.explode("postings").alias("p"))
-        rows = opened.groupBy("p.item_id", "p.start_ms", "p.end_ms", "p.doc_length").agg(*tfs)
+        opened = mine.join(ranges.select("range"), "range", "left_semi").select("range", "term", F.explode(F.arrays_zip("places", "tfs")).alias("p"))
+        counted = opened.groupBy("range", F.col("p.places").cast("int").alias("place")).agg(*tfs)
+        named = blocks.where(F.col("folder") == DOCUMENTS).join(ranges.select("range"), "range", "left_semi")
+        named = named.select("range", F.posexplode("documents").alias("place", "d")).select("range", "place", "d.*")
+        rows = counted.join(named, ["range", "place"])
         return rows.select("item_id", "start_ms", "end_ms", F.expr(score).alias("score")).where("score > 0")
 
     probed = bounds.orderBy(F.desc("bound"), "range").limit(probe_ranges)
