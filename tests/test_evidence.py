@@ -326,3 +326,15 @@ def test_redaction(spark):
     df = spark.createDataFrame([({"API-Key": "a", "db_password": "b", "Authorization": "c", "tokens": "d"},)], "p map<string,string>")
     assert df.select(redact_map(F.col("p")).alias("p")).first().p == {
         "API-Key": "[REDACTED]", "db_password": "[REDACTED]", "Authorization": "[REDACTED]", "tokens": "d"}
+
+
+def test_hashes_are_compared_before_the_entries_meet_their_states(spark):
+    from tidemark.operators import catalog
+
+    rows = [("v", n, f"e{n}", f"k{n}", f"h{n}", f"/d/{n}", 1, [], None, "p", "1") for n in range(3)]
+    entries = spark.createDataFrame(rows, catalog.ENTRY_SCHEMA)
+    files = spark.createDataFrame([("/d/0", "h0"), ("/d/1", "other")], "uri string, sha256 string")
+    states = catalog.entry_states(entries, entries.select("video_id", "revision", "key", "entry_id"), files, ["/d"])
+    assert {r.entry_id: (r.state, r.intact) for r in states.collect()} == {"e0": ("available", True), "e1": ("available", False), "e2": ("missing", None)}
+    issues = {r.entry_id: r.issue for r in catalog.audit(states, deep=True).collect()}
+    assert issues == {"e0": None, "e1": "hash_mismatch", "e2": "missing_file"}

@@ -67,7 +67,7 @@ def entry_states(
 ) -> DataFrame:
     """Every entry with ``state``: corrupt path, then missing, stale, available.
 
-    Staleness looks one level deep.
+    Staleness looks one level deep; ``intact`` says whether the stored file has the entry's hash.
     """
     stale = (
         stale_dependencies(entries, selections)
@@ -75,9 +75,6 @@ def entry_states(
         .agg(F.count(F.lit(1)).alias("n_stale"))
     )
     active = active_selections(selections).select("video_id", "entry_id", F.lit(True).alias("active"))
-    joined = entries.join(stale, ["video_id", "entry_id"], "left").join(
-        active, ["video_id", "entry_id"], "left"
-    )
     allowed = F.lit(True)
     if allowed_roots:
         allowed = F.lit(False)
@@ -85,20 +82,25 @@ def entry_states(
             allowed = allowed | F.col("uri").startswith(root.rstrip("/") + "/")
         allowed = allowed & ~F.col("uri").contains("/../")
     if files is not None:
-        joined = joined.join(files.select("uri", F.col("sha256").alias("file_sha256")), "uri", "left")
+        checked = entries.join(files.select("uri", F.col("sha256").alias("file_sha256")), "uri", "left")
         present = F.col("file_sha256").isNotNull()
     else:
-        joined = joined.withColumn("file_sha256", F.col("content_sha256"))
+        checked = entries.withColumn("file_sha256", F.col("content_sha256"))
         present = F.lit(True)
+    # decided before the other joins, which then need not carry paths and hashes
+    checked = checked.withColumns(
+        {"intact": F.col("file_sha256") == F.col("content_sha256"), "_allowed": allowed, "_present": present}
+    )
+    joined = checked.join(stale, ["video_id", "entry_id"], "left").join(active, ["video_id", "entry_id"], "left")
     state = (
-        F.when(~allowed, "corrupt")
-        .when(~present, "missing")
+        F.when(~F.col("_allowed"), "corrupt")
+        .when(~F.col("_present"), "missing")
         .when(F.col("n_stale") > 0, "stale")
         .otherwise("available")
     )
     return joined.withColumns(
         {"state": state, "active": F.coalesce("active", F.lit(False)), "n_stale": F.coalesce("n_stale", F.lit(0))}
-    )
+    ).drop("_allowed", "_present")
 
 
 def resolve(states: DataFrame, require_fresh: bool = True) -> DataFrame:
@@ -119,7 +121,7 @@ def find_reusable(states: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests``: ``request_id, video_id, key, derivation_key,
     dependency_entry_ids``; requests without a match are absent.
     """
-    usable = states.where((F.col("state") == "available") & (F.col("file_sha256") == F.col("content_sha256")))
+    usable = states.where((F.col("state") == "available") & F.col("intact"))
     on = ["video_id", "key", "derivation_key", "dependency_entry_ids"]
     newest = usable.groupBy(*on).agg(
         F.max_by("entry_id", F.struct("revision", "entry_id")).alias("entry_id"),
@@ -141,9 +143,7 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
 
 def audit(states: DataFrame, deep: bool = False) -> DataFrame:
     """``video_id, entry_id, state, issue``: superseded entries are not examined further."""
-    broken = F.lit(deep) & (F.col("state") != "missing") & (F.col("state") != "corrupt") & (
-        F.col("file_sha256") != F.col("content_sha256")
-    )
+    broken = F.lit(deep) & (F.col("state") != "missing") & (F.col("state") != "corrupt") & ~F.col("intact")
     state = F.when(~F.col("active"), "superseded").when(broken, "corrupt").otherwise(F.col("state"))
     issue = (
         F.when(~F.col("active"), None)

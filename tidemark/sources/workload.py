@@ -128,24 +128,27 @@ def order_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     revision.  Every later order of a customer depends on the first one.  Files
     of open ("P") orders are missing, those of orders under 50 000 were changed.
     """
-    orders = read_table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("video_id"),
-        F.col("o_orderkey").alias("revision"),
-        F.concat(F.lit("entry_"), F.col("o_orderkey")).alias("entry_id"),
-        F.concat_ws(":", F.lit("manifest"), F.col("o_orderpriority"), F.lit("primary")).alias("key"),
-        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_sha256"),
-        F.concat_ws("/", F.lit("/data/artifacts"), "o_custkey", "o_orderkey").alias("uri"),
-        F.floor("o_totalprice").cast("bigint").alias("size_bytes"),
-        F.col("o_orderstatus").alias("derivation_key"),
-        F.lit("orders").alias("producer_name"),
-        F.lit("1").alias("producer_version"),
-        "o_totalprice",
-    )
-    roots = orders.groupBy("video_id").agg(F.min_by("entry_id", "revision").alias("root"))
-    entries = orders.join(roots, "video_id").select(
-        *[c for c in orders.columns if c != "o_totalprice"],
-        F.when(F.col("entry_id") == F.col("root"), F.array().cast("array<string>"))
-        .otherwise(F.array("root"))
+    table = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    columns = {
+        "video_id": F.col("o_custkey").cast("string"),
+        "revision": F.col("o_orderkey"),
+        "entry_id": F.concat(F.lit("entry_"), F.col("o_orderkey")),
+        "key": F.concat_ws(":", F.lit("manifest"), F.col("o_orderpriority"), F.lit("primary")),
+        "content_sha256": F.sha2(F.col("o_orderkey").cast("string"), 256),
+        "uri": F.concat_ws("/", F.lit("/data/artifacts"), "o_custkey", "o_orderkey"),
+        "size_bytes": F.floor("o_totalprice").cast("bigint"),
+        "derivation_key": F.col("o_orderstatus"),
+        "producer_name": F.lit("orders"),
+        "producer_version": F.lit("1"),
+    }
+    named = [column.alias(name) for name, column in columns.items()]
+    orders = table.select(*named, "o_totalprice")
+    # texts and hashes are formed behind the join, which moves the numbers alone
+    roots = table.groupBy("o_custkey").agg(F.min("o_orderkey").alias("root"))
+    entries = table.join(roots, "o_custkey").select(
+        *named,
+        F.when(F.col("o_orderkey") == F.col("root"), F.array().cast("array<string>"))
+        .otherwise(F.array(F.concat(F.lit("entry_"), F.col("root"))))
         .alias("dependency_entry_ids"),
     )
     selections = orders.select("video_id", "revision", "key", "entry_id")
