@@ -14,6 +14,9 @@ TABLES = (
     "conversations",
 )
 
+#: Removes a query's shuffle files as soon as the query has ended, not when the driver happens to collect garbage.
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; extra ``conf`` wins.
@@ -32,6 +35,7 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # checkpoint files go when nothing refers to them any more
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        RELEASE_SHUFFLES: "true",
         # call sites are captured for every column expression otherwise
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -67,9 +71,12 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder reliable checkpoints go to.
 
+    What is stored there is not made again, so shuffle files are released from then on.
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
     and the master is local (tests, laptops) is a scratch folder created.
     """
+    if spark.conf.get(RELEASE_SHUFFLES, None) is None:
+        spark.conf.set(RELEASE_SHUFFLES, "true")
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
