@@ -1,5 +1,9 @@
+import time
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.session import cut_lineage
 
 
@@ -15,3 +19,17 @@ def test_stored_results_leave_no_shuffle_files(spark):
     stored = cut_lineage(groups)
     assert shuffle_files(spark) <= before
     assert stored.count() == 100 and stored.join(groups, "k").count() == 100
+
+
+def test_stored_results_out_of_use_are_removed(spark):
+    cut_lineage(spark.range(10))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    used = cut_lineage(spark.range(7))
+    session.release_unused(spark.sparkContext)
+    time.sleep(2)
+    before = len(list(folder.glob("rdd-*")))
+    for _ in range(3 * session.COLLECT_EVERY):
+        cut_lineage(spark.range(10))
+    time.sleep(2)
+    assert len(list(folder.glob("rdd-*"))) <= before + session.COLLECT_EVERY + 1
+    assert used.count() == 7

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -17,6 +18,9 @@ TABLES = (
 #: Removes a query's shuffle files as soon as the query has ended, not when the driver happens to collect garbage.
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: After so many stored results those no longer in use are looked for; each has a file for every partition.
+COLLECT_EVERY = 12
+
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; extra ``conf`` wins.
@@ -95,10 +99,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store an intermediate result reliably, so that its many readers do not recompute it."""
+    context = df.sparkSession.sparkContext
     ensure_checkpoint_dir(df.sparkSession)
+    context._tidemark_stored = getattr(context, "_tidemark_stored", 0) + 1
+    if context._tidemark_stored % COLLECT_EVERY == 0:
+        release_unused(context)
     return df.checkpoint(eager=True)
 
 
+def release_unused(context: SparkContext) -> None:
+    """Let Spark's cleaner remove stored results and broadcasts that nothing refers to any more.
+
+    It learns of them when the driver collects garbage, as ``spark.cleaner.periodicGC.interval`` has it do every half hour.
+    """
+    context._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder this run wrote, wherever the cluster keeps it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
