@@ -167,3 +167,16 @@ def test_hard_rows(spark):
     counts = {r.doc_id: (r.n_lines, r.n_dropped) for r in out.collect()}
     assert counts[11] == (5, 1) and counts[1] == (0, 0) and counts[2] == (1, 0)
     assert lines.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_cells_meet_within_edits_and_are_few(spark):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(600):
+        a = "".join(rng.choice("abcdef012xyz ") for _ in range(rng.randrange(32, 60)))
+        pairs.append((a, mutated(rng, a, 2, "abcdef012xyz ")))
+    for edits in (2, 3):
+        cells = spark.createDataFrame(pairs, "a string, b string").select(lines._cells(F.col("a"), edits).alias("x"), lines._cells(F.col("b"), edits).alias("y")).collect()
+        assert all(set(r.x) & set(r.y) for r in cells)
+        # every text stood in eight cells
+        assert sum(len(r.x) for r in cells) < 6 * len(cells)

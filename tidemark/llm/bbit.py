@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytetext
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, lookup
 from tidemark.llm.jaccard import shingle_sets
 from tidemark.session import cut_lineage
 
@@ -127,13 +127,6 @@ def _sets_of(docs: DataFrame, rule: BBitRule, sketch: bool) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, h binary, n bigint, items array<bigint>, bits array<bigint>")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", salts: int = 64) -> DataFrame:
-    """``rows`` with the one row of ``table`` for their key; a key of very many rows is dealt over ``salts`` tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    asked = salted.select(key, "_salt").distinct().join(table, key)
-    return salted.join(asked, [key, "_salt"], how).drop("_salt")
-
-
 def _meeting(left: DataFrame, right: DataFrame, close: Column) -> DataFrame:
     """Pairs ``(a, b)`` of rows ``(key, h, ...)`` with one key, once each."""
     side = lambda rows, s: rows.select("key", F.col("h").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("key", "h")])

@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components of an edge table by alternating star contraction, and joins with the hubs that stars have."""
 
 from __future__ import annotations
 
@@ -37,3 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = tuple(mark)
         edges = cut_lineage(_small(_large(edges)))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """``rows`` with the one row of ``table`` for their key; a key of very many rows is dealt over ``salts`` tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    asked = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(asked, [key, "_salt"], how).drop("_salt")

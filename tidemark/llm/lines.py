@@ -18,8 +18,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bbit import lookup
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, lookup
 from tidemark.session import cut_lineage
 
 
@@ -258,9 +257,20 @@ def _letter_counts(text: Column) -> Column:
 
 
 def _cells(text: Column, edits: int) -> Column:
-    """Eight cells of a grid over the first three counts, of which two texts ``edits`` apart share one."""
-    at = [F.floor(count / (edits + 1)) for count in _letter_kinds(text)[:3]]
-    return F.array(*(F.xxhash64(*(c + step for c, step in zip(at, steps))) for steps in product((0, 1), repeat=3)))
+    """The cells of a grid over the first three counts that a text is in; two texts ``edits`` apart share one.
+
+    A count within ``edits`` below the next cell is in that one too, where any greater count
+    it has to meet may be.
+    """
+    width = edits + 1
+
+    def spread(cells: Column, places: Column) -> Column:
+        return F.flatten(F.transform(cells, lambda cell: F.transform(places, lambda place: F.xxhash64(cell, place))))
+
+    cells = F.array(F.lit(42).cast("bigint"))
+    for count in _letter_kinds(text)[:3]:
+        cells = spread(cells, F.array_distinct(F.array(F.floor(count / width), F.floor((count + edits) / width))))
+    return cells
 
 
 def _counts_agree(edits: int) -> Column:
@@ -313,9 +323,10 @@ def _apart(many: DataFrame, stars: DataFrame) -> DataFrame:
     return cut_lineage(ends.where("first < last").select("key", "h"))
 
 
-def candidates(lines: DataFrame, rule: LineRule) -> DataFrame:
-    """Pairs ``(a, b)`` of line hashes that share a segment where they may, as far as classes need them.
+def candidates(lines: DataFrame, rule: LineRule) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of line hashes that share a segment where they may, as far as classes need them, and their lines.
 
+    The lines are ``(h, line, counts, node)``, stored; ``node`` names a line by its first place.
     The members of a bucket of up to ``pair_limit`` lines are paired.  In a larger one all are
     compared with one of them; where that joins them all, no further pair is needed.  Else it is
     divided by how often letters occur, which edits change little.  Two lines that are
@@ -323,25 +334,33 @@ def candidates(lines: DataFrame, rule: LineRule) -> DataFrame:
     blocks as there may be edits, and paired where they meet then.
     """
     edits, limit = rule.edits, rule.pair_limit
-    texts = lambda rows: rows.select("h", F.col("line").alias("rest"))
     # copies of a line would meet under each of its keys, all in one group
-    few, many = _split(_shared(segment_keys(texts(lines).distinct(), edits)), limit)
+    shared = _shared(segment_keys(lines.select("h", F.col("line").alias("rest")).distinct(), edits))
+    named = _named_lines(lines, cut_lineage(shared.select("h").distinct()))
+    few, many = _split(shared, limit)
     found = _pairs(few)
     hot = cut_lineage(many.select("h").distinct())
     if hot.isEmpty():
-        return found
-    level = texts(lines.join(_small(hot), "h")).distinct()
-    level = cut_lineage(level.select("h", "rest", _letter_counts(F.col("rest")).alias("counts"), _cells(F.col("rest"), edits).alias("cells")))
+        return found, named
+    level = named.join(_small(hot), "h").select("h", F.col("line").alias("rest"), "counts")
+    level = cut_lineage(level.withColumn("cells", _cells(F.col("rest"), edits)))
     stars = _within(many.where("h != low").select(F.col("low").alias("a"), F.col("h").alias("b")).distinct(), level, edits)
     found, many = found.union(stars), _apart(many, stars)
     if many.isEmpty():
-        return found.distinct()
+        return found.distinct(), named
     divided = many.join(level.select("h", "counts", "cells"), "h").select("h", "counts", "key", F.explode("cells").alias("cell"))
     few, many = _split(_shared(divided.select("h", "counts", F.xxhash64("key", "cell").alias("key"))), limit)
     found = found.union(_pairs(few, edits))
     crowded = cut_lineage(many.select("h").distinct())
     masked = mask_keys(level.join(_small(crowded), "h").select("h", "rest", "counts"), edits)
-    return found.union(_pairs(_shared(masked), edits, edits)).distinct()
+    return found.union(_pairs(_shared(masked), edits, edits)).distinct(), named
+
+
+def _named_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(h, line, counts, node)`` of the distinct lines whose hashes are ``wanted``, stored."""
+    first = lines.join(_small(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("place"))
+    node = F.struct("place", "h", _digest().alias("digest")).alias("node")
+    return cut_lineage(first.select("h", "line", _letter_counts(F.col("line")).alias("counts"), node))
 
 
 def _digest() -> Column:
@@ -358,11 +377,8 @@ def line_classes(lines: DataFrame, rule: LineRule) -> DataFrame:
     marked = lines.select("h", _digest().alias("digest"), _place().alias("place"))
     repeated = marked.groupBy("h", "digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     repeated = cut_lineage(repeated.where("n > 1").select("h", "digest", "place"))
-    near = cut_lineage(candidates(lines.where(F.char_length("line") >= rule.least_chars), rule))
-    wanted = cut_lineage(near.select(F.col("a").alias("h")).union(near.select(F.col("b").alias("h"))).distinct())
-    texts = lines.join(_small(wanted), "h").groupBy("h", "line").agg(F.min(_place()).alias("place"))
-    node = F.struct("place", "h", _digest().alias("digest")).alias("node")
-    texts = cut_lineage(texts.select("h", "line", _letter_counts(F.col("line")).alias("counts"), node))
+    near, texts = candidates(lines.where(F.char_length("line") >= rule.least_chars), rule)
+    near = cut_lineage(near)
     side = lambda s: texts.select(F.col("h").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("line", "counts", "node")))
     pairs = near.join(side("a"), "a").join(side("b"), "b").where(_counts_agree(rule.edits))
     turn = F.char_length("a_line") >= F.char_length("b_line")
