@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 
 from tests.llm.helpers import HARD, SF_MID, Union, docs
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, simhash
 from tidemark.session import read_table
 
 
@@ -61,3 +61,32 @@ def test_hard_rows(spark):
     assert kept.columns == table.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 6, 7, 9, 10, 20]
     assert jaccard.keep_representatives(docs(spark, [])).count() == 0
+
+
+def test_fingerprints_give_candidates_and_sets_confirm_them(spark):
+    rng = random.Random(9)
+    texts = {0: "x " * 100, 1: "x " * 100 + "y z w"}
+    for _ in range(3):
+        words = [f"w{rng.randrange(3000)}" for _ in range(900)]
+        for _ in range(8):
+            texts[len(texts)] = changed(rng, words, 1)
+    fps = {i: simhash.fingerprint(t.encode(), 3) for i, t in texts.items()}
+    assert fps[0] == fps[1]
+    alone = jaccard.JaccardRule(bands=1, rows=400)  # bands that only equal sets share
+    found = jaccard.near_duplicates(docs(spark, list(texts.items())), alone, simhash.SimHashRule())
+    groups = Union(texts)
+    for a in texts:
+        for b in texts:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+                groups.join(a, b)
+    near = brute_classes(texts)
+    expected = {i: groups.find(i) if near[groups.find(i)] == near[i] else i for i in texts}
+    assert expected[1] == 1 and len(set(expected.values())) < len(texts)
+    assert {r.doc_id: r.component_id for r in found.collect()} == expected
+
+
+def test_stage_asks_the_fingerprint_operator(spark, monkeypatch):
+    asked, plain = [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *args: asked.append(args) or plain(*args))
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, "z")]), SF_MID).count() == 2
+    assert len(asked) == 1
