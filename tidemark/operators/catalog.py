@@ -74,7 +74,8 @@ def entry_states(
         .groupBy("video_id", "entry_id")
         .agg(F.count(F.lit(1)).alias("n_stale"))
     )
-    active = active_selections(selections).select("video_id", "entry_id", F.lit(True).alias("active"))
+    # the columns that staleness joins too, so that both read one shuffle
+    active = active_selections(selections).select(F.col("video_id").alias("_video"), F.col("entry_id").alias("_selected"))
     allowed = F.lit(True)
     if allowed_roots:
         allowed = F.lit(False)
@@ -82,16 +83,20 @@ def entry_states(
             allowed = allowed | F.col("uri").startswith(root.rstrip("/") + "/")
         allowed = allowed & ~F.col("uri").contains("/../")
     if files is not None:
-        checked = entries.join(files.select("uri", F.col("sha256").alias("file_sha256")), "uri", "left")
-        present = F.col("file_sha256").isNotNull()
+        held = files.select("uri", F.col("sha256").alias("file_sha256"), _packed("sha256").alias("_held"))
+        checked = entries.withColumn("_content", _packed("content_sha256")).join(held, "uri", "left")
+        present = F.col("_held").isNotNull()
     else:
-        checked = entries.withColumn("file_sha256", F.col("content_sha256"))
+        same = _packed("content_sha256")
+        checked = entries.withColumns({"file_sha256": F.col("content_sha256"), "_held": same, "_content": same})
         present = F.lit(True)
     # decided before the other joins, which then need not carry paths and hashes
     checked = checked.withColumns(
-        {"intact": F.col("file_sha256") == F.col("content_sha256"), "_allowed": allowed, "_present": present}
-    )
-    joined = checked.join(stale, ["video_id", "entry_id"], "left").join(active, ["video_id", "entry_id"], "left")
+        {"intact": F.col("_held") == F.col("_content"), "_allowed": allowed, "_present": present}
+    ).drop("_held", "_content")
+    joined = checked.join(stale, ["video_id", "entry_id"], "left")
+    selected = (F.col("video_id") == F.col("_video")) & (F.col("entry_id") == F.col("_selected"))
+    joined = joined.join(active, selected, "left").withColumn("active", F.col("_selected").isNotNull()).drop("_video", "_selected")
     state = (
         F.when(~F.col("_allowed"), "corrupt")
         .when(~F.col("_present"), "missing")
@@ -99,10 +104,16 @@ def entry_states(
         .otherwise("available")
     )
     return joined.withColumns(
-        {"state": state, "active": F.coalesce("active", F.lit(False)), "n_stale": F.coalesce("n_stale", F.lit(0))}
+        {"state": state, "n_stale": F.coalesce("n_stale", F.lit(0))}
     ).drop("_allowed", "_present")
 
 
+def _packed(digest: str) -> Column:
+    """A digest in half the bytes where it is lower-case hex, else as it is; equal only where digests are."""
+    raw = F.unhex(digest)
+    return F.when(F.lower(F.hex(raw)) == F.col(digest), F.concat(F.lit(b"\0"), raw)).otherwise(F.concat(F.lit(b"\1"), F.encode(digest, "utf-8")))
+
+
 def resolve(states: DataFrame, require_fresh: bool = True) -> DataFrame:
     """Active entries with the error a lookup would raise (NULL when usable)."""
     code = (
@@ -123,10 +134,8 @@ def find_reusable(states: DataFrame, requests: DataFrame) -> DataFrame:
     """
     usable = states.where((F.col("state") == "available") & F.col("intact"))
     on = ["video_id", "key", "derivation_key", "dependency_entry_ids"]
-    newest = usable.groupBy(*on).agg(
-        F.max_by("entry_id", F.struct("revision", "entry_id")).alias("entry_id"),
-        F.max("revision").alias("revision"),
-    )
+    # one value for each group instead of a revision, an entry and what they are ordered by
+    newest = usable.groupBy(*on).agg(F.max(F.struct("revision", "entry_id")).alias("last")).select(*on, "last.entry_id", "last.revision")
     # a derivation key may be unknown on both sides, which is then the same key
     return requests.join(newest, _same(requests, newest, on)).select(
         requests["request_id"], requests["video_id"], requests["key"], newest["entry_id"], newest["revision"]
