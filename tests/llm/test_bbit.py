@@ -86,3 +86,18 @@ def test_estimate_is_corrected_and_the_cut_is_below_the_threshold(spark):
         assert r.m == r.n and abs(r.s - similarity) < 0.15
         assert similarity < 0.85 or r.m >= rule.least_matches
     assert 0.25 * 160 < rule.least_matches < (0.25 + 0.75 * 0.85) * 160
+
+
+def test_leaders_of_one_component_are_one(spark, monkeypatch):
+    # bucket k holds ten of twenty linked sets, each time others, and two that are similar to each other only
+    apart = list(range(60, 160))
+    items = {f"m{k:02}": [*range(k), *range(k + 1, 100)] for k in range(20)} | {"x": apart, "y": [*apart[:-1], 500]}
+    hot = [(k, h, 0, "m00" if h[0] == "m" else h) for k in range(11) for h in [*(f"m{m:02}" for m in range(k, k + 10)), "x", "y"]]
+    hot = spark.createDataFrame(hot, "key bigint, h string, order bigint, c string")
+    sets = spark.createDataFrame(list(items.items()), "h string, items array<bigint>")
+    seen, plain = [], bbit.lookup
+    monkeypatch.setattr(bbit, "lookup", lambda rows, *args: (seen.append(rows) if args[1] == "leader" else None) or plain(rows, *args))
+    pairs = bbit._by_differences(hot, sets.selectExpr("h", "size(items) AS n"), sets, bbit.BBitRule())
+    assert {("x", "y"), ("y", "x")} <= {(r.a, r.b) for r in pairs.collect()}
+    (members,) = seen
+    assert sorted(r.h for r in members.collect()) == sorted(items)

@@ -261,7 +261,10 @@ def _by_differences(hot: DataFrame, info: DataFrame, sets: DataFrame, rule: BBit
     share ``t`` elements share one of the first ``|D| - t + 1`` of each; only those meet.
     Sizes of ``D`` are told apart by classes, since ``t`` depends on both.
     """
-    leader = _leading(hot, 1).select("key", F.col("h").alias("leader"))
+    # leaders of one component share the first of them, which need not be in the bucket: a set then has few leaders, not one a band
+    first = hot.groupBy("key").agg(F.min(F.struct("order", "h", "c")).alias("first")).select("key", "first.*")
+    shared = first.groupBy("c").agg(F.min(F.struct("order", "h")).alias("shared"))
+    leader = first.join(shared, "c").select("key", F.col("shared.h").alias("leader"))
     asking = _apart(hot).select("h").distinct().withColumn("asks", F.lit(True))
     members = hot.join(leader, "key").select("leader", "h", "c").distinct().join(asking, "h", "left").join(info.select("h", "n"), "h")
     items = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
