@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 
 from tests.llm.helpers import HARD, SF_MID, Union, docs
-from tidemark.llm import jaccard, simhash
+from tidemark.llm import bbit, jaccard, simhash
 from tidemark.session import read_table
 
 
@@ -90,3 +90,14 @@ def test_stage_asks_the_fingerprint_operator(spark, monkeypatch):
     monkeypatch.setattr(simhash, "near_duplicates", lambda *args: asked.append(args) or plain(*args))
     assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, "z")]), SF_MID).count() == 2
     assert len(asked) == 1
+
+
+def test_copies_in_large_buckets_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts = dict(enumerate([changed(rng, words, 4) for _ in range(60)] + [changed(rng, words, 1) for _ in range(6)]))
+    compared, plain = [], bbit._proven
+    monkeypatch.setattr(bbit, "_proven", lambda pairs, *args, **named: compared.append(pairs.count()) or plain(pairs, *args, **named))
+    found = jaccard.near_duplicates(docs(spark, list(texts.items())))
+    assert {r.doc_id: r.component_id for r in found.collect()} == brute_classes(texts)
+    assert compared and sum(compared) < len(texts) * (len(texts) - 1) / 4

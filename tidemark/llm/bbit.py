@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bytetext
 from tidemark.llm.components import connected_components, lookup
-from tidemark.llm.jaccard import shingle_sets
 from tidemark.session import cut_lineage
 
 BITS = 2
@@ -63,6 +62,27 @@ class BBitRule:
         return math.floor(minima * p - self.deviations * math.sqrt(minima * p * (1 - p)))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = bytetext.lower_table()
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, powers: bytetext.Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts one after the other, and where each text's begin.
+
+    Words are what ASCII white space separates, A-Z lower-cased; fewer than ``size`` words make one shingle.
+    """
+    starts, ends = bytetext.runs(~_SPACE[data], offsets)
+    words = bytetext.span_hashes(_LOWER[data], starts, ends, powers)
+    edges = np.searchsorted(starts, offsets)
+    hashes = bytetext.shingle_hashes(words, size)
+    sets = []
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        own = hashes[a : b - size + 1] if b - a >= size else bytetext.shingle_hashes(words[a:b], b - a) if b > a else words[:0]
+        sets.append(np.unique(own))
+    return np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+
+
 def minima(hashes: np.ndarray, edges: np.ndarray, count: int) -> np.ndarray:
     """``count`` permuted minima of each non-empty set, one row a set."""
     seeds = bytetext.mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -103,7 +123,7 @@ def estimate(matching: Column, rule: BBitRule) -> Column:
     return (matching / (rule.bands * rule.rows) - chance) / (1 - chance)
 
 
-def _sets_of(docs: DataFrame, rule: BBitRule, sketch: bool) -> DataFrame:
+def sets_of(docs: DataFrame, rule: BBitRule, sketch: bool) -> DataFrame:
     """``(doc_id, h, n, items, bits)`` of every row: ``items`` are band keys, or the set where ``sketch`` is off."""
     texts = bytetext.id_and_text(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -210,10 +230,11 @@ def _leading(rows: DataFrame, leaders: int) -> DataFrame:
     return first.select("key", "first.h")
 
 
-def components(docs: DataFrame, groups: DataFrame, rule: BBitRule) -> DataFrame:
+def components(docs: DataFrame, groups: DataFrame, rule: BBitRule, alike: DataFrame | None = None) -> DataFrame:
     """``(h, c)`` of all linked sets of ``groups (h, n, first_id, items, bits)``; ``c`` is one of the component's sets.
 
     Keys are matched without anything else; sizes and signatures join the pairs that share one.
+    ``alike (a, b)``: pairs, stored, that are compared besides, of which ``a`` may have any number.
     """
     info = groups.select("h", "n", F.col("n").alias("m"), "bits")
     keyed = groups.select("h", F.explode("items").alias("key"))
@@ -224,9 +245,10 @@ def components(docs: DataFrame, groups: DataFrame, rule: BBitRule) -> DataFrame:
     # sets that are in many large buckets lead
     hot = cut_lineage(hot.join(hot.groupBy("h").agg((-F.count(F.lit(1))).alias("order")), "h"))
     stars = _likely(_meeting(_leading(hot, rule.leaders), hot.select("key", "h"), F.col("a") != F.col("b")), info, rule)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(hot.select("h")).distinct()
+    hubs = stars if alike is None else stars.union(alike)
+    wanted = pairs.union(hubs).select(F.explode(F.array("a", "b")).alias("h")).union(hot.select("h")).distinct()
     sets = _wanted_sets(docs, groups, wanted, rule)
-    labels = _merged(None, cut_lineage(_proven(pairs, sets, rule, hub=False).union(_proven(stars, sets, rule, hub=True))))
+    labels = _merged(None, cut_lineage(_proven(pairs, sets, rule, hub=False).union(_proven(hubs, sets, rule, hub=True))))
     rest = _apart(_with_labels(hot, labels))
     if rest.isEmpty():
         return labels
@@ -300,7 +322,7 @@ def _wanted_sets(docs: DataFrame, groups: DataFrame, wanted: DataFrame, rule: BB
     """``(h, items)`` of the sets in ``wanted``, made again from one text each; stored."""
     named = cut_lineage(groups.select("h", "first_id").join(wanted, "h", "left_semi"))
     texts = docs.join(named.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    made = cut_lineage(_sets_of(texts, rule, sketch=False).select("h", "items").join(named.select("h"), "h", "left_semi"))
+    made = cut_lineage(sets_of(texts, rule, sketch=False).select("h", "items").join(named.select("h"), "h", "left_semi"))
     # an id that is repeated gives its sets again
     repeated = made.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     if repeated.isEmpty():
@@ -319,7 +341,7 @@ def near_duplicates(docs: DataFrame, rule: BBitRule = BBitRule()) -> DataFrame:
     Repeated rows give repeated results; rows with a null id have a null component and
     are kept; other columns are ignored.
     """
-    sketches = cut_lineage(_sets_of(docs, rule, sketch=True))
+    sketches = cut_lineage(sets_of(docs, rule, sketch=True))
     named = sketches.where("doc_id is not null and n > 0")
     groups = named.groupBy("h").agg(F.min("n").alias("n"), F.min("doc_id").alias("first_id"), F.first("items").alias("items"), F.first("bits").alias("bits"))
     groups = cut_lineage(groups)
