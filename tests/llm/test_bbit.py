@@ -101,3 +101,18 @@ def test_leaders_of_one_component_are_one(spark, monkeypatch):
     assert {("x", "y"), ("y", "x")} <= {(r.a, r.b) for r in pairs.collect()}
     (members,) = seen
     assert sorted(r.h for r in members.collect()) == sorted(items)
+
+
+def test_buckets_of_one_component_are_not_compared_again(spark, monkeypatch):
+    # bucket 0 holds linked sets only; in bucket 1 are some of them and two that are similar to each other only
+    apart = list(range(60, 160))
+    items = {f"m{k:02}": [*range(k), *range(k + 1, 100)] for k in range(20)} | {"x": apart, "y": [*apart[:-1], 500]}
+    hot = [(0, h, 0, "m00") for h in items if h[0] == "m"] + [(1, h, 0, "m00" if h[0] == "m" else h) for h in ["m00", "m01", "m02", "x", "y"]]
+    hot = spark.createDataFrame(hot, "key bigint, h string, order bigint, c string")
+    sets = spark.createDataFrame(list(items.items()), "h string, items array<bigint>")
+    seen, plain = [], bbit.lookup
+    monkeypatch.setattr(bbit, "lookup", lambda rows, *args: (seen.append(rows) if args[1] == "leader" else None) or plain(rows, *args))
+    pairs = bbit._by_differences(hot, sets.selectExpr("h", "size(items) AS n"), sets, bbit.BBitRule())
+    assert {("x", "y"), ("y", "x")} <= {(r.a, r.b) for r in pairs.collect()}
+    (members,) = seen
+    assert sorted(r.h for r in members.collect()) == ["m00", "m01", "m02", "x", "y"]

@@ -51,3 +51,24 @@ def test_components_match_union_find(spark):
 
 def test_no_edges_no_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_rounds_on_few_edges_have_few_tasks(spark, monkeypatch):
+    # as on a cluster that keeps to its number of partitions
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("components", "")
+    try:
+        found = {r.node: r.component for r in connected_components(edges).collect()}
+    finally:
+        context.setJobGroup("", "")
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found == {k: 0 for k in range(1, 41)}
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("components")]
+    stages = [tracker.getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert tasks < 48 * 30

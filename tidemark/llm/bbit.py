@@ -283,11 +283,14 @@ def _by_differences(hot: DataFrame, info: DataFrame, sets: DataFrame, rule: BBit
     share ``t`` elements share one of the first ``|D| - t + 1`` of each; only those meet.
     Sizes of ``D`` are told apart by classes, since ``t`` depends on both.
     """
+    # two sets of a bucket's main component need no proof, so buckets that hold nothing else are done with
+    apart = cut_lineage(_apart(hot).select("key", "h"))
+    hot = hot.join(apart.select("key").distinct(), "key", "left_semi")
     # leaders of one component share the first of them, which need not be in the bucket: a set then has few leaders, not one a band
     first = hot.groupBy("key").agg(F.min(F.struct("order", "h", "c")).alias("first")).select("key", "first.*")
     shared = first.groupBy("c").agg(F.min(F.struct("order", "h")).alias("shared"))
     leader = first.join(shared, "c").select("key", F.col("shared.h").alias("leader"))
-    asking = _apart(hot).select("h").distinct().withColumn("asks", F.lit(True))
+    asking = apart.select("h").distinct().withColumn("asks", F.lit(True))
     members = hot.join(leader, "key").select("leader", "h", "c").distinct().join(asking, "h", "left").join(info.select("h", "n"), "h")
     items = lambda s: sets.select(F.col("h").alias(s), F.col("items").alias(f"{s}_items"))
     both = lookup(cut_lineage(members), items("leader"), "leader", "h").join(items("h"), "h")
@@ -306,13 +309,19 @@ def _by_differences(hot: DataFrame, info: DataFrame, sets: DataFrame, rule: BBit
     size = F.col("size")
     both = both.withColumn("slack", slack)
     slack = F.col("slack")
-    rows = both.select("leader", "h", "c", "asks", "o", "size", "slack", _class_of(size).alias("own"), F.explode(F.sequence(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack)))).alias("other"))
+    both = both.withColumn("own", _class_of(size)).withColumnRenamed("leader", "star")
+    # only classes that hold a set of another component, one of the two asking, are worth rows; a leader has few classes
+    held = both.groupBy("star", "own").agg(F.max("asks").alias("asked"), F.min("c").alias("low"), F.max("c").alias("high"))
+    held = held.groupBy("star").agg(F.collect_list(F.struct("own", "asked", "low", "high")).alias("held"))
+    useful = lambda k: k["own"].between(_class_of(size - F.ceil(slack)), _class_of(size + F.ceil(slack))) & (F.col("asks") | k["asked"]) & ((k["low"] != F.col("c")) | (k["high"] != F.col("c")))
+    others = F.transform(F.filter("held", useful), lambda k: k["own"])
+    rows = lookup(both, held, "star", "h").select("star", "h", "c", "asks", "o", "size", "slack", "own", F.explode(others).alias("other"))
     share = F.ceil((size + _least_of(F.col("other")) - slack) / 2)
     shown = size - share + 1 - (size - F.size("o"))
     met = F.when(share < 1, F.concat(F.array(F.lit(0).cast("bigint")), F.col("o"))).otherwise(F.slice("o", F.lit(1), F.greatest(shown, F.lit(0)).cast("int")))
     rows = rows.withColumn("item", F.explode(met))
     # keys that agree by chance only make a pair more to be compared
-    key = F.xxhash64("leader", "item", F.least("own", "other"), F.greatest("own", "other"))
+    key = F.xxhash64("star", "item", F.least("own", "other"), F.greatest("own", "other"))
     rows = cut_lineage(rows.select(key.alias("key"), "own", "other", "h", "c", "asks"))
     mirrored = (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own")) & (F.col("a_c") != F.col("b_c"))
     return _meeting(rows.where("asks").drop("asks"), rows.drop("asks"), mirrored)

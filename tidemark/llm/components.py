@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ensure_checkpoint_dir, remove_folder
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    """Every larger neighbour of a node hung on the smallest of the node and its neighbours; may repeat rows."""
+    least = _least(edges).withColumnRenamed("a", "b")
+    return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    links = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return links.union(least.select("a", F.col("m").alias("b"))).distinct()
+    """Every smaller neighbour of a node, and the node, hung on the smallest of them."""
+    least = _least(edges)
+    return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,14 +34,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the longest chain.  Only a row count and a checksum reach the driver.
     Loops and repeated edges are allowed; nulls must be gone.
     """
-    edges = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    spark = edges.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/components-{uuid.uuid4().hex}"
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    seen, rounds = None, 0
     while True:
+        # files are read by size: a round has few tasks where few edges are left, however many partitions there are
+        edges.write.parquet(f"{folder}/{rounds}")
+        edges = spark.read.schema(edges.schema).parquet(f"{folder}/{rounds}")
+        if rounds:
+            remove_folder(spark, f"{folder}/{rounds - 1}")
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or not mark[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = tuple(mark)
-        edges = cut_lineage(_small(_large(edges)))
+            found = cut_lineage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")))
+            remove_folder(spark, folder)
+            return found
+        seen, rounds = tuple(mark), rounds + 1
+        edges = _small(_large(edges))
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", salts: int = 64) -> DataFrame:
