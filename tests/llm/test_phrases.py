@@ -102,3 +102,17 @@ def test_long_texts_are_cut_between_pieces():
     data = np.frombuffer(b"aa bb. cc dd, ee " + b"x" * 50 + b". y", np.uint8)
     cuts = phrases._cuts(data, 12)
     assert [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] == [b"aa bb. cc dd,", b" ee " + b"x" * 50 + b".", b" y"]
+
+
+def test_plans_do_not_grow_with_the_scans(spark, monkeypatch):
+    sizes, plain = [], phrases._counted_when_active
+
+    def seen(rows, reached, rule):
+        out = plain(rows, reached, rule)
+        sizes.append(out._jdf.queryExecution().analyzed().toString().count("Relation"))
+        return out
+
+    monkeypatch.setattr(phrases, "_counted_when_active", seen)
+    table = spark.createDataFrame([(k, "a b c d e f g", "en") for k in range(12)], "doc_id bigint, text string, lang string")
+    phrases.collocations(table, phrases.PhraseRule(least=4))
+    assert len(sizes) > 4 and max(sizes[1:]) == min(sizes[1:])

@@ -259,35 +259,26 @@ def frequent_phrases(docs: DataFrame, folder: _Folder, rule: PhraseRule = Phrase
     """``(totals, sizes, vocabulary)``: phrases of ``least`` occurrences, words of each language, texts of ids."""
     blocks, vocabulary = _encoded(docs, folder, rule)
     table = np.zeros(rule.filter_slots, np.uint8)
-    latest, scan, scans = -1, 0, []
-    union = lambda names: [folder.read(f"counts{s}", _COUNTS).withColumn("scan", F.lit(s)) for s in names]
-
-    def together(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
+    latest, scan = -1, 0
+    # one table of all scans each, so that plans stay as small as they are in the first scan
     reached = folder.spark.createDataFrame([], _REACHED)
     while scan < rule.shards or latest >= scan - rule.shards:
-        folder.write(_count_blocks(blocks.where(F.col("shard") == scan % rule.shards), table, scan, rule), f"counts{scan}")
-        scans.append(scan)
+        folder.write(_count_blocks(blocks.where(F.col("shard") == scan % rule.shards), table, scan, rule), f"counts/scan={scan}")
+        everything = folder.read("counts", f"{_COUNTS}, scan int")
         # a phrase that is reached has its share of the threshold in one scan of its cycle at least
-        window = together(union(scans[-rule.shards :]))
+        window = everything.where(F.col("scan") > scan - rule.shards)
         near = window.where(F.col("n") * rule.shards >= rule.least).select("lang", "phrase").distinct().join(reached, ["lang", "phrase"], "left_anti")
         # the counts of three scans are many, the phrases looked for among them few
         rows = _counted_when_active(window.join(_small(near), ["lang", "phrase"]), reached, rule)
         now = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= rule.least)
-        folder.write(now.select("lang", "phrase", F.lit(scan).alias("reach")), f"reached{scan}")
-        fresh = folder.read(f"reached{scan}", _REACHED)
-        reached = together([folder.read(f"reached{s}", _REACHED) for s in scans])
-        if _mark(fresh.where(_length() < rule.longest), table, scan, rule):
+        folder.write(now.select("lang", "phrase"), f"reached/reach={scan}")
+        reached = folder.read("reached", _REACHED)
+        if _mark(reached.where((F.col("reach") == scan) & (_length() < rule.longest)), table, scan, rule):
             latest = scan
         scan += 1
-    everything = together(union(scans))
     totals = _counted_when_active(everything.join(_small(reached.select("lang", "phrase")), ["lang", "phrase"]), reached, rule)
     totals = cut_lineage(totals.groupBy("lang", "phrase").agg(F.sum("n").alias("a")))
-    sizes = together(union(scans[: rule.shards])).where(_length() == 1).groupBy("lang").agg(F.sum("n").alias("size"))
+    sizes = everything.where((F.col("scan") < rule.shards) & (_length() == 1)).groupBy("lang").agg(F.sum("n").alias("size"))
     return totals, cut_lineage(sizes), vocabulary
 
 
