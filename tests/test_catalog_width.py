@@ -32,3 +32,20 @@ def test_reuse_takes_the_newest_entry(spark):
     states = spark.createDataFrame(rows, catalog.ENTRY_SCHEMA).withColumns({"state": F.lit("available"), "intact": F.lit(True)})
     requests = spark.createDataFrame([("r", "v", "k", None, ["z"])], "request_id string, video_id string, key string, derivation_key string, dependency_entry_ids array<string>")
     assert [tuple(r) for r in catalog.find_reusable(states, requests).collect()] == [("r", "v", "k", "b", 2)]
+
+
+def test_registrations_are_decided_behind_the_last_shuffle(spark):
+    rows = [("v", 1, "a", "k", HEX, "/d/a", 1, [], "x", "p", "1")]
+    entries = spark.createDataFrame(rows, catalog.ENTRY_SCHEMA)
+    batch = entries.drop("revision", "entry_id").withColumns({"request_id": F.lit("r"), "activate": F.lit(True)})
+    files = spark.createDataFrame([("/d/a", HEX)], "uri string, sha256 string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decided = catalog.register(batch, entries, entries.select("video_id", "revision", "key", "entry_id"), files=files)["decided"]
+        plan = decided._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Window" in above and "Exchange" not in above
+    assert [r.outcome for r in decided.collect()] == ["unchanged"]

@@ -247,17 +247,18 @@ def register(
     joined = (
         numbered.join(twins, _same(numbered, twins, IDENTITY), "left")
         .select(*[numbered[c] for c in numbered.columns], twins["twin"])
-        .join(head, "video_id", "left")
         .join(active, ["video_id", "key"], "left")
         .join(missing, ["video_id", "request_id"], "left")
     )
     conflict, mismatch = F.lit(False), F.lit(False)
-    if expected_revisions is not None:
-        joined = joined.join(expected_revisions.select("video_id", "expected_revision"), "video_id", "left")
-        conflict = F.coalesce(F.col("expected_revision") != F.col("head"), F.lit(False))
     if files is not None:
         joined = joined.join(files.select("uri", F.lower("sha256").alias("file_sha256")), "uri", "left")
         mismatch = F.coalesce(F.col("file_sha256") != F.lower("content_sha256"), F.lit(False))
+    # videos are joined last: what follows is decided inside a video and needs no other shuffle
+    joined = joined.join(head, "video_id", "left")
+    if expected_revisions is not None:
+        joined = joined.join(expected_revisions.select("video_id", "expected_revision"), "video_id", "left")
+        conflict = F.coalesce(F.col("expected_revision") != F.col("head"), F.lit(False))
     refused = (
         F.when(F.col("head").isNull(), "video_not_found")
         .when(conflict, "revision_conflict")
