@@ -359,9 +359,10 @@ def ocr_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trim("line").alias("normalized_text"), (F.floor(F.col("n") / 3) * 1_000).cast("bigint").alias("timestamp_ms"), F.col("lang").alias("language"), "n",
     ))
     place = F.array_sort(F.collect_list(F.struct("n", "observation_id")))
-    spans = observed.groupBy("video_id", F.col("normalized_text").alias("text")).agg(
+    # stored, since it is read three times: every line's text is shuffled once
+    spans = cut_lineage(observed.groupBy("video_id", F.col("normalized_text").alias("text")).agg(
         F.concat(F.lit("s"), F.min("n")).alias("span_id"), F.min("timestamp_ms").alias("start_ms"), (F.max("timestamp_ms") + 1).alias("end_ms"), place.alias("p"),
-    ).where(F.size("p") > 1).withColumn("observation_ids", F.col("p.observation_id")).drop("p")
+    ).where(F.size("p") > 1).withColumn("observation_ids", F.col("p.observation_id")).drop("p"))
     grid = observed.groupBy("video_id").agg(F.max("timestamp_ms").alias("last")).select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / 10_000))).alias("ord"))
     chunks = grid.select("video_id", F.concat(F.lit("c"), "ord").alias("chunk_id"), "ord", (F.col("ord") * 10_000).alias("start_ms"), (F.col("ord") * 10_000 + 10_000).alias("end_ms"))
     documents = indexing.ocr_documents(observed.drop("n"), spans, chunks, disjoint=True)
